@@ -21,7 +21,7 @@ def _stamp(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
