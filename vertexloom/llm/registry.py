@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from vertexloom.llm import op2_exact_dedup, op4_url_filter, op5_token_count, op10_packing
+from vertexloom.llm import (
+    op2_exact_dedup,
+    op3_secrets,
+    op4_url_filter,
+    op5_token_count,
+    op9_decontaminate,
+    op10_packing,
+)
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup.op2_exact_dedup,
+    "op3_secrets": op3_secrets.op3_secrets,
     "op4_url_filter": op4_url_filter.op4_url_filter,
     "op5_token_count": op5_token_count.op5_token_count,
+    "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_packing": op10_packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": op2_exact_dedup.SQL,
     "op4_url_filter": op4_url_filter.SQL,
+    "op9_decontaminate": op9_decontaminate.SQL,
 }
