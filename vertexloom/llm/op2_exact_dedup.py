@@ -105,7 +105,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     recipes = rows.mapInPandas(_recipes, "doc_id long, text_sha256 string, recipe binary")
     recipes = cut(recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")))
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = cut(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     return (
         recipes.join(groups, "recipe")
         .select("*", F.posexplode(F.sequence(F.lit(1), F.col("copies"))).alias("copy", "_"))
