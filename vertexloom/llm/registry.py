@@ -7,6 +7,7 @@ from vertexloom.llm import (
     op3_secrets,
     op4_url_filter,
     op5_token_count,
+    op7_simhash,
     op9_decontaminate,
     op10_packing,
 )
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_secrets": op3_secrets.op3_secrets,
     "op4_url_filter": op4_url_filter.op4_url_filter,
     "op5_token_count": op5_token_count.op5_token_count,
+    "op7_simhash": op7_simhash.op7_simhash,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_packing": op10_packing.op10_packing,
 }
