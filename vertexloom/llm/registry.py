@@ -8,6 +8,7 @@ from vertexloom.llm import (
     op4_url_filter,
     op5_token_count,
     op7_simhash,
+    op8_chat_format,
     op9_decontaminate,
     op10_packing,
 )
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter.op4_url_filter,
     "op5_token_count": op5_token_count.op5_token_count,
     "op7_simhash": op7_simhash.op7_simhash,
+    "op8_chat_format": op8_chat_format.op8_chat_format,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_packing": op10_packing.op10_packing,
 }
