@@ -7,6 +7,7 @@ from vertexloom.llm import (
     op3_secrets,
     op4_url_filter,
     op5_token_count,
+    op6_quality,
     op7_simhash,
     op8_chat_format,
     op9_decontaminate,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_secrets": op3_secrets.op3_secrets,
     "op4_url_filter": op4_url_filter.op4_url_filter,
     "op5_token_count": op5_token_count.op5_token_count,
+    "op6_quality": op6_quality.op6_quality,
     "op7_simhash": op7_simhash.op7_simhash,
     "op8_chat_format": op8_chat_format.op8_chat_format,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
