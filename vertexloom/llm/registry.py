@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vertexloom.llm import (
+    op1_html_text,
     op2_exact_dedup,
     op3_secrets,
     op4_url_filter,
@@ -15,6 +16,7 @@ from vertexloom.llm import (
 )
 
 QUERIES = {
+    "op1_html_text": op1_html_text.op1_html_text,
     "op2_exact_dedup": op2_exact_dedup.op2_exact_dedup,
     "op3_secrets": op3_secrets.op3_secrets,
     "op4_url_filter": op4_url_filter.op4_url_filter,
