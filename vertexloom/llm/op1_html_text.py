@@ -212,3 +212,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+#: For pages whose article is an element of that name with headings and paragraphs only.
+SQL = r"""
+with cut as (
+  select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') as parts
+  from pages),
+clean as (
+  select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) as parts
+  from cut)
+select page_id, url, text, length(text) as n_chars
+from (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from clean)
+"""

@@ -29,6 +29,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_html_text": op1_html_text.SQL,
     "op2_exact_dedup": op2_exact_dedup.SQL,
     "op4_url_filter": op4_url_filter.SQL,
     "op9_decontaminate": op9_decontaminate.SQL,
