@@ -1,8 +1,9 @@
 """Global order without a single task: range partitions, then offsets per partition.
 
 A window without a partition key would move all rows into one task. Here rows are range-partitioned
-by the sort key; numbers and running sums are made within partitions and raised by what the
-partitions before them hold. Only one row per partition is gathered for that.
+by the sort key and sorted within; a row's number is its place in its partition, raised by the rows
+of the partitions before. Only one row per partition is gathered for that. Where values of other rows
+are needed, windows run within partitions.
 """
 
 from __future__ import annotations
@@ -12,9 +13,15 @@ from pyspark.sql import functions as F
 
 from vertexloom.session import cut
 
+#: Bits of ``monotonically_increasing_id`` that hold the place within a partition.
+_PLACE_BITS = 33
+
 
 def _ranged(df: DataFrame, keys: list) -> DataFrame:
-    return cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    """Rows with ``_part`` and ``_at``, written once so that both stay as they are."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    at = F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return cut(placed.select(*df.columns, F.shiftright("_id", _PLACE_BITS).alias("_part"), at.alias("_at")))
 
 
 def running(df: DataFrame, keys: list, number: str = "n", sums: dict[str, Column] | None = None) -> DataFrame:
@@ -28,26 +35,20 @@ def running(df: DataFrame, keys: list, number: str = "n", sums: dict[str, Column
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
     )
-    own = Window.partitionBy("_part").orderBy(*keys)
-    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(F.broadcast(parts), F.col("_part") == F.col("_p")).select(
+    earlier = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(F.broadcast(parts), F.col("_part") == F.col("_p")).select(
         *df.columns,
-        (F.col("_n0") + F.row_number().over(own) - 1).alias(number),
+        (F.col("_n0") + F.col("_at")).alias(number),
         *[(F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(earlier), F.lit(0))).alias(k) for k in sums],
     )
-    return out
 
 
 def with_next(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
     """``df`` with values of the next row in the order of ``keys``: ``columns`` maps new names to columns."""
     rows = _ranged(df, keys)
-    own = Window.partitionBy("_part").orderBy(*keys)
-    first = rows.select("_part", F.row_number().over(own).alias("_k"), *[F.col(c).alias(f"_f_{n}") for n, c in columns.items()])
-    following = Window.orderBy("_part")
-    firsts = first.where("_k = 1").select(  # a row per partition
-        F.lead("_part").over(following).alias("_after"),
-        F.col("_part").alias("_p"),
-        *[F.lead(f"_f_{n}").over(following).alias(f"_f_{n}") for n in columns],
+    own, following = Window.partitionBy("_part").orderBy("_at"), Window.orderBy("_part")
+    firsts = rows.where("_at = 0").select(  # a row per partition
+        F.col("_part").alias("_p"), *[F.lead(c).over(following).alias(f"_f_{n}") for n, c in columns.items()]
     )
     last = F.lead(F.lit(True)).over(own).isNull()
     near = rows.select("*", last.alias("_last"), *[F.lead(c).over(own).alias(f"_n_{n}") for n, c in columns.items()])
