@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut, table
+from vertexloom.session import cut, spread, table
 
 MODEL = "byte_bpe_50k.json"
 CAPACITY, END_ID = 2048, 0
@@ -243,4 +243,4 @@ def pack_documents(docs: DataFrame, model: str, capacity: int = CAPACITY, shard_
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+    return pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(MODEL))

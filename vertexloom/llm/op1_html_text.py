@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.markup import blocks
 from vertexloom.llm.op4_url_filter import url_parts
-from vertexloom.session import cut, table
+from vertexloom.session import cut, spread, table
 
 #: Share of a host's pages that a template token is on.
 SUPPORT = 0.5
@@ -211,7 +211,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
 
 
 #: For pages whose article is an element of that name with headings and paragraphs only.

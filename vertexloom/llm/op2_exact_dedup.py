@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm.text import lower_ascii
-from vertexloom.session import cut, table
+from vertexloom.session import cut, spread, table
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16384, 12
 
@@ -132,7 +132,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_groups(table(spark, sf_dir, "documents"))
+    groups = exact_groups(spread(table(spark, sf_dir, "documents")))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut, table
+from vertexloom.session import cut, spread, table
 
 # Kind, pattern, the group that holds the value, its least length. An access key's or a
 # hex run's least length is in the pattern: a run that is too short has no longer one within it.
@@ -194,4 +194,4 @@ def find_secrets(
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(spread(table(spark, sf_dir, "documents")))

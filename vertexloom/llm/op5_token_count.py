@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.session import table
+from vertexloom.session import spread, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -143,4 +143,4 @@ def count_tokens(
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(MODEL))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.session import cut, table
+from vertexloom.session import cut, spread, table
 
 #: Labelled documents that the model is made of, at most: those with the smallest hashes of their ids.
 SAMPLE = 3000
@@ -167,4 +167,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.kernels.components import star_components
-from vertexloom.session import cut, table
+from vertexloom.session import cut, spread, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Bits that a segment's count takes in a cell.
@@ -148,5 +148,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_groups(table(spark, sf_dir, "documents"))
+    groups = near_groups(spread(table(spark, sf_dir, "documents")))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm.text import lower_ascii
-from vertexloom.session import table
+from vertexloom.session import spread, table
 
 WINDOW = 13
 #: A document is hit beyond this share of its words: one in so many.
@@ -168,7 +168,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+    return decontaminate(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
 SQL = r"""
