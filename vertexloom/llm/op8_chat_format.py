@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vertexloom.session import table
+from vertexloom.session import cut, table
 
 BUDGET, HISTORY = 1024, 256
 #: Turns of a conversation that are summed together.
@@ -90,7 +90,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     unless a turn alone has over half of what the history leaves of it: turns are never cut.
     """
     stride = max(1, (budget - history) // 2)
-    placed = _placed(turns).withColumn("window", F.floor(F.col("start") / stride))
+    # Written once: windows, turns and system turns below all start from it.
+    placed = cut(_placed(turns).withColumn("window", F.floor(F.col("start") / stride)))
     by_window = Window.partitionBy("conv_id").orderBy("window")
     windows = (
         placed.groupBy("conv_id", "window")
