@@ -65,6 +65,7 @@ def test_benchmark_in_turns(spark):
 
 def test_blocks_lose_no_window(spark, monkeypatch):
     monkeypatch.setattr(op9, "BLOCK", 40)
+    monkeypatch.setattr(op9, "ITEM_BLOCK", 17)
     check(spark, *random_case(4, [f"w{i}" for i in range(40)], 60))
 
 
@@ -79,6 +80,13 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in stay.collect()) == [1, 1, 2, 4, 7]
 
 
+def test_a_very_long_item(spark):
+    rng = random.Random(8)
+    item = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=30_000)).split()
+    docs = [(i, "x y " * 20 + " ".join(item[a : a + n])) for i, (a, n) in enumerate([(0, 20), (250, 13), (236, 30), (29_987, 13), (100, 12)])]
+    check(spark, docs, [(1, " ".join(item)), (2, "w1 w2")])
+
+
 def test_empty_tables(spark):
     check(spark, [], [(1, "a b c")])
     check(spark, [(1, "a b c")], [])

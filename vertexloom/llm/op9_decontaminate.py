@@ -24,6 +24,8 @@ SHARE = 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Documents are matched in blocks of so many words; a position in a block fits the low bits of a packed gram.
 BLOCK, POSITION_BITS = 1 << 16, 20
+#: Items are matched in blocks of so many words, each of which goes along with its fingerprints.
+ITEM_BLOCK = 256
 #: Benchmark text matched at once, in bytes; its fingerprints and words are broadcast. More is matched in turns.
 BROADCAST_BYTES = 4 << 20
 
@@ -102,6 +104,9 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_b
     """``(doc_id, digest, item_id, run)``: shared runs; docs ``(doc_id, digest, text)``, bench ``(item_id, text)``."""
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("least", F.least(F.size("words"), F.lit(window)))
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(ITEM_BLOCK - window + 1))
+    items = items.select("item_id", "words", "least", F.explode(places).alias("_at"))
+    items = items.select("item_id", F.slice("words", F.col("_at") + 1, F.lit(ITEM_BLOCK)).alias("words"), "least")
     spans = [row["least"] for row in items.select("least").distinct().collect()]  # 1 to ``window``
     if not spans:
         return docs.select("doc_id", "digest", F.lit("").alias("item_id"), F.expr("named_struct('s', 0, 'e', 0)").alias("run")).limit(0)
