@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 
 
 class Deadline:
@@ -15,3 +17,27 @@ class Deadline:
     def check(self) -> None:
         if self.end is not None and time.monotonic() > self.end:
             raise TimeoutError(f"over {self.seconds} s")
+
+
+def limited(spark, seconds: float, action):
+    """What ``action()`` returns, or TimeoutError: its Spark jobs are cancelled after ``seconds``; 0: no limit."""
+    if not seconds:
+        return action()
+    context, tag, fired = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        fired.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return action()
+    except Exception as error:
+        if fired.is_set():
+            raise TimeoutError(f"over {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)

@@ -13,7 +13,7 @@ from vertexloom.graph import Graph
 from vertexloom.kernels import clustering, ranking, traversal
 from vertexloom.operators import algebra, updates, validate
 from vertexloom.operators.ordering import running
-from vertexloom.plans import sql
+from vertexloom.plans import experiments, sql
 from vertexloom.sources import binary, load, projections, sinks, text
 from vertexloom.sources.snapshots import SnapshotStore
 from vertexloom.session import cut, ensure_checkpoint_dir, table
@@ -295,6 +295,12 @@ def stream_apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load().edges
 
 
+@query(sql.over("part_cooccur_sparse", "", " select * from e"))
+def insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = experiments.insert_only(projections.part_cooccur_sparse(spark, sf_dir).edges, _scratch(spark), 3, SEED)
+    return store.load().edges
+
+
 @query(f"with {_LOG}, {_OLD}, n2 as (select count(*) as n from (select src, dst from log group by 1, 2 having max_by(weight, seq) >= 0)) "
        "select 1 as version, count(*) as edges from net union all select 2, n from n2")
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
