@@ -39,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that costs far more than a shuffle.
+    """``df`` over all cores if its table is one file, for work that costs far more than a shuffle.
 
-    A table in one small file would otherwise be one task; a table of more splits than cores stays as it is.
+    A small file often has one row group and would be one task. Tables of several files stay as they
+    are: their splits are enough, and moving them is not free.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
