@@ -27,7 +27,7 @@ CAPACITY, END_ID = 2048, 0
 #: Pieces of one shard, about. A shard is one task's work; a bin or two of each stay part empty.
 SHARD_PIECES = 8192
 #: Segments that a worker remembers, and the longest of them. Both bound memory, not results.
-REMEMBERED, LONGEST = 800_000, 40
+REMEMBERED, LONGEST = 500_000, 40
 #: What a space has beside it where a text can't be cut at every space; white space that is rare; the cut's own mark.
 BESIDE, RARE = ("  ", " \n", "\n "), "\0\t\v\f\r\x1c\x1d\x1e\x1f"
 ODD_SPACE = re.compile(r"[\x80-\U0010ffff](?<=\s)")
