@@ -12,6 +12,7 @@ from vertexloom.functions.statistics import trial_statistics
 from vertexloom.graph import Graph
 from vertexloom.operators import algebra, validate
 from vertexloom.operators.ordering import running, with_next
+from vertexloom.session import spread
 from vertexloom.sources import binary, load, sinks, text
 
 ARCS = [(1, 2, 10), (1, 3, 100), (1, 4, 200), (2, 1, 10), (2, 4, 10), (3, 1, 100), (3, 4, 10), (4, 1, 200), (4, 2, 10), (4, 3, 10)]
@@ -187,3 +188,12 @@ def test_trial_statistics(spark):
         at = [good[max(p * n // 100 - 1, 0)] for p in (90, 95, 97, 99)]
         expected = (n, len(groups[r.k]) - n, mean, sum(x * x for x in good) // n - mean * mean, good[0], good[-1], median, *at)
         assert tuple(r)[1:] == expected
+
+
+def test_spread_moves_single_files_only(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).repartition(3).write.parquet(f"{tmp_path}/three")
+    one, three = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("one", "three"))
+    assert spread(one).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert spread(three) is three
+    assert spread(one).count() == 100
