@@ -203,3 +203,31 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return read_back(format_windows(turns.unionByName(probe)))
+
+
+SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (
+  select *, (strlen(text) + 3) // 4 + 4 as tokens,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+    3 * length(text) - length(replace(text, '\', '')) - length(replace(text, '<', '')) - length(replace(text, '[', '')) + length(text)
+    + 4 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<', '')) - length(replace(role, '[', ''))
+    - length(replace(role, chr(10), '')) + length(role) + 1 + case when role = 'assistant' then 7 else 13 end as size
+  from c),
+p as (select *, sum(tokens) over (partition by conv_id order by n) - tokens as start, n = 1 and role = 'system' as lead from t),
+w as (
+  select conv_id, win, lead(first) over (partition by conv_id order by win) as next_first
+  from (select conv_id, start // 384 as win, min(start) as first from p group by all)),
+s as (
+  select p.*, not lead and start >= next_first - 256 as again
+  from p join w on w.conv_id = p.conv_id and w.win = p.start // 384),
+k as (select conv_id, count(*) - 1 as more from w group by conv_id)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(size) + coalesce(sum(size) filter (again), 0) + coalesce(sum(size * more) filter (lead), 0) as bigint) as formatted_chars
+from s join k using (conv_id) group by conv_id
+"""
