@@ -195,3 +195,35 @@ def find_secrets(
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spread(table(spark, sf_dir, "documents")))
+
+
+def _sql() -> str:
+    """The base patterns as the contract words them, short runs included, and the ownership of values."""
+    worded = [(BASE[0][0], BASE[0][1], 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), *ADDED]
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(worded):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""k{rank} as (
+  select doc_id, source, {rank} as rank, '{kind}' as kind, v,
+    sum(length(p) + length(m)) over (partition by doc_id order by i) - length(m) as s,
+    sum(length(p) + length(m)) over (partition by doc_id order by i) as e
+  from (select doc_id, source, unnest(ms) as m, unnest(vs) as v, unnest(ps[1 : len(ms)]) as p, unnest(range(1, len(ms) + 1)) as i
+    from (select doc_id, source, regexp_extract_all(text, '{quoted}') as ms, regexp_extract_all(text, '{quoted}', {group}) as vs,
+      regexp_split_to_array(text, '{quoted}') as ps from d))
+  qualify length(v) >= {least})""")
+    every = " union all ".join(f"select * from k{rank}" for rank in range(len(worded)))
+    counts = ", ".join(f"count(*) filter (kind = '{kind}') as n_{kind}" for kind, *_ in BASE)
+    n = len(BASE)
+    text = "kind || ':' || s || ':' || e"
+    return f"""with d as (select doc_id, source, coalesce(text, '') as text from documents),
+{", ".join(parts)},
+c as ({every}),
+o as (select v, count(distinct coalesce(source, chr(0))) <= {MAX_OWNERS} as live from c group by v)
+select d.doc_id, {counts},
+  sha256(coalesce(string_agg({text}, ',' order by s, rank) filter (rank < {n}), '')) as base_sha256,
+  coalesce(string_agg({text}, ',' order by s, rank) filter (rank < {n} or live), '') as spans,
+  count(*) filter (live) as n_live, count(*) filter (not live) as n_copied
+from d left join c using (doc_id) left join o using (v) group by d.doc_id"""
+
+
+SQL = _sql()

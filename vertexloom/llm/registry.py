@@ -31,6 +31,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_html_text": op1_html_text.SQL,
     "op2_exact_dedup": op2_exact_dedup.SQL,
+    "op3_secrets": op3_secrets.SQL,
     "op4_url_filter": op4_url_filter.SQL,
     "op8_chat_format": op8_chat_format.SQL,
     "op9_decontaminate": op9_decontaminate.SQL,
