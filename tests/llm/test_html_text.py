@@ -62,6 +62,33 @@ def test_site_without_an_article_element(spark):
     assert not any("\nf" in t for t in found.values())
 
 
+NEUTRAL = """<body>{notice}<div class=x1><ul><li>Home<li>Contact us</ul></div><div class=x2><div class=x3><h1>T{i}</h1>
+<p>{i} is told here at some length</div><div class=x4><p>Buy our tea today</div></div><div class=x5>All rights reserved</div>"""
+
+
+def test_classes_tell_the_template_where_names_do_not(spark):
+    notice = "<div class=xn><p>We have moved</div>"
+    words = ["one", "two", "three", "four", "five", "six"]
+    rows = [(i, "http://n.org/", NEUTRAL.replace("{i}", w).replace("{notice}", notice * (i % 2))) for i, w in enumerate(words)]
+    expected = {i: f"T{w}\n{w} is told here at some length" for i, w in enumerate(words)}
+    assert extracted(spark, rows) == expected
+    assert extracted(spark, rows, broadcast_bytes=0) == expected
+    # Pages that copy one another but for a small part keep their text.
+    near = [(i, "http://m.org/", f"<body><div class=x1><p>One long story that every page has.</div><div class=x2><p>{w}</div>") for i, w in enumerate(words)]
+    assert extracted(spark, near) == {i: f"One long story that every page has.\n{w}" for i, w in enumerate(words)}
+
+
+def test_classes_are_valid_or_not_as_a_whole():
+    of = {"/a": 0, "/a/b": 0, "/a/c": 0, "/a/d": 1, "/a/d/e": 2, "/a/d/f": 3, "/a/b/g": 3, "/a/b/h": 4}
+    place = {p: (k, k, 6 * k) for k, p in enumerate(of)}
+    assert op1.valid_classes(of, place) == {0, 1, 2, 3, 4}
+    moved = {p: (k, k + 1, 6 * k + 3) for k, p in enumerate(of)}  # after one that is on half of the pages
+    assert op1.valid_classes(of, moved) == {0, 1, 2, 3, 4}
+    swapped = place | {"/a/b": (0, 1, 3), "/a/c": (0, 1, 3)}
+    assert op1.valid_classes(of, swapped) == set()
+    assert op1.valid_classes(of | {"/a/b": 5, "/a/c": 5}, swapped) == {0, 1, 2}
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, "<p>x</p>"), (2, "no host", None), (3, "http://c.org", ""), (4, "http://c.org", "plain words"),

@@ -2,10 +2,12 @@
 
 A site's pages are made from one template. Its tokens here are containers, told apart by their path.
 Over the pages of a host each token has an occurrence vector: how often each page has it. Tokens that
-share a vector form an equivalence class; a class is valid if its tokens stand in one order on every
-page and nest in valid tokens. The valid tokens of the classes that most pages have are the host's
-template, and the text between them is in its slots. The slots of the article are kept and those of
-menus, notices, adverts, forms and the like are not.
+share a vector form an equivalence class, which is accepted or rejected as a whole: it is valid if most
+of its tokens stand in one order on every page and all nest in tokens of valid classes. The valid classes that most pages have are the host's template. A block
+of text that stands in a token on all pages that have the token is template too; other text is in slots.
+Only slots are kept, and of these not what names tell to be menus, notices, adverts, forms and
+the like. Text within an article or main element, and text that outweighs all slots of the host (its
+pages may copy one another), is never taken for template.
 
 Vectors are never gathered: a token carries two sums of hashes of (page, count), which are equal for
 equal vectors and, but for chance of two to the minus 64, for no others. Sums add up before the
@@ -17,7 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,8 @@ from vertexloom.session import cut, spread, table
 
 #: Share of a host's pages that a template token is on.
 SUPPORT = 0.5
+#: Pages that must agree on a block of text for it to be the template's; of fewer, one may be a copy of the other.
+AGREEING_PAGES = 3
 #: Templates are broadcast up to so many bytes, and beyond that joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -124,11 +129,32 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["host", "page", "path", "n", "rank", "chars"])
 
 
+def _block_key(path: str, text: str) -> int:
+    return int.from_bytes(blake2b(f"{path}\n{text}".encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each page's different blocks that are in no article or main element."""
+    for frame in frames:
+        rows: list[tuple] = []
+        for host, html in zip(frame["host"], frame["html"]):
+            chars: Counter = Counter()
+            own: dict[str, bool] = {"": True}  # of a page without containers nothing is template
+            for path, text in blocks(html)[0]:
+                if path not in own:
+                    labels = path.split("/")
+                    own[path] = any(_rank(label) > 1 for label in labels)
+                if not own[path]:
+                    chars[path, _block_key(path, text)] += len(text)
+            rows += [(host, path, key, n) for (path, key), n in chars.items()]
+        yield pd.DataFrame(rows, columns=["host", "path", "key", "chars"])
+
+
 def classes(pages: DataFrame) -> DataFrame:
-    """Tokens of each host by class: ``(host, path, class, n_pages, total, chars, ordered, pages)``.
+    """Tokens of each host by class: ``(host, path, class, n_pages, total, chars, place, pages)``.
 
     ``pages`` has host, page (a number that tells pages apart) and html. Tokens of one ``class``
-    have equal occurrence vectors.
+    have equal occurrence vectors. ``place``: least, greatest and sum of the pages' ranks of the token.
     """
     tokens = pages.mapInPandas(_tokens, "host string, page long, path string, n long, rank int, chars long")
 
@@ -139,43 +165,81 @@ def classes(pages: DataFrame) -> DataFrame:
         F.count("*").alias("n_pages"),
         F.sum("n").alias("total"),
         F.sum("chars").alias("chars"),
-        (F.min("rank") == F.max("rank")).alias("ordered"),
+        F.array(F.min("rank"), F.max("rank"), F.sum("rank")).alias("place"),
         sketch(1).alias("s1"),
         sketch(2).alias("s2"),
     )
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     named = by_token.join(hosts, "host")
     return named.select(
-        "host", "path", F.struct("n_pages", "total", "s1", "s2").alias("class"), "n_pages", "total", "chars", "ordered", "pages"
+        "host", "path", F.struct("n_pages", "total", "s1", "s2").alias("class"), "n_pages", "total", "chars", "place", "pages"
     )
 
 
-def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``(host, main, tokens)``: of each host the article's slot and its template's tokens, outer ones first."""
-    # A token whose place among its siblings varies is no part of its class.
-    valid = (
-        classes(pages)
-        .where((F.col("n_pages") >= support * F.col("pages")) & F.col("ordered"))
-        .groupBy("host", "class")
-        .agg(F.collect_list(F.struct("path", "chars")).alias("tokens"))
-    )
+def valid_classes(of: dict[str, object], place: dict[str, Sequence[int]]) -> set:
+    """The valid ones of the classes ``of`` tokens by path.
 
-    def nest(frame: pd.DataFrame) -> pd.DataFrame:
-        chars = {t["path"]: t["chars"] for tokens in frame["tokens"] for t in tokens}
-        kept: dict[str, None] = {}
-        for path in sorted(chars, key=lambda p: (p.count("/"), p)):
-            above = path.rpartition("/")[0]
-            if not above or above in kept:
-                kept[path] = None
-        main = main_slot({p: chars[p] for p in kept})
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "main": [main], "tokens": [list(kept)]})
+    A neighbour that is not on all pages moves the tokens after it alike, so order is that of siblings in
+    the class: least, greatest and sum of their ranks must rise together.
+    """
+    own, siblings, wrong = Counter(of.values()), defaultdict(list), set()
+    for path, name in of.items():
+        siblings[name, path.rpartition("/")[0]].append(path)
+    for paths in siblings.values():
+        paths.sort(key=lambda p: tuple(place[p]))
+        for one, other in zip(paths, paths[1:]):
+            if not all(a < b for a, b in zip(place[one], place[other])):
+                wrong |= {one, other}
+    out = Counter(of[p] for p in wrong)
+    kept = {name for name, n in own.items() if 2 * out[name] <= n}
+    below: defaultdict = defaultdict(set)
+    for path, name in of.items():
+        above = path.rpartition("/")[0]
+        if above:
+            below[of.get(above)].add(name)
+    gone = [*(set(own) - kept), None]
+    while gone:
+        for name in below[gone.pop()] & kept:
+            kept.remove(name)
+            gone.append(name)
+    return kept
+
+
+def agreed_texts(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(host, path, texts)``: of ``tokens`` the blocks that are on all pages that have the token; no more than a page has."""
+    texts = pages.select("host", "html").mapInPandas(_texts, "host string, path string, key long, chars long")
+    repeated = texts.groupBy("host", "path", "key").agg(F.count("*").alias("n_pages"), F.sum("chars").alias("chars"))
+    found = repeated.where(F.col("n_pages") >= AGREEING_PAGES).join(tokens.select("host", "path", "n_pages"), ["host", "path", "n_pages"])
+    return found.groupBy("host", "path").agg(F.collect_list(F.struct("key", "chars")).alias("texts"))
 
-    return valid.select("host", "tokens").groupBy("host").applyInPandas(nest, "host string, main string, tokens array<string>")
 
+def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """``(host, main, tokens, fixed)``: of each host the article's slot, its template's tokens, outer ones first, and keys of its blocks."""
+    often = cut(classes(pages).where(F.col("n_pages") >= support * F.col("pages")))
+    token = F.struct("path", "chars", "place", F.coalesce("texts", F.array()).alias("texts"))
+    named = often.join(agreed_texts(pages, often), ["host", "path"], "left").groupBy("host", "class").agg(F.collect_list(token).alias("tokens"))
 
-def main_text(html: str | None, main: str | None) -> str:
-    """A page's blocks in the template's article slot; a page without that slot is its own template."""
+    def nest(frame: pd.DataFrame) -> pd.DataFrame:
+        of = {t["path"]: k for k, tokens in enumerate(frame["tokens"]) for t in tokens}
+        token = {t["path"]: t for tokens in frame["tokens"] for t in tokens}
+        valid = valid_classes(of, {p: t["place"] for p, t in token.items()})
+        kept = sorted((p for p in of if of[p] in valid), key=lambda p: (p.count("/"), p))
+        slots = sum(token[p]["chars"] - sum(t["chars"] for t in token[p]["texts"]) for p in kept)
+        chars, fixed = {}, []
+        for p in kept:
+            own = [t for t in token[p]["texts"] if t["chars"] <= slots]
+            chars[p] = token[p]["chars"] - sum(t["chars"] for t in own)
+            fixed += [t["key"] for t in own]
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "main": [main_slot(chars)], "tokens": [kept], "fixed": [fixed]})
+
+    return named.select("host", "tokens").groupBy("host").applyInPandas(nest, "host string, main string, tokens array<string>, fixed array<long>")
+
+
+def main_text(html: str | None, main: str | None, fixed: Collection[int] = ()) -> str:
+    """A page's blocks in the template's article slot, without the template's blocks; a page without that slot is its own template."""
     found, opened = blocks(html)
+    if fixed:
+        found = [(path, text) for path, text in found if _block_key(path, text) not in fixed]
     if not main or not any(_under(path, main) for path in opened):
         chars: Counter = Counter()
         for path, text in found:
@@ -195,17 +259,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html")
     )
-    found = cut(templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html")).select("host", "main"))
-    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("main") + 32)).first()[0] or 0
+    found = cut(templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html")).select("host", "main", "fixed"))
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("main") + 8 * F.size("fixed") + 32)).first()[0] or 0
     small = F.broadcast(found) if size <= broadcast_bytes else found.hint("shuffle_hash")
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["text"] = [main_text(h, m) for h, m in zip(frame["html"], frame["main"])]
-            yield frame.drop(columns="html")
+            rows = zip(frame["html"], frame["main"], frame["fixed"])
+            frame["text"] = [main_text(h, m, () if f is None else frozenset(f)) for h, m, f in rows]
+            yield frame.drop(columns=["html", "fixed"])
 
     kind = dict(pages.dtypes)[id_col]
-    joined = rows.join(small, "host", "left").select("page_id", "url", "host", "main", "html")
+    joined = rows.join(small, "host", "left").select("page_id", "url", "host", "main", "fixed", "html")
     out = joined.mapInPandas(texts, f"page_id {kind}, url string, host string, main string, text string")
     return out.select("page_id", "url", "host", "text", F.length("text").cast("long").alias("n_chars"), "main")
 
