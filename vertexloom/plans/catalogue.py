@@ -120,17 +120,19 @@ _algebra(_PC, algebra.sum_of_first_neighbours, "bm_point_sum", sql.over(_PC, "un
 _algebra(_PC, algebra.sum_of_all_neighbours, "bm_scan_sum", sql.over(_PC, "undirected", " select cast(sum(dst) as bigint) as total from arcs"))
 _algebra(_UT, algebra.in_degree, "in_degree", sql.over(_UT, "directed", " select dst as id, count(*) as degree from arcs group by 1"))
 _algebra(_UT, lambda g: g.neighbours, "neighbours", sql.over(_UT, "directed", f", {sql.NEIGHBOURS} select id, nbr from nb"))
-_algebra(_SPARSE, algebra.graph_counts, "graph_counts", sql.over(_SPARSE, "undirected", " select 'vertices' as what, count(*) as n from v union all select 'edges', count(*) from e"))
-_algebra(_SPARSE, algebra.dense_ids, "dense_ids", sql.over(_SPARSE, "undirected", " select id, row_number() over (order by id) - 1 as logical from v"))
 _OFFSETS = """, d as (select src as id, count(*) as degree from arcs group by 1)
 select id, row_number() over (order by id) - 1 as logical, degree, cast(sum(degree) over (order by id) - degree as bigint) as start from d"""
-_algebra(_SPARSE, algebra.csr_offsets, "csr_offsets", sql.over(_SPARSE, "undirected", _OFFSETS))
-_algebra(
-    _SPARSE,
-    lambda g: algebra.csr_offsets(g).select("logical", "degree").orderBy("logical"),
-    "edges_per_vertex",
-    sql.over(_SPARSE, "undirected", ", d as (select src as id, count(*) as degree from arcs group by 1) select row_number() over (order by id) - 1 as logical, degree from d"),
-)
+# Over all pairs of parts, and by the plain name over the few that the sparse projection keeps.
+for _on, _prefix in ((_SPARSE, ""), (_PC, "whole_")):
+    _algebra(_on, algebra.graph_counts, f"{_prefix}graph_counts", sql.over(_on, "undirected", " select 'vertices' as what, count(*) as n from v union all select 'edges', count(*) from e"))
+    _algebra(_on, algebra.dense_ids, f"{_prefix}dense_ids", sql.over(_on, "undirected", " select id, row_number() over (order by id) - 1 as logical from v"))
+    _algebra(_on, algebra.csr_offsets, f"{_prefix}csr_offsets", sql.over(_on, "undirected", _OFFSETS))
+    _algebra(
+        _on,
+        lambda g: algebra.csr_offsets(g).select("logical", "degree").orderBy("logical"),
+        f"{_prefix}edges_per_vertex",
+        sql.over(_on, "undirected", ", d as (select src as id, count(*) as degree from arcs group by 1) select row_number() over (order by id) - 1 as logical, degree from d"),
+    )
 _algebra("part_supp", lambda g: algebra.vertex_table(g.edges), "vertex_table", sql.over("part_supp", "", " select id, count(*) as occurrences from (select unnest([src, dst]) as id from e) group by 1"))
 _algebra("part_supp", lambda g: algebra.vertex_list(g.edges), "vertex_list", sql.over("part_supp", "", " select distinct unnest([src, dst]) as id from e"))
 _algebra(
@@ -145,8 +147,8 @@ _algebra(
     "part_supp", lambda g: algebra.edge_at(g.edges, 100), "edge_at",
     sql.over("part_supp", "", " select src, dst, weight, position from (select *, row_number() over (order by src, dst) - 1 as position from e) where position = 100"),
 )
-_algebra("part_cooccur_sparse", lambda g: algebra.random_vertex(g, SEED), "random_vertex", None)
-_algebra("part_cooccur_sparse", sinks.adjacency_lines, "dump_graph", None)
+_algebra(_PC, lambda g: algebra.random_vertex(g, SEED), "random_vertex", None)
+_algebra(_PC, sinks.adjacency_lines, "dump_graph", None)
 
 
 @query(sql.over("part_supp", "", " select src, dst, true as whole, true as within from e"))
@@ -295,10 +297,19 @@ def stream_apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load().edges
 
 
+def _inserted_stream(graph: Graph) -> DataFrame:
+    store, _ = experiments.insert_only(graph.edges, _scratch(graph.spark), 3, SEED)
+    return store.load().edges
+
+
 @query(sql.over("part_cooccur_sparse", "", " select * from e"))
 def insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, _ = experiments.insert_only(projections.part_cooccur_sparse(spark, sf_dir).edges, _scratch(spark), 3, SEED)
-    return store.load().edges
+    return _inserted_stream(projections.part_cooccur_sparse(spark, sf_dir))
+
+
+@query(sql.over("part_cooccur", "", " select * from e"))
+def whole_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inserted_stream(projections.part_cooccur(spark, sf_dir))
 
 
 @query(f"with {_LOG}, {_OLD}, n2 as (select count(*) as n from (select src, dst from log group by 1, 2 having max_by(weight, seq) >= 0)) "
@@ -417,12 +428,24 @@ def read_dimacs9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_dimacs9(spark, _written(spark, sf_dir, True, "a "))
 
 
-@query(sql.over("part_cooccur_sparse", "undirected", """, k as (select id, row_number() over (order by id) as k from v)
-select a.k as src, b.k as dst, weight from arcs join k a on arcs.src = a.id join k b on arcs.dst = b.id"""))
+def _metis_again(graph: Graph) -> DataFrame:
+    path = _scratch(graph.spark)
+    sinks.write_metis(_held(graph), path)
+    return text.read_metis(graph.spark, path)
+
+
+_METIS = """, k as (select id, row_number() over (order by id) as k from v)
+select a.k as src, b.k as dst, weight from arcs join k a on arcs.src = a.id join k b on arcs.dst = b.id"""
+
+
+@query(sql.over("part_cooccur_sparse", "undirected", _METIS))
 def read_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
-    sinks.write_metis(_held(projections.part_cooccur_sparse(spark, sf_dir)), path)
-    return text.read_metis(spark, path)
+    return _metis_again(projections.part_cooccur_sparse(spark, sf_dir))
+
+
+@query(sql.over("part_cooccur", "undirected", _METIS))
+def whole_read_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metis_again(projections.part_cooccur(spark, sf_dir))
 
 
 @query(sql.over("part_supp", "directed", " select id from v"))
@@ -463,8 +486,17 @@ def graphlog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.log_updates(_packed_log(spark, sf_dir)).select("src", "dst", "weight")
 
 
+def _loaded_again(graph: Graph) -> DataFrame:
+    path = _scratch(graph.spark) + ".wel"
+    sinks.write_edges(algebra.symmetrize(graph.edges), path)
+    return load.load_graph(graph.spark, path, directed=False).edges
+
+
 @query(sql.over("part_cooccur_sparse", "", " select * from e"))
 def load_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark) + ".wel"
-    sinks.write_edges(algebra.symmetrize(projections.part_cooccur_sparse(spark, sf_dir).edges), path)
-    return load.load_graph(spark, path, directed=False).edges
+    return _loaded_again(projections.part_cooccur_sparse(spark, sf_dir))
+
+
+@query(sql.over("part_cooccur", "", " select * from e"))
+def whole_load_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded_again(projections.part_cooccur(spark, sf_dir))
