@@ -1,0 +1,62 @@
+"""Written files are bounded by rows, whatever the number of partitions and however often a pair comes."""
+
+import glob
+
+import pyarrow.parquet as pq
+
+from tests.graph.test_updates import rows_of, sequential
+from vertexloom.plans import catalogue
+from vertexloom.sources import binary
+from vertexloom.sources.snapshots import SnapshotStore
+from vertexloom.streaming import replay
+
+LOG = "seq long, src long, dst long, weight double"
+
+
+def hot_log(n=500):
+    """Every third update is of one pair, which is also deleted now and then."""
+    return [(i, 1, 2, -1.0 if i % 12 == 0 else float(i)) if i % 3 == 0 else (i, 3 + i % 7, 20 + i % 11, float(i)) for i in range(n)]
+
+
+def test_packed_logs(spark):
+    log = hot_log()
+    files = binary.pack_log(spark.createDataFrame(log, LOG).coalesce(1), ["updates"], block=16, file_rows=64).sort("first").collect()
+    assert len(files) >= -(-len(log) // 64)
+    found = []
+    for f in files:
+        rows = binary.log_updates(spark.createDataFrame([(f.content,)], "content binary")).sort("seq").collect()
+        assert 0 < len(rows) <= 64 and f.first == len(found)
+        found += [(f.first + r.seq, r.src, r.dst, r.weight) for r in rows]
+    assert [r[:3] for r in found] == [r[:3] for r in log]
+    assert all(a[3] == b[3] for a, b in zip(found, log) if b[3])
+
+
+def test_packed_edges(spark):
+    edges = [(i, i + 1, i / 2) for i in range(500)]
+    files = binary.pack_edges(spark.createDataFrame(edges, "src long, dst long, weight double").coalesce(1), file_rows=64)
+    assert files.count() == 8
+    assert sorted(map(tuple, binary.unpack_edges(files).collect())) == edges
+
+
+def test_segments_with_a_hot_pair(spark, tmp_path):
+    log = hot_log()
+    replay.write_segments(spark.createDataFrame(log, LOG), f"{tmp_path}/log", 3, file_rows=32)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{tmp_path}/log.updates/*/*/*.parquet")]
+    assert max(sizes) <= 32 and sum(sizes) == len(log)
+    store = SnapshotStore(spark, f"{tmp_path}/versions", directed=False)
+    records = replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress")
+    assert [r["updates"] for r in records] == [167, 167, 166]
+    assert rows_of(store.load()) == sequential({}, log, False, "ignore")
+
+
+def test_no_updates(spark, tmp_path):
+    replay.write_segments(spark.createDataFrame([], LOG), f"{tmp_path}/log", 2)
+    store = SnapshotStore(spark, f"{tmp_path}/versions", directed=False)
+    assert [r["updates"] for r in replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress")] == [0, 0]
+    assert store.load().num_edges() == 0
+
+
+def test_queries_write_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(binary.pack_log, "__defaults__", (4096, 100))
+    props = catalogue.QUERIES["graphlog_props"](spark, "/root/testdata/sf0.001").where("key = 'updates'").collect()
+    assert len(props) > 4 and all(int(r.value) <= 100 for r in props)

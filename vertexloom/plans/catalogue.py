@@ -462,13 +462,12 @@ def read_ldbc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.over("part_supp", "", " select * from e"))
 def read_ldbc_zlib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.unpack_edges(binary.pack_edges(projections.part_supp(spark, sf_dir).edges.repartition(4, "src")))
+    return binary.unpack_edges(binary.pack_edges(projections.part_supp(spark, sf_dir).edges))
 
 
 def _packed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as files, one for each worker that owns an edge."""
-    log = updates.partition_updates(projections.event_log(spark, sf_dir), 4)
-    return cut(binary.pack_log(log, ["updates"]))
+    """The log as files of ranges of ``seq``, as many as its updates need."""
+    return cut(binary.pack_log(projections.event_log(spark, sf_dir), ["updates"]))
 
 
 @query()

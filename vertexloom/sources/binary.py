@@ -19,6 +19,8 @@ from vertexloom.operators.algebra import real_weight
 
 MAGIC, BINARY = b"# GRAPHLOG", b"__BINARY_SECTION_FOLLOWS"
 _PIECE = 1 << 22
+#: Rows of a file that is written, at most; a cell holds a file.
+FILE_ROWS = 1 << 18
 
 
 def _longs(values: np.ndarray) -> np.ndarray:
@@ -146,18 +148,31 @@ def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 5051789)
     return log.withColumn("weight", F.when(F.col("weight") == 0, real_weight(seed, max_weight)).otherwise(F.col("weight")))
 
 
-def pack_edges(edges: DataFrame, weighted: bool = True) -> DataFrame:
-    """``(content)``: a packed edge file of each partition."""
+def _by_rows(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` in their order, so many at a time; only these are in memory."""
+    held, n = [], 0
+    for frame in frames:
+        while len(frame):
+            part, frame = frame.iloc[: rows - n], frame.iloc[rows - n :]
+            held.append(part)
+            n += len(part)
+            if n == rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def pack_edges(edges: DataFrame, weighted: bool = True, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``(content)``: packed edge files of at most ``file_rows`` edges; none without edges."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, parts = zlib.compressobj(), []
         fields = [("src", "<u8"), ("dst", "<u8")] + [("weight", "<f8")] * weighted
-        for frame in frames:
-            rows = np.empty(len(frame), np.dtype(fields))
+        for own in _by_rows(frames, file_rows):
+            rows = np.empty(len(own), np.dtype(fields))
             for name, _ in fields:
-                rows[name] = frame[name].to_numpy()
-            parts.append(packer.compress(rows.tobytes()))
-        yield pd.DataFrame({"content": [b"".join(parts) + packer.flush()]})
+                rows[name] = own[name].to_numpy()
+            yield pd.DataFrame({"content": [zlib.compress(rows.tobytes())]})
 
     return edges.mapInPandas(encode, "content binary")
 
@@ -189,12 +204,16 @@ def encode_log(properties: dict, final: np.ndarray, temporary: np.ndarray, updat
     return b"".join([head, *sections, *blocks])
 
 
-def pack_log(log: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
-    """``(content)``: a log of the updates of each partition, in their order by ``seq``; all its vertices are final."""
+def pack_log(log: DataFrame, keys: list[str], block: int = 4096, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``(first, content)``: logs of at most ``file_rows`` updates; all their vertices are final.
+
+    Each has a range of ``seq``, from ``first`` on, in order: read by ``first`` they are the whole log.
+    """
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.concat([*frames, pd.DataFrame({"seq": [], "src": [], "dst": [], "weight": []})]).sort_values("seq")
-        ids = np.unique(own[["src", "dst"]].to_numpy(np.int64))
-        yield pd.DataFrame({"content": [encode_log({k: len(own) for k in keys}, ids, np.array([]), own, block)]})
+        for own in _by_rows(frames, file_rows):
+            ids = np.unique(own[["src", "dst"]].to_numpy(np.int64))
+            yield pd.DataFrame({"first": own["seq"].iloc[:1], "content": [encode_log({k: len(own) for k in keys}, ids, np.array([]), own, block)]})
 
-    return log.select("seq", "src", "dst", "weight").mapInPandas(encode, "content binary")
+    ranges = log.select("seq", "src", "dst", "weight").repartitionByRange("seq").sortWithinPartitions("seq")
+    return ranges.mapInPandas(encode, "first long, content binary")

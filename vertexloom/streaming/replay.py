@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.graph import EDGE_SCHEMA, Graph
 from vertexloom.operators.updates import apply_batch
+from vertexloom.sources.binary import FILE_ROWS
 from vertexloom.sources.snapshots import SnapshotStore
 
 LOG_SCHEMA = "seq long, src long, dst long, weight double"
+SEGMENT_SCHEMA = "segment long, path string, updates long"
 
 
-def write_segments(log: DataFrame, folder: str, segments: int, files: int = 1) -> None:
-    """A log as numbered segments of Parquet, each a range of ``seq`` in at most so many files.
+def write_segments(log: DataFrame, folder: str, segments: int, files: int = 1, file_rows: int = FILE_ROWS) -> None:
+    """A log as numbered segments, each a range of ``seq``: ``folder`` gets a file for each that names its updates.
 
-    All updates of an edge within a segment are in one file, so files may be taken apart as long as
-    segments stay in order.
+    The updates are Parquet files beside ``folder``, ranges of ``seq`` too, of at most ``file_rows``
+    updates and ``files`` a segment or more. An edge's updates may so be in any number of files, and a
+    segment has to be taken as a whole.
     """
+    spark = log.sparkSession
     low, high = log.agg(F.min("seq"), F.max("seq")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // segments))
-    part = F.floor((F.col("seq") - (low or 0)) / width)
+    parts = log.select("seq", "src", "dst", "weight", F.floor((F.col("seq") - (low or 0)) / width).alias("segment"))
+    counts = {r["segment"]: r["count"] for r in parts.groupBy("segment").count().collect()}  # a row per segment
+    path = f"{folder}.updates/{uuid.uuid4().hex}"
+    ranges = parts.repartitionByRange(max(segments * files, -(-sum(counts.values()) // file_rows)), "seq").sortWithinPartitions("seq")
+    ranges.write.option("maxRecordsPerFile", file_rows).partitionBy("segment").parquet(path)
     for k in range(segments):
-        log.where(part == k).select("seq", "src", "dst", "weight").repartition(files, "src", "dst").write.mode("append").parquet(folder)
+        named = spark.createDataFrame([(k, f"{path}/segment={k}", counts.get(k, 0))], SEGMENT_SCHEMA)
+        named.coalesce(1).write.mode("append").parquet(folder)
 
 
 def replay(
@@ -36,9 +46,9 @@ def replay(
     on_duplicate: str = "ignore",
     timeout: float = 0,
 ) -> list[dict]:
-    """Apply the log in ``folder`` as a stream into ``store``; a record per micro-batch.
+    """Apply the log that ``write_segments`` put in ``folder`` as a stream into ``store``; a record per micro-batch.
 
-    The file source takes ``files`` files at a time, oldest first. Batch k makes version k + 1 from
+    The file source takes ``files`` segments at a time, oldest first. Batch k makes version k + 1 from
     version k; a batch that is run again after a failure finds its version or makes it anew, so the
     store must belong to the stream and its checkpoint alone.
     """
@@ -55,11 +65,14 @@ def replay(
             before = store.load(epoch)
         else:
             before = Graph(spark.createDataFrame([], "id long"), spark.createDataFrame([], EDGE_SCHEMA), store.directed)
-        store.build(apply_batch(before, batch, on_duplicate), epoch + 1)
-        records.append({"version": epoch + 1, "updates": batch.count(), "seconds": time.monotonic() - began})
+        named = batch.where("updates > 0").collect()  # a row per segment
+        paths = [r["path"] for r in named]
+        log = spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
+        store.build(apply_batch(before, log, on_duplicate), epoch + 1)
+        records.append({"version": epoch + 1, "updates": sum(r["updates"] for r in named), "seconds": time.monotonic() - began})
 
     query = (
-        spark.readStream.schema(LOG_SCHEMA)
+        spark.readStream.schema(SEGMENT_SCHEMA)
         .option("maxFilesPerTrigger", files)
         .parquet(folder)
         .writeStream.foreachBatch(step)
