@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.text import lower_ascii
+from vertexloom.llm.text import as_row, from_row, lower_ascii
 from vertexloom.session import cut, spread, table
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16384, 12
@@ -121,14 +121,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("_keep"))
-    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return docs.join(kept, same_id, "left_semi")
-    named = docs.withColumn("_text", F.sha2(F.encode(lower_ascii(F.coalesce("text", F.lit(""))), "UTF-8"), 256))
-    stay = named.join(kept, same_id & (F.col("_text") == F.col("_sha")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
+
+    ``docs`` has ``doc_id`` and ``text``. Rows that repeat both are one row in the result; of those
+    that repeat the id alone each text is judged for itself. A null id stays if its group has no other.
+    """
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha"))
+    sha = F.sha2(F.encode(lower_ascii(F.coalesce("text", F.lit(""))), "UTF-8"), 256)
+    named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), sha.alias("sha"))
+    stay = named.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["id", "sha"])
+    return from_row(stay, docs)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
