@@ -214,8 +214,10 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; the lengths must be 1 to ``capacity``.
 
-    The number of shards follows the number of pieces, and pieces are dealt by a hash of the row, so
-    no source or group of copies lands in one shard. Sequences never span shards.
+    The number of shards follows the number of pieces, and pieces are dealt by a hash of the row and
+    of its place in ``pieces``, so neither a source nor a group of copies, nor ids that are null or
+    repeat, land in one shard. Places only stay as they are if ``pieces`` has been written before
+    (``cut``). Sequences never span shards.
     """
     shards = max(1, round(pieces.count() / shard_pieces))
 
@@ -227,7 +229,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         return frame.drop(columns="shard")
 
     names = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(packed, ", ".join([*names, "sequence_id long", "offset long"]))
 
 
