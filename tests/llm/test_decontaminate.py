@@ -6,7 +6,7 @@ import re
 
 from vertexloom.llm import op9_decontaminate as op9
 
-DOCS = "doc_id long, text string, words string, digest string, item_id string"
+DOCS = "doc_id long, text string, row string, digest string, out string"
 BENCH = "item_id long, text string, key string"
 
 
@@ -59,8 +59,15 @@ def test_random_texts(spark):
     check(spark, *random_case(2, ["a", "b", "é"], 60))
 
 
-def test_benchmark_in_turns(spark):
-    check(spark, *random_case(3, [f"w{i}" for i in range(50)], 60), broadcast_bytes=200)
+def test_nothing_broadcast(spark):
+    check(spark, *random_case(3, [f"w{i}" for i in range(50)], 60), broadcast_bytes=0)
+
+
+def test_a_word_repeated_over_and_over(spark):
+    check(spark, [(1, "x " * 5_000), (2, "x " * 14 + "y " * 9_000 + "x " * 12), (3, "x")], [(1, "x " * 300), (2, "y y")])
+    frame = spark.createDataFrame([(1, "x " * 200_000, "", "", "")], DOCS)
+    found = op9.decontaminate(frame, spark.createDataFrame([(1, "x " * 60, "")], BENCH)).first()
+    assert (found.n_words, found.n_hit, found.n_items) == (200_000, 200_000, 1)
 
 
 def test_blocks_lose_no_window(spark, monkeypatch):

@@ -2,12 +2,16 @@
 
 Every text's k-word grams are hashed and of each ``w`` consecutive hashes the smallest is kept. Two
 texts that share ``k + w - 1`` words in a row share all hashes of that span, so also the smallest one:
-each shared window is found by a join of the kept hashes. A hit is then extended along its diagonal,
-word by word, and only runs as long as a window count. So no shared window is missed and none is made
-up, whatever the hashes do.
+each shared window is found by a join of the kept hashes. A hit names a diagonal, the distance between
+the places in both texts; each diagonal is extended once, word by word, and only runs as long as a
+window count. So no shared window is missed and none is made up, whatever the hashes do.
 
 Benchmark items shorter than a window are windows of their own length, with a ``k`` and ``w`` that
 guarantee spans of that length. Everything is built-in functions.
+
+Documents are winnowed once. Their fingerprints carry no words, and neither do the benchmark's: words
+are fetched afterwards, for the diagonals alone. What is broadcast is measured before; where it is over
+``broadcast_bytes`` the same join is left to Spark, which shuffles both sides.
 """
 
 from __future__ import annotations
@@ -15,19 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.text import lower_ascii
-from vertexloom.session import spread, table
+from vertexloom.llm.text import as_row, from_row, lower_ascii
+from vertexloom.session import cut, spread, table
 
 WINDOW = 13
 #: A document is hit beyond this share of its words: one in so many.
 SHARE = 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Documents are matched in blocks of so many words; a position in a block fits the low bits of a packed gram.
-BLOCK, POSITION_BITS = 1 << 16, 20
-#: Items are matched in blocks of so many words, each of which goes along with its fingerprints.
-ITEM_BLOCK = 256
-#: Benchmark text matched at once, in bytes; its fingerprints and words are broadcast. More is matched in turns.
-BROADCAST_BYTES = 4 << 20
+#: Documents and items are matched in blocks of so many words; a place in a block fits the low bits of a packed gram.
+BLOCK, ITEM_BLOCK, POSITION_BITS = 1 << 12, 256, 20
+#: Fingerprints, diagonals and item words are broadcast up to so many bytes each.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a fingerprint's or diagonal's row in a broadcast table, and of a word, about.
+ROW_BYTES, WORD_BYTES = 100, 24
 
 
 def words_of(text: Column) -> Column:
@@ -35,40 +39,70 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _grams(words: Column, span: int) -> Column:
-    """Hash of each gram in the high bits, its place in the low ones; empty if there is no such span."""
-    k = max(1, span // 2)
-    low = (1 << POSITION_BITS) - 1
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def gram(i: Column) -> Column:
-        return F.xxhash64(F.lit(span), F.slice(words, i + 1, F.lit(k))).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))
+def _over(values: Column, span: int, join) -> Column:
+    """``join`` over every ``span`` values in a row, by doubling: each step joins two halves, which may overlap."""
 
-    return F.when(F.size(words) >= span, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram))
+    def halves(by: int):
+        def joined(v: Column) -> Column:
+            n = F.size(v) - by
+            return F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, F.lit(by + 1), n), join)
 
+        return joined
 
-def _winnowed(grams: Column, span: int) -> Column:
-    """The smallest gram of every ``w`` in a row, each once."""
-    w = span - max(1, span // 2) + 1
+    reach = 1
+    while reach < span:
+        by = min(reach, span - reach)
+        values = _with(values, halves(by))
+        reach += by
+    return values
 
-    def least(i: Column) -> Column:
-        return F.array_min(F.slice(grams, i + 1, F.lit(w)))
 
-    kept = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(grams) - w), least))
-    return F.when(grams.isNotNull(), kept).otherwise(F.array().cast("array<bigint>"))
+def _fingerprint(words: Column, span: int) -> Column:
+    """The smallest gram of every ``w`` in a row, each once; the gram's hash is in the high bits, its place in the low ones.
+
+    ``words`` must have ``span`` of them at least.
+    """
+    k = max(1, span // 2)
+    w, low = span - k + 1, (1 << POSITION_BITS) - 1
+    grams = _over(F.transform(words, lambda x: F.xxhash64(x, F.lit(span))), k, lambda x, y: F.xxhash64(x, y))
+    placed = F.transform(grams, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    return F.array_distinct(_over(placed, w, lambda x, y: F.least(x, y)))
 
 
 def _fingerprints(rows: DataFrame, spans: list[int], only: Column | None = None) -> DataFrame:
-    """A row for each kept gram of ``words``: ``key`` and ``at``, besides the other columns.
+    """A row for each kept gram of ``words``: ``key`` and ``at``, besides the other columns but ``words``; one with nulls for the row itself.
 
     ``only``: the span of each row, else all spans are taken of every row.
     """
-    names = rows.columns
-    own = [F.lit(True) if only is None else only == span for span in spans]
-    rows = rows.select("*", *[F.when(o, _grams(F.col("words"), s)).alias(f"_g{s}") for o, s in zip(own, spans)])
-    kept = F.concat(*[_winnowed(F.col(f"_g{s}"), s) for s in spans])
-    packed = rows.select(*names, F.explode(kept).alias("_f"))
-    at = F.col("_f").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    return packed.select(*names, F.shiftright("_f", POSITION_BITS).alias("key"), at.alias("at"))
+    names = [c for c in rows.columns if c != "words"]
+    none = F.array().cast("array<bigint>")
+
+    def own(span: int) -> Column:
+        fits = F.size("words") >= span
+        return F.when(fits if only is None else fits & (only == span), _fingerprint(F.col("words"), span)).otherwise(none)
+
+    kept = F.concat(F.array(F.lit(None).cast("bigint")), *[own(s) for s in spans])
+    packed = rows.select(*names, kept.alias("f")).select(*names, F.explode("f").alias("f"))
+    at = F.col("f").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
+    return packed.select(*names, F.shiftright("f", POSITION_BITS).alias("key"), at.alias("at"))
+
+
+def _blocks(rows: DataFrame, block: int, window: int) -> DataFrame:
+    """Rows ``(..., words)`` cut into blocks that overlap by a window but one: ``(..., block, words)``; block: its first place."""
+    names = [c for c in rows.columns if c != "words"]
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(block - window + 1))
+    cut_up = rows.select(*names, F.col("words").alias("all"), F.explode(starts).alias("block"))
+    words = F.when(F.size("all") <= block, F.col("all")).otherwise(F.slice("all", F.col("block") + 1, F.lit(block)))
+    return cut_up.select(*names, "block", words.alias("words"))
+
+
+def _small(df: DataFrame, size: int, most: int) -> DataFrame:
+    return F.broadcast(df) if size <= most else df
 
 
 def _runs(words: Column, item: Column, shift: Column, least: Column) -> Column:
@@ -100,38 +134,51 @@ def _covered(runs: Column) -> Column:
     return F.aggregate(runs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
-def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``(doc_id, digest, item_id, run)``: shared runs; docs ``(doc_id, digest, text)``, bench ``(item_id, text)``."""
+def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, digest, n_words)`` of all documents, and shared runs ``(doc_id, digest, item_id, run)``.
+
+    docs is ``(doc_id, digest, text)``, bench ``(item_id, text)``.
+    """
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words"))
-    items = items.where(F.size("words") > 0).withColumn("least", F.least(F.size("words"), F.lit(window)))
-    places = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(ITEM_BLOCK - window + 1))
-    items = items.select("item_id", "words", "least", F.explode(places).alias("_at"))
-    items = items.select("item_id", F.slice("words", F.col("_at") + 1, F.lit(ITEM_BLOCK)).alias("words"), "least")
-    spans = [row["least"] for row in items.select("least").distinct().collect()]  # 1 to ``window``
-    if not spans:
-        return docs.select("doc_id", "digest", F.lit("").alias("item_id"), F.expr("named_struct('s', 0, 'e', 0)").alias("run")).limit(0)
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    turns = -(-size // broadcast_bytes)
-
-    step = BLOCK - window + 1
-    cut = docs.select("doc_id", "digest", words_of(F.col("text")).alias("all"))
-    cut = cut.where(F.size("all") >= min(spans))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)), F.lit(step))
-    blocks = cut.select("doc_id", "digest", "all", F.explode(starts).alias("block"))
-    words = F.when(F.size("all") <= BLOCK, F.col("all")).otherwise(F.slice("all", F.col("block") + 1, F.lit(BLOCK)))
-    grams = _fingerprints(blocks.select("doc_id", "digest", "block", words.alias("words")), spans)
-
-    found = None
-    for turn in range(turns):
-        some = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(turns)) == turn) if turns > 1 else items
-        prints = _fingerprints(some, spans, F.col("least")).select("key", F.col("at").alias("item_at"), "item_id", F.col("words").alias("item"), "least")
-        hits = grams.join(F.broadcast(prints), "key")
-        runs = _runs(F.col("words"), F.col("item"), F.col("at") - F.col("item_at"), F.col("least"))
-        hits = hits.select("doc_id", "digest", "item_id", "block", F.explode(runs).alias("r"))
-        run = F.struct((F.col("r.s") + F.col("block")).alias("s"), (F.col("r.e") + F.col("block")).alias("e"))
-        hits = hits.select("doc_id", "digest", "item_id", run.alias("run"))
-        found = hits if found is None else found.unionAll(hits)
-    return found
+    items = items.where(F.size("words") > 0).distinct().withColumn("least", F.least(F.size("words"), F.lit(window)))
+    parts = _blocks(items, ITEM_BLOCK, window)
+    parts = cut(parts.select(F.monotonically_increasing_id().alias("part"), "item_id", "least", "words"))
+    spans = sorted(row["least"] for row in parts.select("least").distinct().collect())  # 1 to ``window``
+    prints = _fingerprints(parts.select("part", "least", "words"), spans, F.col("least")).where("key is not null")
+    prints = cut(prints.select("key", F.col("at").alias("item_at"), "part"))
+
+    # One pass: a row of its own for each document, and one for each of its diagonals.
+    split = docs.select("doc_id", "digest", words_of(F.col("text")).alias("words"))
+    split = split.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "words")
+    met = _fingerprints(_blocks(split, BLOCK, window), spans)
+    met = met.join(_small(prints, ROW_BYTES * prints.count(), broadcast_bytes), "key", "left")
+    itself = F.col("key").isNull() & (F.col("block") == 0)
+    met = met.where(itself | F.col("part").isNotNull()).select(
+        "doc_id",
+        "digest",
+        "block",
+        "part",
+        (F.col("at") - F.col("item_at")).alias("shift"),
+        F.when(itself, F.col("n_words")).alias("n_words"),
+        F.when(itself, F.monotonically_increasing_id()).alias("own"),
+    )
+    met = cut(met.distinct())
+    rows = met.where("own is not null").select("doc_id", "digest", "n_words")
+    diagonals = met.where("own is null").select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("block").alias("b"), "part", "shift")
+
+    # Words of the documents that are hit, then of the items.
+    size = ROW_BYTES * diagonals.count()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))
+    hit = docs.join(_small(diagonals.select("d", "g").distinct(), size, broadcast_bytes), same, "left_semi")
+    blocks = _blocks(hit.select("doc_id", "digest", words_of(F.col("text")).alias("words")), BLOCK, window)
+    found = blocks.join(_small(diagonals, size, broadcast_bytes), same & (F.col("block") == F.col("b"))).drop("d", "g", "b")
+    item_words = parts.select("part", "item_id", "least", F.col("words").alias("item"))
+    n_words = parts.agg(F.sum(F.size("words"))).first()[0] or 0
+    found = found.join(_small(item_words, WORD_BYTES * n_words, broadcast_bytes), "part")
+    runs = _runs(F.col("words"), F.col("item"), F.col("shift"), F.col("least"))
+    found = found.select("doc_id", "digest", "item_id", "block", F.explode(runs).alias("r"))
+    run = F.struct((F.col("r.s") + F.col("block")).alias("s"), (F.col("r.e") + F.col("block")).alias("e"))
+    return rows, found.select("doc_id", "digest", "item_id", run.alias("run"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share: int = SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -140,17 +187,16 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share
     docs has ``doc_id`` and ``text``, bench ``item_id`` and ``text``; other columns are not read. A
     null text has no words and is not contaminated; an item without words has no window. An item_id
     that repeats counts once, a null one as the empty string. Repeated rows of docs all come back;
-    ``digest`` is a hash of the text that tells rows of one doc_id apart.
+    ``digest`` is a hash of the text that tells rows of one doc_id apart. A very long text is taken in
+    blocks; one that repeats a word of the benchmark over and over costs a diagonal of at most
+    ``ITEM_BLOCK`` words for each of its places and block of an item.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    rows, runs = matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")), bench, window, broadcast_bytes)
     by_doc = (
-        matches(named, bench, window, broadcast_bytes)
-        .groupBy("doc_id", "digest")
+        runs.groupBy("doc_id", "digest")
         .agg(F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.collect_set("item_id")).alias("items"))
         .select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), _covered(F.col("runs")).alias("hit"), "items")
     )
-    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), ""))
-    rows = named.select("doc_id", "digest", n_words.cast("long").alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
     n_hit = F.coalesce(F.col("hit").cast("long"), F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -166,10 +212,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    out = decontaminate(docs, bench).where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_digest"))
-    return docs.join(out.distinct(), same, "left_anti")
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever these are called."""
+    out = decontaminate(docs, bench).where("contaminated").select(F.col("doc_id").alias("out"), F.col("digest").alias("out_digest")).distinct()
+    named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("out")) & (F.col("digest") == F.col("out_digest"))
+    return from_row(named.join(out, same, "left_anti"), docs)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
