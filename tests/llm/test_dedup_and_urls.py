@@ -106,14 +106,29 @@ def test_odd_urls(spark):
     assert op4.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_a_list_too_large_for_a_literal_is_joined(spark):
-    check_urls(spark, max_level_bytes=0)
+def test_filters_that_are_not_broadcast(spark):
+    check_urls(spark, broadcast_bytes=0)
+    check_urls(spark, broadcast_bytes=0, filter_keys=1)
+
+
+def test_a_list_that_is_a_table(spark):
+    hosts = [f"h{i}.example.org" for i in range(300)]
+    bad = [h for i, h in enumerate(hosts) if i * 7919 % 11 < 3] + ["elsewhere.org", None]
+    rows = [(i, f"http://{h}/x", "", "", "") for i, h in enumerate(hosts)]
+    listed = spark.createDataFrame([(h, "note") for h in bad + bad], "name string, host string")
+    for filter_keys in (1 << 15, 20):
+        found = op4.filter_urls(spark.createDataFrame(rows, PAGES), listed, filter_keys=filter_keys).collect()
+        assert len(found) == 300 and all((r.verdict == "block") == r.listed == (r.host in bad) for r in found)
+    nothing = op4.filter_urls(spark.createDataFrame(rows, PAGES), listed.limit(0)).collect()
+    assert {r.verdict for r in nothing} == {"allow"}
 
 
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("host"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed")).cache()
-    levels = op4.build_cascade(keys)
-    assert len(levels) > 2
-    wrong = keys.where(op4.cascade_flag(F.col("key"), levels) != F.col("listed"))
-    assert wrong.count() == 0
-    assert sum(len(x.payload) for x in levels) < 20_000 * 2 / 8
+    for filter_keys in (1 << 15, 300):
+        cascade = op4.build_cascade(keys, filter_keys)
+        assert len(cascade.hashes) > 2 and cascade.filters.count() == cascade.parts == max(1, -(-2858 // filter_keys))
+        told = op4.with_listed(keys.withColumnRenamed("listed", "wanted"), "key", cascade)
+        assert told.count() == 20_000 and told.where("listed <> wanted").count() == 0
+        words = cascade.filters.select(sum(F.coalesce(F.size(c), F.lit(0)) for c in cascade.filters.columns[1:]).alias("n"))
+        assert 8 * words.agg(F.sum("n")).first()[0] < 20_000 * 2 / 8

@@ -3,8 +3,12 @@
 The cascade's even levels hold listed keys, its odd levels the other keys that got through the level
 above, taken over the complete set of keys in the corpus. A key goes down the levels until one does
 not have it; the parity of that level says whether it is listed. Over the key universe it was built
-from, this is exact, and applying it needs neither a join nor Python: a level is a binary literal
-whose bits are tested by built-in functions.
+from, this is exact: no key is looked up in the list again.
+
+Keys are dealt by a hash over as many filters as the list needs, each a row that holds the bits of its
+levels as arrays of longs. Rows get the filter of their key, broadcast where all filters together are
+small, and built-in functions test the bits. The filters are made, kept and tested on executors; the
+driver sees a count per level.
 """
 
 from __future__ import annotations
@@ -28,48 +32,54 @@ RULES = (
 # Name parts of hosts that the list of unwanted sites has.
 LISTED_LABELS = ("adult-x", "spam-farm", "cheap-pills", "ads-track", "casino-win", "free-bets")
 
-#: A level's literal never takes more than this; beyond it membership is a join (see ``listed_flag``).
-MAX_LEVEL_BYTES = 8 << 20
+#: Listed keys of one filter, about, and the bytes up to which all filters are broadcast.
+FILTER_KEYS, BROADCAST_BYTES = 1 << 15, 32 << 20
 
 
 @dataclass(frozen=True)
-class Level:
-    bits: int
-    hashes: int
-    seed: int
-    payload: bytes
-
-
-def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(bits)) for i in range(hashes)]
-
-
-def _contains(key: Column, level: Level) -> Column:
-    payload, found = F.lit(level.payload), F.lit(True)
-    for at in _positions(key, level.bits, level.hashes, level.seed):
-        byte = F.conv(F.hex(F.substring(payload, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        found = found & (byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0)
-    return found
-
-
-def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """A filter of ``keys`` with that false-positive rate. What reaches the driver are its own bytes."""
-    bits = max(64, math.ceil(count * math.log2(1 / rate) / math.log(2)))
-    hashes = max(1, round(bits / max(count, 1) * math.log(2)))
-    rows = (
-        keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("at"))
-        .groupBy(F.floor(F.col("at") / 8).cast("int").alias("byte"))
-        .agg(F.bit_or(F.pow(F.lit(2), F.pmod("at", F.lit(8))).cast("int")).alias("value"))
-        .collect()
+class Cascade:
+    """``filters``: (part, w0, w1, ...), a row per part and the bits of each level; ``hashes``: how many each level takes."""
+
+    filters: DataFrame
+    parts: int
+    hashes: tuple[int, ...]
+    n_bytes: int
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts)).cast("int")
+
+
+def _places(key: Column, bits: Column, hashes: int, depth: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(1000 * (depth + 1) + i)), bits) for i in range(hashes)]
+
+
+def _contains(key: Column, words: Column, hashes: int, depth: int) -> Column:
+    """Whether a level has the key; one without bits has none."""
+    found = words.isNotNull()
+    for at in _places(key, 64 * F.size(words).cast("long"), hashes, depth):
+        word = F.get(words, F.floor(at / 64).cast("int"))
+        found = found & (F.bit_get(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
+    return F.coalesce(found, F.lit(False))
+
+
+def _level(keys: DataFrame, bits_per_key: float, hashes: int, depth: int) -> DataFrame:
+    """``(part, words)``: the bits of ``keys(part, key)``."""
+    sized = keys.groupBy("part").agg(F.ceil(F.count("*") * bits_per_key / 64).cast("int").alias("n"))
+    at = F.explode(F.array(*_places(F.col("key"), 64 * F.col("n").cast("long"), hashes, depth)))
+    set_bits = keys.join(sized, "part").select("part", at.alias("at")).select(
+        "part",
+        F.floor(F.col("at") / 64).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("bits"),
     )
-    payload = bytearray(bits // 8 + 1)
-    for row in rows:
-        payload[row["byte"]] = row["value"]
-    return Level(bits, hashes, seed, bytes(payload))
+    none = sized.select("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
+    whole = set_bits.unionAll(none).groupBy("part", "word").agg(F.bit_or("bits").alias("bits"))
+    ordered = whole.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("ws"))
+    return ordered.select("part", F.transform("ws", lambda w: w["bits"]).alias("words"))
 
 
-def build_cascade(keys: DataFrame, max_level_bytes: int = MAX_LEVEL_BYTES) -> list[Level] | None:
-    """Levels for ``keys(key, listed)``, one row per key of the universe; None if one would be too large.
+def build_cascade(keys: DataFrame, filter_keys: int = FILTER_KEYS) -> Cascade | None:
+    """Filters for ``keys(key, listed)``, one row per key of the universe; None if nothing is listed.
 
     The first level's rate follows the ratio of listed to other keys, which makes the whole cascade
     about as small as it can be; later levels use one half. The levels end with the first that lets
@@ -78,27 +88,40 @@ def build_cascade(keys: DataFrame, max_level_bytes: int = MAX_LEVEL_BYTES) -> li
     counts = {row["listed"]: row["n"] for row in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
     inside, outside = counts.get(True, 0), counts.get(False, 0)
     if not inside:
-        return []
+        return None
+    parts = max(1, -(-inside // filter_keys))
     rate = min(0.5, max(1e-6, inside * math.sqrt(0.5) / max(outside, 1)))
-    levels, alive, count = [], keys, inside
+    alive, count, levels, hashes, n_bytes = keys.select(_part(F.col("key"), parts).alias("part"), "key", "listed"), inside, [], [], 0
     while count:
-        if count * math.log2(1 / rate) / math.log(2) / 8 > max_level_bytes:
-            return None
-        polarity = len(levels) % 2 == 0
-        level = _level(alive.where(F.col("listed") == polarity), count, rate, seed=1000 * (len(levels) + 1))
-        levels.append(level)
-        alive = alive.where(_contains(F.col("key"), level))
+        depth = len(levels)
+        polarity = depth % 2 == 0
+        bits = math.log2(1 / rate) / math.log(2)
+        hashes.append(max(1, round(bits * math.log(2))))
+        own = cut(_level(alive.where(F.col("listed") == polarity), bits, hashes[-1], depth))
+        levels.append(own.select("part", F.lit(depth).alias("depth"), "words"))
+        through = alive.join(own, "part").where(_contains(F.col("key"), F.col("words"), hashes[-1], depth))
+        alive = cut(through.select("part", "key", "listed"))
+        n_bytes += int(count * bits / 8) + 8 * parts
         count = alive.where(F.col("listed") != polarity).count()
         rate = 0.5
-    return levels
-
-
-def cascade_flag(key: Column, levels: list[Level]) -> Column:
-    """Whether the key is listed; exact for every key of the universe the levels were built from."""
-    flag = F.lit(len(levels) % 2 == 1)
-    for depth in reversed(range(len(levels))):
-        flag = F.when(_contains(key, levels[depth]), flag).otherwise(F.lit(depth % 2 == 1))
-    return flag
+    rows = levels[0]
+    for level in levels[1:]:
+        rows = rows.unionAll(level)
+    columns = [F.max(F.when(F.col("depth") == d, F.col("words"))).alias(f"w{d}") for d in range(len(levels))]
+    return Cascade(cut(rows.groupBy("part").agg(*columns)), parts, tuple(hashes), n_bytes)
+
+
+def with_listed(rows: DataFrame, key: str, cascade: Cascade | None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` and ``listed``: exact for every key of the universe that the cascade was built from."""
+    if cascade is None:
+        return rows.select("*", F.lit(False).alias("listed"))
+    filters = F.broadcast(cascade.filters) if cascade.n_bytes <= broadcast_bytes else cascade.filters
+    joined = rows.select("*", _part(F.col(key), cascade.parts).alias("part")).join(filters, "part", "left")
+    depths = len(cascade.hashes)
+    flag = F.lit(depths % 2 == 1)
+    for depth in reversed(range(depths)):
+        flag = F.when(_contains(F.col(key), F.col(f"w{depth}"), cascade.hashes[depth], depth), flag).otherwise(F.lit(depth % 2 == 1))
+    return joined.select(*rows.columns, flag.alias("listed"))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -119,48 +142,51 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def key_universe(pages: DataFrame, host: Column, listed: Column) -> DataFrame:
-    """Every key of the corpus once, with whether it is listed."""
-    return cut(pages.select(host.alias("key")).distinct().select("key", listed.alias("listed")))
+def labelled_hosts(pages: DataFrame, url_col: str = "url", labels=LISTED_LABELS) -> DataFrame:
+    """``(host)``: a list of unwanted hosts, those of the corpus that have one of the labels between their dots."""
+    hosts = pages.select(url_parts(F.col(url_col))[0].alias("host")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, labels))))
 
 
-def has_label(key: Column, labels=LISTED_LABELS) -> Column:
-    return F.arrays_overlap(F.split(key, r"\."), F.array(*map(F.lit, labels)))
+def key_universe(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """Every key of the corpus once, with whether the first column of ``listed`` has it."""
+    marks = listed.select(F.col(listed.columns[0]).alias("l")).where("l is not null").distinct()
+    keys = rows.select(F.col(key).alias("key")).distinct().join(marks, F.col("key") == F.col("l"), "left")
+    return cut(keys.select("key", F.col("l").isNotNull().alias("listed")))
 
 
 def filter_urls(
     pages: DataFrame,
+    listed: DataFrame | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
     rules=RULES,
-    labels=LISTED_LABELS,
-    max_level_bytes: int = MAX_LEVEL_BYTES,
+    filter_keys: int = FILTER_KEYS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, listed)`` for every row of ``pages``.
 
-    A rule's verdict holds where one fits; elsewhere a listed host is blocked and any other allowed.
-    Null urls and urls without ``://`` have an empty host and path, which no rule fits and no list
-    has: they are allowed. Repeated rows stay; other columns are not read. The Bloom levels are
-    literals of at most ``max_level_bytes``; a list too large for that is looked up by a join.
+    ``listed`` is a table of unwanted hosts in its first column, of any size, in lower case as hosts
+    are here; without it the list is ``labelled_hosts``. Hosts that no page has, nulls and repeats in
+    it do not matter, and a listed host does not stand for its subdomains. A rule's verdict holds where
+    one fits; elsewhere a listed host is blocked and any other allowed. Null urls and urls without
+    ``://`` have an empty host and path, which no rule fits. Repeated rows stay; other columns are not
+    read.
     """
     host, path = url_parts(F.col(url_col))
-    parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    universe = key_universe(parts, F.col("host"), has_label(F.col("key"), labels))
-    levels = build_cascade(universe, max_level_bytes)
-    if levels is None:
-        flags = universe.where("listed").select(F.col("key").alias("host"), "listed")
-        parts = parts.join(flags, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        parts = parts.withColumn("listed", cascade_flag(F.col("host"), levels))
+    parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    universe = key_universe(parts, "host", labelled_hosts(pages, url_col) if listed is None else listed)
+    told = with_listed(parts, "host", build_cascade(universe, filter_keys), broadcast_bytes)
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return parts.select(
-        id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed"
+    return told.select(
+        F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed"
     )
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, labelled_hosts(pages))
 
 
 SQL = r"""
