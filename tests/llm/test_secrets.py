@@ -72,3 +72,17 @@ def test_repeated_rows_and_empty_table(spark):
     found = op3.find_secrets(spark.createDataFrame(rows, DOCS)).collect()
     assert [r.spans for r in found] == ["assign:0:12"] * 3
     assert op3.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_one_owner_in_many_repositories_has_an_example(spark):
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    found = check(spark, [(i, jwt, lang, "a", "", "") for i, lang in enumerate(["en", "de", "fr"])])
+    assert [found[i].spans for i in range(3)] == [""] * 3 and found[0].n_copied == 1
+    found = check(spark, [(i, jwt, lang, "a", "", "") for i, lang in enumerate(["en", "de", "de"])])
+    assert found[0].spans == f"webtoken:0:{len(jwt)}"
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 300_000
+    found = op3.find_secrets(spark.createDataFrame([(1, "token=abcdef\n" * n, "en", "a", "", "")], DOCS)).first()
+    assert found.n_assign == n and found.spans.endswith(f"assign:{13 * (n - 1)}:{13 * n - 1}")
