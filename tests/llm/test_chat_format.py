@@ -52,13 +52,29 @@ def test_many_turns_keep_budget_history_and_system(spark):
     cost = lambda t: -(-len(t.text) // 4) + 4
     for w, before in zip(own[1:], own):
         assert (w.turns[0].role, w.turns[0].text) == ("system", "rules <s>")
-        assert sum(map(cost, w.turns[1:])) <= 200
+        assert sum(map(cost, w.turns)) <= 200
         repeated = w.turns[1 : w.n_context]
         assert sum(map(cost, repeated)) <= 50 and (not repeated or before.turns[-len(repeated) :] == repeated)
         assert len(w.loss) == sum(t.role == "assistant" for t in w.turns[w.n_context :])
     assert any(w.n_context > 1 for w in own)
 
 
+def test_spans_are_filled(spark):
+    rows = [(1, i, "user", "w" * 36) for i in range(600)]  # 13 tokens each
+    windows = sorted(check(spark, rows, budget=130, history=26).collect(), key=lambda w: w.window)
+    assert [w.window for w in windows[:3]] == [1, 11, 19] and [w.n_context for w in windows[:3]] == [0, 2, 2]
+    assert len(windows) < 600 / 8 + 4
+    short = [(c, t, ["system", "user", "assistant"][t], "x" * 1000) for c in range(20) for t in range(3)]
+    assert check(spark, short).count() == 20
+
+
+def test_tokens_may_be_given(spark):
+    frame = spark.createDataFrame([(1, i, "user", "w", "", "5") for i in range(10)], TURNS)
+    assert op8.format_windows(frame, budget=10, history=0, tokens=F.col("n").cast("long")).count() == 5
+    assert op8.format_windows(frame, budget=10, history=5, tokens=F.col("n").cast("long")).count() == 9
+    assert op8.format_windows(frame.withColumn("n", F.lit(None)), budget=50, history=0, tokens=F.col("n")).count() == 1
+
+
 def test_whole_table(spark):
     path = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]

@@ -1,15 +1,17 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of the turns' tokens cut a conversation into spans of whole turns. Each span is one
-window: the conversation's system turn, then the last turns of the span before as far as the history
-budget goes, then its own turns. Assistant texts carry the loss mask in the window in which they are
-new and nowhere else, so every target is learnt once.
+Prefix sums of the turns' tokens cut a conversation into spans of whole turns: a span takes turns as
+long as they fit the budget beside the system turn and the history. Each span is one window: the
+conversation's system turn, then the last turns of the span before as far as the history budget goes,
+then its own turns. Assistant texts carry the loss mask in the window in which they are new and nowhere
+else, so every target is learnt once.
 
 A window is a plain string in which marks stand around every turn. Inside a text the characters that
 marks start with are escaped, so no text can forge a mark and all of it is read back as it was.
 
-Prefix sums are made in two steps, within blocks of turns and over the blocks' sums, so that a
-conversation of very many turns is not one task's work. All of it is built-in functions.
+Prefix sums are made in two steps, within blocks of turns and over the blocks' sums, and spans are
+filled within runs of ``RUN`` turns, so that a conversation of very many turns is not one task's work; a
+run's end ends a span. All of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from vertexloom.session import cut, table
 BUDGET, HISTORY = 1024, 256
 #: Turns of a conversation that are summed together.
 BLOCK = 256
+#: Turns in which spans are filled one after another.
+RUN = 256
 
 # Marks around an assistant's turn and around any other, and what stands for a character in texts.
 OPEN, CLOSE = "<s>", "</s>"
@@ -47,24 +51,29 @@ def turn_tokens(text: Column) -> Column:
     return (F.octet_length(text) + 3 - F.pmod(F.octet_length(text) + 3, F.lit(4))) / 4 + 4
 
 
-def _placed(turns: DataFrame) -> DataFrame:
-    """Turns with their number and the sum of tokens before them."""
+def _placed(turns: DataFrame, tokens: Column | None) -> DataFrame:
+    """Turns with their number, the sum of tokens before them and the tokens of the conversation's system turn."""
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        (F.lit(None) if tokens is None else tokens).cast("long").alias("given"),
     )
-    rows = rows.select("*", turn_tokens(F.col("text")).cast("long").alias("tokens"), F.floor(F.col("turn") / BLOCK).alias("block"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = F.coalesce("given", turn_tokens(F.col("text")).cast("long"))
+    rows = rows.select("conv_id", "turn", "role", "text", counted.alias("tokens"), F.floor(F.col("turn") / BLOCK).alias("block"))
+    by_block = Window.partitionBy("conv_id").orderBy("block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.struct("turn", "role", "text", "tokens")
     blocks = (
         rows.groupBy("conv_id", "block")
-        .agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+        .agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.min(F.struct(F.col("turn").isNotNull(), first.alias("first")))["first"].alias("first"))
         .select(
             F.col("conv_id").alias("c"),
             F.col("block").alias("b"),
             F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"),
             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+            F.first("first").over(by_block.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
         )
     )
     within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
@@ -73,40 +82,69 @@ def _placed(turns: DataFrame) -> DataFrame:
         rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
         .withColumn("n", F.col("n0") + F.row_number().over(within))
         .withColumn("start", F.col("t0") + summed - F.col("tokens"))
-        .select("conv_id", "n", "role", "text", "tokens", "start")
+        .withColumn("system", F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(F.lit(0).cast("long")))
+        .select("conv_id", "n", "role", "text", "tokens", "start", "system")
     )
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def _spans(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """``(c, w, w_first, w_end)``: each conversation's spans with their first turn and the one after their last.
+
+    The first span has the whole budget, others what the system turn and the history leave of it.
+    """
+    run = F.floor((F.col("n") - 1) / RUN)
+    runs = placed.groupBy("conv_id", run.alias("run"), "system").agg(F.array_sort(F.collect_list(F.struct("n", "tokens"))).alias("turns"))
+
+    def step(acc: Column, t: Column) -> Column:
+        most = F.when(acc["first"] == 1, F.lit(budget)).otherwise(F.lit(budget - history) - F.col("system"))
+        more = acc["used"] + t["tokens"] <= most
+        return F.struct(
+            F.when(more, acc["first"]).otherwise(t["n"]).alias("first"),
+            F.when(more, acc["used"] + t["tokens"]).otherwise(t["tokens"]).alias("used"),
+            F.when(more, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(t["n"]))).alias("starts"),
+        )
+
+    begin = F.element_at("turns", 1)
+    zero = F.struct(begin["n"].alias("first"), begin["tokens"].alias("used"), F.array(begin["n"]).alias("starts"))
+    starts = F.aggregate(F.slice("turns", F.lit(2), F.size("turns")), zero, step)["starts"]
+    ends = F.array_append(F.slice(F.col("starts"), F.lit(2), F.size("starts")), F.element_at("turns", -1)["n"] + 1)
+    cut_up = runs.select("conv_id", "turns", starts.alias("starts")).select("conv_id", F.explode(F.arrays_zip(F.col("starts").alias("s"), ends.alias("e"))).alias("x"))
+    return cut_up.select(F.col("conv_id").alias("c"), F.col("x.s").alias("window"), F.col("x.e").alias("w_end"))
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None) -> DataFrame:
     """``(conv_id, window, formatted, loss, n_context)``: the windows of every conversation.
 
-    ``turns`` has conv_id, turn, role, text; other columns are not read. Turns go by ``turn``, null
-    first, ties by role, then text. Null roles and texts count as empty; repeated rows are turns of
-    their own; null conv_ids are one conversation. A first turn of role ``system`` is repeated in
-    every window and any other role than ``assistant`` is never a target.
+    ``turns`` has conv_id, turn, role, text; other columns are not read, but for those that ``tokens``
+    names: a turn's own number of tokens, marks included, for budgets in real tokens; without it, or
+    where it is null, ``turn_tokens`` counts. Turns go by ``turn``, null first, ties by role, then text.
+    Null roles and texts count as empty; repeated rows are turns of their own; null conv_ids are one
+    conversation. A first turn of role ``system`` is repeated in every window and any other role than
+    ``assistant`` is never a target. A window's number is that of its first new turn.
 
     ``loss`` has start and end in ``formatted`` of each new assistant text, in code points. The first
-    ``n_context`` turns of a window are repeated. History and new turns keep to ``budget`` tokens,
-    unless a turn alone has over half of what the history leaves of it: turns are never cut.
+    ``n_context`` turns of a window are repeated. System turn, history and new turns keep to ``budget``
+    tokens together, unless the system turn and a single new turn already exceed it: turns are never cut.
     """
-    stride = max(1, (budget - history) // 2)
-    # Written once: windows, turns and system turns below all start from it.
-    placed = cut(_placed(turns).withColumn("window", F.floor(F.col("start") / stride)))
+    # Written once: spans, windows, turns and system turns below all start from it.
+    placed = cut(_placed(turns, tokens))
+    spans = _spans(placed, budget, history)
+    inside = F.col("conv_id").eqNullSafe(F.col("c")) & (F.floor((F.col("n") - 1) / RUN) == F.floor((F.col("window") - 1) / RUN))
+    inside = inside & (F.col("n") >= F.col("window")) & (F.col("n") < F.col("w_end"))
+    placed = cut(placed.join(spans, inside).drop("c", "w_end"))
     by_window = Window.partitionBy("conv_id").orderBy("window")
-    windows = (
-        placed.groupBy("conv_id", "window")
-        .agg(F.min("start").alias("first"))
-        .select(
-            F.col("conv_id").alias("c"),
-            F.col("window").alias("w"),
-            F.lead("window").over(by_window).alias("next"),
-            F.lead("first").over(by_window).alias("next_first"),
-            F.row_number().over(by_window).alias("k"),
-        )
+    windows = placed.groupBy("conv_id", "window").agg(F.min("start").alias("first"), F.sum("tokens").alias("own"), F.max("system").alias("system"))
+    room = F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("own"))
+    windows = windows.select(
+        F.col("conv_id").alias("c"),
+        F.col("window").alias("w"),
+        F.lead("window").over(by_window).alias("next"),
+        F.lead(F.col("first") - F.greatest(room, F.lit(0))).over(by_window).alias("from"),
+        F.row_number().over(by_window).alias("k"),
     )
     lead = (F.col("n") == 1) & (F.col("role") == "system")
     own = placed.join(windows, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
-    again = ~lead & (F.col("start") >= F.col("next_first") - history)
+    again = ~lead & (F.col("start") >= F.col("from"))
     new = F.struct(F.col("window").alias("window"), F.lit(False).alias("context"))
     old = F.struct(F.col("next").alias("window"), F.lit(True).alias("context"))
     shown = own.select("conv_id", "n", "role", "text", F.explode(F.when(again, F.array(new, old)).otherwise(F.array(new))).alias("at"))
@@ -206,7 +244,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-with c as (
+with recursive c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -217,13 +255,25 @@ t as (
     + 4 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<', '')) - length(replace(role, '[', ''))
     - length(replace(role, chr(10), '')) + length(role) + 1 + case when role = 'assistant' then 7 else 13 end as size
   from c),
-p as (select *, sum(tokens) over (partition by conv_id order by n) - tokens as start, n = 1 and role = 'system' as lead from t),
-w as (
-  select conv_id, win, lead(first) over (partition by conv_id order by win) as next_first
-  from (select conv_id, start // 384 as win, min(start) as first from p group by all)),
+p as (
+  select *, sum(tokens) over (partition by conv_id order by n) - tokens as start, n = 1 and role = 'system' as lead,
+    coalesce(sum(tokens) filter (n = 1 and role = 'system') over (partition by conv_id), 0) as system from t),
+g as (
+  select conv_id, n, tokens, system, n as win, tokens as used from p where n = 1
+  union all
+  select p.conv_id, p.n, p.tokens, p.system,
+    case when more then win else p.n end, case when more then used + p.tokens else p.tokens end
+  from (select g.*, g.n + 1 as m, (g.n % 256 <> 0)
+      and g.used + q.tokens <= case when g.win = 1 then 1024 else 1024 - 256 - g.system end as more
+    from g join p q on q.conv_id = g.conv_id and q.n = g.n + 1) x join p on p.conv_id = x.conv_id and p.n = x.m),
+o as (
+  select conv_id, win, first - greatest(least(256, 1024 - system - own), 0) as since
+  from (select conv_id, win, min(start) as first, sum(tokens) as own, any_value(system) as system
+    from g join (select conv_id, n, start from p) using (conv_id, n) group by conv_id, win)),
+w as (select conv_id, win, lead(since) over (partition by conv_id order by win) as next_since from o),
 s as (
-  select p.*, not lead and start >= next_first - 256 as again
-  from p join w on w.conv_id = p.conv_id and w.win = p.start // 384),
+  select p.*, not lead and start >= next_since as again
+  from p join g using (conv_id, n) join w on w.conv_id = p.conv_id and w.win = g.win),
 k as (select conv_id, count(*) - 1 as more from w group by conv_id)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
