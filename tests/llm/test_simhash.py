@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm import op7_simhash as op7
 
-DOCS = "doc_id long, text string, fp string, component_id string, id string"
+DOCS = "doc_id long, text string, fp string, row string, keep_fp string"
 
 
 def slow_fingerprint(text):
@@ -51,7 +51,7 @@ def test_links_are_all_pairs_within_two_bits(spark):
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     mask = (1 << 64) - 1
     expected = {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 2}
-    for segments in (8, 12):
+    for segments in (8, 24, 32):
         found = [frozenset((r.a, r.b)) for r in op7.links(nodes, 2, segments).collect()]
         assert len(found) == len(set(found)) and set(found) == expected
 

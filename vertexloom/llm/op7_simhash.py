@@ -1,10 +1,15 @@
 """SimHash near-dedup with a segment-popcount embedding.
 
-A fingerprint is mapped to the bit counts of its segments. Two fingerprints that differ in ``d`` bits
-are at most ``d`` apart in the Manhattan distance of these counts, so the counts are a grid in which
-all partners of a fingerprint lie within that distance: every fingerprint goes to its own cell on one
-side and to all cells of the ball around it on the other, half of the ball where cells differ. What
-meets in a cell is verified bit by bit inside the join.
+A fingerprint is mapped to the bit counts of its segments. Two fingerprints that differ in two bits at
+most are at most two apart in the Manhattan distance of these counts, so the counts are a grid, and such
+partners are in one cell, in cells one step apart, or both one step from a cell between. Every
+fingerprint goes to its own cell and to those one step from it, and partners meet in one of these; where
+they could meet in several, only one counts. What meets is verified bit by bit inside the join.
+
+A cell is named by a sum that gives each segment's count a fixed random factor, so a step adds or takes
+a factor whatever the cell. Cells that share a name by chance cost a verification and change nothing.
+With 24 segments, a random fingerprint meets about 4 of 10^9 others, so the work is the 74 cells of each
+fingerprint at every size.
 
 Equal fingerprints are one node from the start, so copies meet in no join. A fingerprint has at most
 2,080 others within two bits, which bounds the links of a group of near copies by its size, however
@@ -14,7 +19,6 @@ many they are. Groups are connected components over the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -22,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.kernels.components import star_components
+from vertexloom.llm.text import as_row, from_row
 from vertexloom.session import cut, spread, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: Bits that a segment's count takes in a cell.
-FIELD = 5
+#: Segments of a fingerprint: more thin the cells out and give each fingerprint more cells.
+SEGMENTS = 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -67,42 +72,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInPandas(compute, "doc_id long, fp long")
 
 
-def _segments(n: int) -> int:
-    """Segments for so many fingerprints: more of them thin the cells out and widen the ball."""
-    return 8 if n < 1 << 21 else 12
+def _factors(segments: int) -> list[int]:
+    """A fixed random factor for each segment's count, as signed longs."""
+    rng = np.random.default_rng(SEED)
+    return [int(x) for x in rng.integers(-(1 << 55), 1 << 55, segments)]  # sums of 64 of them do not overflow
 
 
 def _cell(fp: Column, segments: int) -> Column:
-    """Bit counts of the segments, five bits each; all are raised so that a step down cannot borrow."""
+    """The name of a fingerprint's cell."""
     cell = F.lit(0).cast("long")
-    for i in range(segments):
+    for i, factor in enumerate(_factors(segments)):
         low, high = 64 * i // segments, 64 * (i + 1) // segments
         part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        cell = cell + F.shiftleft((F.bit_count(part) + DISTANCE).cast("long"), FIELD * i)
+        cell = cell + F.bit_count(part).cast("long") * F.lit(factor)
     return cell
 
 
-def _ball(distance: int, segments: int) -> list[int]:
-    """Steps to the cells within that Manhattan distance: none, and one of each two opposite ones."""
-    steps = {0}
-    for n in range(1, distance + 1):
-        for where in combinations(range(segments), n):
-            for by in product([x for x in range(-distance, distance + 1) if x], repeat=n):
-                if sum(map(abs, by)) <= distance and by[-1] > 0:
-                    steps.add(sum(x << (FIELD * i) for i, x in zip(where, by)))
-    return sorted(steps)
+def links(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """``(a, b)``: every pair of distinct fingerprints ``fp`` that differ in at most ``distance`` bits, once.
+
+    A step is the number of a segment from 1 on, negative downwards, 0 for the own cell. Counts that
+    differ by nothing meet in their own cell; by one step, where the lower one steps up; by a step up
+    and one down, where both step up; by two steps up, between, in the order of the segments.
+    """
+    cells = nodes.select("fp", _cell(F.col("fp"), segments).alias("own"))
+    factors = _factors(segments)
 
+    def around(steps: list[int], fp: str, step: str) -> DataFrame:
+        moves = [F.struct(F.lit(s).alias("s"), F.lit(0 if not s else factors[abs(s) - 1] * (1 if s > 0 else -1)).cast("long").alias("by")) for s in steps]
+        out = cells.select("fp", "own", F.explode(F.array(*moves)).alias("m"))
+        return out.select(F.col("fp").alias(fp), F.col("m.s").alias(step), (F.col("own") + F.col("m.by")).alias("cell"))
 
-def links(nodes: DataFrame, distance: int = DISTANCE, segments: int = 8) -> DataFrame:
-    """``(a, b)``: every pair of distinct fingerprints ``fp`` that differ in at most ``distance`` bits, once."""
-    cells = nodes.select("fp", _cell(F.col("fp"), segments).alias("cell"))
-    steps = F.array(*[F.lit(s).cast("long") for s in _ball(distance, segments)])
-    around = cells.select(F.col("fp").alias("other"), F.col("cell").alias("own"), F.explode(steps).alias("by"))
-    around = around.select("other", "by", (F.col("own") + F.col("by")).alias("cell"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
-    once = (F.col("by") != 0) | (F.col("fp") < F.col("other"))
-    pairs = around.join(cells.hint("shuffle_hash"), (around["cell"] == cells["cell"]) & near & once)
-    return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    ups = list(range(1, segments + 1))
+    left, right = around([0, *ups], "a", "p"), around([0, *ups, *[-s for s in ups]], "b", "q")
+    p, q = F.col("p"), F.col("q")
+    once = ((p == 0) & (q == 0) & (F.col("a") < F.col("b"))) | ((p > 0) & (q == 0)) | ((p > 0) & (q > p)) | ((p > 0) & (q <= -p))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, distance)
+    return left.join(right, (left["cell"] == right["cell"]) & once & near).select("a", "b")
 
 
 def near_groups(
@@ -116,10 +122,10 @@ def near_groups(
     rows, other columns are not read.
     """
     if not 0 <= distance <= DISTANCE:
-        raise ValueError(f"the grid's cells hold steps of up to {DISTANCE}")
+        raise ValueError(f"partners meet one step from both, so up to {DISTANCE} bits")
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    parts = star_components(links(nodes, distance, _segments(nodes.count())), "a", "b")
+    parts = star_components(links(nodes, distance), "a", "b")
     placed = nodes.join(parts, F.col("fp") == F.col("id"), "left").select(
         "fp", "lowest", F.coalesce("component", "fp").alias("part")
     )
@@ -129,22 +135,23 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each group, with all their columns.
+    """The rows of ``docs`` with the smallest doc_id of each group, with all their columns, whatever these are called.
 
     Where ids repeat, one row of a group stays all the same: the one with the smallest fingerprint.
     """
     stay = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("component_id").agg(F.min("fp").alias("_fp")).withColumnRenamed("component_id", "_keep")
-    same_id = F.col("doc_id").eqNullSafe(F.col("_keep"))
+    stay = stay.groupBy(F.col("component_id").alias("keep")).agg(F.min("fp").alias("keep_fp"))
+    named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    same_id = F.col("id").eqNullSafe(F.col("keep"))
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return docs.join(stay, same_id, "left_semi")
+        return from_row(named.join(stay, same_id, "left_semi"), docs)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(_fps(texts, SHINGLE))
 
-    named = docs.withColumn("_own", fp("text"))
-    return named.join(stay, same_id & (F.col("_own") == F.col("_fp")), "left_semi").dropDuplicates(["doc_id", "_own"]).drop("_own")
+    named = named.select("row", "id", fp("text").alias("fp"))
+    return from_row(named.join(stay, same_id & (F.col("fp") == F.col("keep_fp")), "left_semi").dropDuplicates(["id", "fp"]), docs)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
