@@ -7,7 +7,7 @@ import pytest
 
 from vertexloom.llm import op6_quality as op6
 
-DOCS = "doc_id long, text string, lang string, score string, quality string"
+DOCS = "doc_id long, text string, row string, score string, quality string"
 LABELS = "doc_id long, quality int, toxic int, text string"
 
 
@@ -39,6 +39,32 @@ def test_votes_are_those_of_the_nearest(spark):
     assert model.scores([text] * (op6.BLOCK + 3)) == pytest.approx(expected, abs=1e-5)
 
 
+def test_axes_are_those_of_a_plain_decomposition():
+    rng = np.random.default_rng(2)
+    rows = (rng.standard_normal((90, 20)) * 0.8 ** np.arange(20)) @ rng.standard_normal((20, 300)) + 0.01 * rng.standard_normal((90, 300))
+    axes = op6.leading_axes(rows, 10)
+    plain = np.linalg.svd(rows, full_matrices=False)[2][:10].T
+    assert np.allclose(axes.T @ axes, np.eye(10), atol=1e-6)
+    assert np.linalg.svd(plain.T @ axes)[1].min() > 0.999
+
+
+def test_words_alone_can_tell(spark):
+    rng = np.random.default_rng(3)
+    good, bad = [f"g{'abcdefgh'[i]}x" for i in range(8)], [f"b{'abcdefgh'[i]}x" for i in range(8)]
+    texts = [" ".join(rng.choice(bad if i % 3 == 0 else good, 30)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, "") for i in range(400)], LABELS)
+    found = [r for r in op6.classify(docs, labels).collect() if r.held_out]
+    assert len(found) > 50 and all(r.predicted == int(r.doc_id % 3 > 0) for r in found)
+
+
+def test_frequencies_count_all_documents(spark):
+    texts = ["one two", "two", None, "", "two | three !!"] * 7
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOCS).repartition(3)
+    seen, n = op6.document_frequencies(docs)
+    assert n == 35 and (seen == sum((op6.term_counts(t) > 0).astype(int) for t in texts)).all()
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x", "y", "z"), (1, None, "x", "y", "z"), (2, "", "", "", ""), (None, "a", "", "", ""), (3, "ab " * 60_000, "", "", "")]
     docs = spark.createDataFrame(rows, DOCS)

@@ -1,10 +1,11 @@
 """Quality classifier by nearest-neighbour voting in a latent semantic space.
 
-A text's terms are the three-character shapes it is written in (character classes, not letters, so
-that they carry over between languages) and how its words repeat. Damped term counts, weighted by
-rarity, are projected on the leading singular vectors of a bounded sample of labelled documents. The
-sample's own vectors are broadcast with their labels; every document's cosine with each of them is
-computed in blocks, exactly, and the nearest ones vote with their similarity as weight.
+A text's terms are its words and its four-byte grams, both hashed to a fixed number of terms, the
+three-character shapes it is written in (character classes, not letters, so that they carry over between
+languages) and how its words repeat. Damped term counts, weighted by rarity among all documents, are
+projected on the leading singular vectors of a bounded sample of labelled documents. The sample's own
+vectors are broadcast with their labels; every document's cosine with each of them is computed in
+blocks, exactly, and the nearest ones vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm.text import as_row, from_row
 from vertexloom.session import cut, spread, table
 
 #: Labelled documents that the model is made of, at most: those with the smallest hashes of their ids.
@@ -46,8 +49,11 @@ _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate(CLASSES):
     _CLASS[list(_chars)] = _i
 SHAPES = _N**3
-#: After the shapes: words, words equal to the one before, distinct words, lines, distinct lines.
-TERMS = SHAPES + 5
+#: After the shapes: words, words equal to the one before, distinct words, lines, distinct lines; then hashed words and grams.
+HASHED, GRAM = 2048, 4
+TERMS = SHAPES + 5 + 2 * HASHED
+#: Weight of words and of grams beside the shapes.
+HASHED_WEIGHT = 0.5
 
 
 def term_counts(text: str | None) -> np.ndarray:
@@ -55,12 +61,20 @@ def term_counts(text: str | None) -> np.ndarray:
     out = np.zeros(TERMS, np.float32)
     if not text:
         return out
-    data = _CLASS[np.frombuffer(text.encode(), np.uint8)]
+    plain = text.encode()
+    data = _CLASS[np.frombuffer(plain, np.uint8)]
     shapes = data[:-2] * (_N * _N) + data[1:-1] * _N + data[2:]
     out[:SHAPES] = np.bincount(shapes, minlength=SHAPES) / max(1, len(shapes))
     words, lines = text.split(), text.split("\n")
     n = max(1, len(words))
-    out[SHAPES:] = len(words) / len(data), sum(map(eq, words, words[1:])) / n, len(set(words)) / n, len(lines) / n, len(set(lines)) / len(lines)
+    out[SHAPES : SHAPES + 5] = len(words) / len(data), sum(map(eq, words, words[1:])) / n, len(set(words)) / n, len(lines) / n, len(set(lines)) / len(lines)
+    folded = plain.lower()
+    keys = np.fromiter(map(crc32, folded.split()), np.int64) % HASHED
+    raw = np.frombuffer(folded, np.uint8).astype(np.uint32)
+    grams = raw[: 1 - GRAM] | (raw[1:-2] << 8) | (raw[2:-1] << 16) | (raw[3:] << 24) if len(raw) >= GRAM else raw[:0]
+    grams = (grams * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64) % HASHED
+    for at, found in ((SHAPES + 5, keys), (SHAPES + 5 + HASHED, grams)):
+        out[at : at + HASHED] = np.bincount(found, minlength=HASHED) * (HASHED_WEIGHT**2 / max(1, len(found)))
     return np.sqrt(out)
 
 
@@ -91,21 +105,54 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
-    """Model of a labelled sample; with no rows every score is one half."""
+def leading_axes(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """The ``k`` leading right singular vectors of a matrix, by subspace iteration from a fixed start."""
+    width = min(k + 16, *rows.shape)
+    basis = np.random.default_rng(1).standard_normal((rows.shape[0], width)).astype(rows.dtype)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(rows.T @ basis)
+        basis = rows @ basis
+    basis, _ = np.linalg.qr(rows.T @ basis)
+    return basis @ np.linalg.svd(rows @ basis, full_matrices=False)[2][:k].T
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, seen: np.ndarray | None = None, n_docs: int = 0) -> Model:
+    """Model of a labelled sample; with no rows every score is one half.
+
+    ``seen``: how many of ``n_docs`` documents have each term; without it the sample's own counts stand for it.
+    """
     if not len(labels):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
-    seen = (counts > 0).sum(axis=0)
-    weights = np.where(seen, np.log((1 + len(labels)) / (1 + seen)) + 1, 0).astype(np.float32)
-    terms = np.flatnonzero(seen)
-    used = (counts * weights)[:, terms]
-    values, leading = np.linalg.eigh((used.T @ used).astype(np.float64))
-    axes = np.zeros((TERMS, min(DIMENSIONS, max(1, len(terms)))), np.float32)
-    axes[terms] = leading[:, np.argsort(values)[::-1][:DIMENSIONS]]
+    if seen is None:
+        seen, n_docs = (counts > 0).sum(axis=0), len(labels)
+    weights = np.where(seen, np.log((1 + n_docs) / (1 + seen)) + 1, 0).astype(np.float32)
+    terms = np.flatnonzero((counts > 0).any(axis=0) & (weights > 0))
+    axes = np.zeros((TERMS, min(DIMENSIONS, max(1, len(terms)), len(labels))), np.float32)
+    if len(terms):
+        axes[terms] = leading_axes((counts * weights)[:, terms], axes.shape[1])
     bare = Model(weights, axes, np.zeros((0, 1), np.float32), labels, 0.5)
     return Model(weights, axes, bare.embed(counts), labels.astype(np.float64), float(labels.mean()))
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of all documents have each term, and how many documents there are; a row per term comes to the driver."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, n = np.zeros(TERMS, np.int64), 0
+        for frame in frames:
+            for text in frame["text"]:
+                seen += term_counts(text) > 0
+            n += len(frame)
+        own = np.append(seen, n)
+        yield pd.DataFrame({"term": np.flatnonzero(own), "n": own[own > 0]})
+
+    found = docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(TERMS + 1, np.int64)
+    for row in found:
+        seen[row["term"]] = row["n"]
+    return seen[:-1], int(seen[-1])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept out of learning: a fifth of all, by a checksum of its id."""
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 0
@@ -114,8 +161,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled documents that are not held out.
 
-    Rows without a quality do not count; where an id has several labels the lowest holds. Only
-    vectors of term counts come to the driver, one per document of the sample.
+    Rows without a quality do not count; where an id has several labels the lowest holds. How rare a
+    term is, is counted over all documents. Only the sample's non-zero term counts and a row per term
+    come to the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id"))
@@ -123,15 +171,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            counts = [term_counts(t).tobytes() for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "counts": counts})
+            rows = [term_counts(t) for t in frame["text"]]
+            terms = [np.flatnonzero(r).astype("<u2") for r in rows]
+            values = [r[t].tobytes() for r, t in zip(rows, terms)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "terms": [t.tobytes() for t in terms], "counts": values})
 
     counted = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInPandas(
-        count, "doc_id long, quality int, counts binary"
+        count, "doc_id long, quality int, terms binary, counts binary"
     )
-    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "counts").limit(sample).collect()
-    counts = np.frombuffer(b"".join(bytes(r.counts) for r in got), np.float32).reshape(len(got), TERMS)
-    return fit(counts, np.asarray([r.quality for r in got], np.int64))
+    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").limit(sample).collect()
+    if not got:
+        return fit(np.zeros((0, TERMS), np.float32), np.zeros(0, np.int64))
+    counts = np.zeros((len(got), TERMS), np.float32)
+    for own, row in zip(counts, got):
+        own[np.frombuffer(row["terms"], "<u2")] = np.frombuffer(row["counts"], np.float32)
+    return fit(counts, np.asarray([r["quality"] for r in got], np.int64), *document_frequencies(docs))
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -162,8 +216,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
-    return with_score(docs, train(docs, labels), "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    """The rows of ``docs`` that are not rejected, with all their columns, whatever these are called."""
+    rows = docs.select(as_row(docs).alias("row"), "text")
+    return from_row(with_score(rows, train(docs, labels)).where(F.col("score") >= THRESHOLD), docs)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
