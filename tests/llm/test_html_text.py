@@ -31,6 +31,23 @@ def test_blocks():
     assert blocks('<div class="b a 12" id=c7><p hidden>x')[0] == [("/div.0.a.b.c0/p.hidden", "x")]
 
 
+def test_inline_parts_and_split_references():
+    skipped = lambda html: [t for _, t in blocks(html, op1.INLINE_SKIPPED)[0]]
+    assert skipped('<p>a <span class="ad">buy <b>now</b></span> b <i hidden>c</i><span>d</span>') == ["a b d"]
+    assert skipped('<p>a <span class="ad">buy<p>b</span>c') == ["a", "bc"]
+    assert texts("<p>x &am<b></b>p; y &lt<i>;</i>") == ["x &amp; y <;"]
+
+
+def test_names_of_the_page_and_above_an_article():
+    assert op1.main_text('<html><body class="sidebar-right"><div class=x><p>text</div></body>', None) == "text"
+    assert op1.main_text('<body class="menu-open"><nav>menu</nav><article class=p1><p>text</article>', None) == "text"
+    layout = '<body><div class="sidebar-left"><article><h1>T</h1><p>a long enough text</article></div><div class=x>note</div>'
+    assert op1.main_text(layout, None) == "T\na long enough text"
+    teaser = '<body><div class=x><p>The text of this page itself</div><div class="related"><article>short</article></div>'
+    assert op1.main_text(teaser, None) == "The text of this page itself"
+    assert op1.main_text("<article><p>so <math><mi>x</mi></math> is it", None) == "so\nx\nis it"
+
+
 SITE = """<html><head><title>t {i}</title></head><body><div class="cookie-notice">We use cookies {i}</div>
 <header><h2>Site {i}</h2></header><nav><ul><li>Home<li>More {i}</ul></nav><div class="wrap with-sidebar">
 <article><header><h1>Title {i}</h1></header><p>First {i}.<div class="share-buttons">Share</div><p>Second &amp; {i}

@@ -53,10 +53,12 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(set(_NUMBER.sub("0", w) for w in words))])
 
 
-def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[str]]:
+def blocks(html: str | None, skip: frozenset[str] = frozenset()) -> tuple[list[tuple[str, str]], list[str]]:
     """Text blocks as (path, text), and the paths of all containers in the order in which they open.
 
-    Inline elements are no containers. Comments, declarations and raw text elements give no text. A
+    Inline elements are no containers, but text in one that is hidden, or that its class names an advert
+    (``skip``), is left out. Character references are decoded piece by piece, so markup within one leaves
+    it as it stands. Comments, declarations and raw text elements give no text. A
     start tag ends open elements as the standard has it; an end tag without its start is ignored;
     what is open at the end ends there. White space within a block is one space.
     """
@@ -68,9 +70,15 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[str]]:
     parts: list[str] = []
     at, size = 0, len(html)
 
+    inline: list[str] = []  # open inline elements from one on whose text is left out
+
+    def take(text: str) -> None:
+        if not inline:
+            parts.append(unescape(text))
+
     def flush() -> None:
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 found.append((stack[-1][1], text))
             parts.clear()
@@ -86,28 +94,34 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[str]]:
     while at < size:
         m = _TAG.search(html, at)
         if m is None:
-            parts.append(html[at:])
+            take(html[at:])
             break
         if m.start() > at:
-            parts.append(html[at : m.start()])
+            take(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
             if name in INLINE:
+                if name in inline:
+                    del inline[len(inline) - 1 - inline[::-1].index(name) :]
                 continue
+            inline.clear()
             flush()
             close({name})
             continue
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
+            elif name not in VOID and (inline or skip.intersection(_label(name, m[3]).split(".")[1:])):
+                inline.append(name)
             continue
         if name in RAW:
             end = _END[name].search(html, at)
             at = size if end is None else end.start()
             continue
+        inline.clear()
         flush()
         if name in CLOSES_P:
             close({"p"}, {"table", "td", "th", "button", "li", "dd", "div", "article", "section"})

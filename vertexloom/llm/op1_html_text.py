@@ -39,7 +39,7 @@ BROADCAST_BYTES = 8 << 20
 
 # What tells parts of a page that are not its article, by element and by words of class, id or role.
 OTHER_ELEMENTS = frozenset(
-    "head nav footer aside form noscript template object svg math canvas select datalist button dialog menu audio video".split()
+    "head nav footer aside form noscript template svg canvas select datalist button dialog menu audio video".split()
 )
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle promo promotion promoted sponsor sponsored sponsors "
@@ -51,6 +51,10 @@ OTHER_WORDS = frozenset(
 MAIN_WORDS = frozenset("article main content post entry story".split())
 #: First words of names that tell what a container has, not what it is.
 HAVING_WORDS = frozenset("with has have no without hide show".split())
+# Elements that hold the whole page, so their names tell what the page has.
+WHOLE_ELEMENTS = frozenset("html body".split())
+# Classes of inline elements that are no part of the text around them.
+INLINE_SKIPPED = frozenset("ad ads advert advertisement sponsored hidden".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -62,6 +66,8 @@ def _words(names: list[str]) -> list[str]:
 def _other(label: str, within: str) -> bool:
     """Whether a container is no part of the article; ``within``: the path above it."""
     name, *words = label.split(".")
+    if name in WHOLE_ELEMENTS:
+        return "hidden" in words
     if name == "header":
         return "/article" not in within
     return name in OTHER_ELEMENTS or any(w in OTHER_WORDS for w in _words(words))
@@ -95,24 +101,40 @@ def main_slot(chars: dict[str, int]) -> str:
     """The container of the article, among paths with the characters that stand directly in them.
 
     The clearest kind of container that has text wins, of several the one with most text, then the
-    outer one. Without any, it is the container below which all slots lie that are no other part's.
+    outer one. Without any, it is the container below which all slots lie that are no other part's. Names
+    above an article or main element do not count against it if it has more text than all slots that are
+    no other part's: they tell of the page's layout.
     """
     total: Counter = Counter()
     for path, n in chars.items():
         if n and not _outside(path):
+            total[""] += n
             while path:
                 total[path] += n
                 path = path.rpartition("/")[0]
-    named = [p for p in total if _rank(p)]
+    named = [p for p in total if p and _rank(p)]
+    inner: Counter = Counter()
+    for path, n in chars.items():
+        labels, at = path.split("/"), 0
+        for label in labels[1:]:
+            at += 1 + len(label)
+            top = path[:at]
+            if _rank(top) > 1 and not _outside(top, top.rpartition("/")[0]) and not _outside(path, top):
+                inner[top] += n
+            if label.partition(".")[0] in OTHER_ELEMENTS:
+                break
+    best = max(inner, key=lambda p: (inner[p], _rank(p), p), default="")
+    if best and inner[best] > total[""]:
+        return best
     if named:
         return min(named, key=lambda p: (-_rank(p), -total[p], len(p), p))
-    tops = [p for p in total if total[p] == max(total.values())]
+    tops = [p for p in total if p and total[p] == total[""]]
     return max(tops, key=len, default="")
 
 
 def page_tokens(html: str | None) -> list[tuple[str, int, int, int]]:
     """``(path, count, rank, chars)`` of a page's containers; rank: their place among their kind of siblings."""
-    found, opened = blocks(html)
+    found, opened = blocks(html, INLINE_SKIPPED)
     counts, chars, ranks = Counter(opened), Counter(), {}
     siblings: defaultdict = defaultdict(dict)
     for path in opened:
@@ -140,7 +162,7 @@ def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, html in zip(frame["host"], frame["html"]):
             chars: Counter = Counter()
             own: dict[str, bool] = {"": True}  # of a page without containers nothing is template
-            for path, text in blocks(html)[0]:
+            for path, text in blocks(html, INLINE_SKIPPED)[0]:
                 if path not in own:
                     labels = path.split("/")
                     own[path] = any(_rank(label) > 1 for label in labels)
@@ -237,7 +259,7 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def main_text(html: str | None, main: str | None, fixed: Collection[int] = ()) -> str:
     """A page's blocks in the template's article slot, without the template's blocks; a page without that slot is its own template."""
-    found, opened = blocks(html)
+    found, opened = blocks(html, INLINE_SKIPPED)
     if fixed:
         found = [(path, text) for path, text in found if _block_key(path, text) not in fixed]
     if not main or not any(_under(path, main) for path in opened):
