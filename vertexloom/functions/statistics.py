@@ -2,49 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.operators.ordering import running
+
 PERCENTILES = (90, 95, 97, 99)
 
 
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys], F.lit(True))
+
+
 def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with how many rows come before them: no window holds equal rows apart."""
+    """Distinct values of each group with how many rows come before them, in the order of range partitions: a group may span many."""
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    placed = running(counts, [*keys, "_v"], "_n", {"_all": F.col("_c")})
+    firsts = placed.groupBy(*[F.col(k).alias(f"_f_{k}") for k in keys]).agg(F.min("_all").alias("_first"))
+    return placed.join(firsts, _same(keys, "_f_")).select(*keys, "_v", "_c", (F.col("_all") - F.col("_first")).alias("_before"))
 
 
 def trial_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: count, timeouts, mean, ``stddev``, min, max, median and percentiles of a long column.
 
-    Negative values are timeouts and count for nothing else. All is truncated to integers, and
-    ``stddev`` is the mean of squares minus the square of the mean. Percentile p is the element at
-    place ``p * n / 100 - 1``, the first at least; an even number's median is the mean of two.
+    Negative values are timeouts and count for nothing else; a group of timeouts alone has no other
+    statistics (``n`` is 0, the rest null), and rows with a null key are a group. All is truncated to
+    integers, and ``stddev`` is the mean of squares minus the square of the mean. Percentile p is the
+    element at place ``p * n / 100 - 1``, the first at least; an even number's median is the mean of two.
     """
-    good = df.where(F.col(value) >= 0)
-    n, mean = F.col("n"), F.expr("total div n")
-    base = good.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.sum(value).alias("total"),
-        F.sum(F.col(value) * F.col(value)).alias("squares"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    good = F.when(F.col(value) >= 0, F.col(value))
+    n, mean = F.col("n"), F.expr("case when n > 0 then total div n end")
+    base = df.groupBy(*keys).agg(
+        F.count(good).alias("n"),
+        F.count_if(F.col(value) < 0).alias("timeouts"),
+        F.sum(good).alias("total"),
+        F.sum(good * good).alias("squares"),
+        F.min(good).alias("min"),
+        F.max(good).alias("max"),
     )
-    late = df.groupBy(*keys).agg(F.count_if(F.col(value) < 0).alias("timeouts"))
-    ranked = _ranked(good, keys, value).join(base.select(*keys, "n"), keys)
+    sizes = base.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "n")
+    ranked = _ranked(df.where(F.col(value) >= 0), keys, value).join(sizes, _same(keys, "_b_"))
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c")), F.col("_v")))
 
     places = {f"p{p}": F.greatest(F.expr(f"({p} * n) div 100 - 1"), F.lit(0)) for p in PERCENTILES}
     places |= {"_hi": F.expr("n div 2"), "_lo": F.greatest(F.expr("n div 2 - 1"), F.lit(0))}
-    marks = ranked.groupBy(*keys).agg(*[at(place).alias(name) for name, place in places.items()])
+    marks = ranked.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys]).agg(*[at(place).alias(name) for name, place in places.items()])
     median = F.when(n % 2 == 1, F.col("_hi")).otherwise(F.expr("(_hi + _lo) div 2"))
-    return base.join(marks, keys).join(late, keys).select(
-        *keys, "n", "timeouts", mean.alias("mean"), F.expr("squares div n - (total div n) * (total div n)").alias("stddev"),
-        "min", "max", median.alias("median"), *[f"p{p}" for p in PERCENTILES],
-    )
+    stddev = F.expr("case when n > 0 then squares div n - (total div n) * (total div n) end")
+    return base.join(marks, _same(keys, "_m_"), "left").select(
+        *keys, "n", "timeouts", mean.alias("mean"), stddev.alias("stddev"), "min", "max", median.alias("median"), *[f"p{p}" for p in PERCENTILES]
+    )
 
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:

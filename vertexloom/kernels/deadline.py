@@ -20,24 +20,34 @@ class Deadline:
 
 
 def limited(spark, seconds: float, action):
-    """What ``action()`` returns, or TimeoutError: its Spark jobs are cancelled after ``seconds``; 0: no limit."""
+    """What ``action()`` returns, or TimeoutError if it took longer; 0: no limit.
+
+    Jobs that run when the time is over are cancelled. Where it ends between two jobs, later ones are
+    cancelled as they start: the timer fires again until the action has returned.
+    """
     if not seconds:
         return action()
-    context, tag, fired = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+    context, tag, over = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+    end = time.monotonic() + seconds
 
-    def stop() -> None:
-        fired.set()
-        context.cancelJobsWithTag(tag)
+    def watch() -> None:
+        while not over.wait(max(0.05, min(0.5, end - time.monotonic()))):
+            if time.monotonic() >= end:
+                context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
+    watcher = threading.Thread(target=watch, daemon=True)
     context.addJobTag(tag)
-    timer.start()
+    watcher.start()
     try:
-        return action()
+        result = action()
     except Exception as error:
-        if fired.is_set():
+        if time.monotonic() >= end:
             raise TimeoutError(f"over {seconds} s") from error
         raise
     finally:
-        timer.cancel()
+        over.set()
+        watcher.join()
         context.removeJobTag(tag)
+    if time.monotonic() >= end:
+        raise TimeoutError(f"over {seconds} s")
+    return result

@@ -50,9 +50,20 @@ def equivalence_mismatches(result: DataFrame, expected: DataFrame) -> DataFrame:
     return forward.unionAll(back).unionAll(lost)
 
 
-def require(mismatches: DataFrame, max_errors: int = 1) -> None:
-    """Raise with at most ``max_errors`` mismatches, 0: a thousand, if there is any."""
-    found = mismatches.limit(max_errors or 1000).collect()
+def require(mismatches: DataFrame, max_errors: int = 1, report: str | None = None) -> None:
+    """Raise if there is any mismatch.
+
+    The error has ``max_errors`` of them at most; with 0 it has their number, and all of them are
+    written as JSON to ``report``, which then has to be given: they may be more than a driver holds.
+    """
+    if max_errors:
+        found = mismatches.limit(max_errors).collect()
+    elif report is None:
+        raise ValueError("all mismatches are asked for, but there is no folder to write them to")
+    else:
+        mismatches.write.mode("overwrite").json(report)
+        n = mismatches.sparkSession.read.schema(mismatches.schema).json(report).count()
+        found = [f"{n} mismatches in {report}"] if n else []
     if found:
         raise ValidationError(found)
 
@@ -67,8 +78,14 @@ def update_mismatches(graph: Graph, stream: DataFrame) -> DataFrame:
 
 
 def remap_vertices(one: DataFrame, other: DataFrame) -> DataFrame:
-    """``(id, other_id)``: vertices of two datasets in their order; each has ``position`` and ``id``."""
-    return one.join(other.select("position", F.col("id").alias("other_id")), "position").select("id", "other_id")
+    """``(id, other_id)``: vertices of two datasets in their order; each has ``position`` and ``id``.
+
+    Datasets of unequal size are not the same graph and raise.
+    """
+    sizes = one.count(), other.count()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"{sizes[0]} vertices against {sizes[1]}")
+    return one.select("position", "id").join(other.select("position", F.col("id").alias("other_id")), "position").select("id", "other_id")
 
 
 def relabelled(result: DataFrame, mapping: DataFrame, values_too: bool = False) -> DataFrame:

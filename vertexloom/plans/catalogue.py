@@ -111,7 +111,7 @@ def _algebra(projection: str, run, name: str, oracle: str | None) -> None:
         ORACLE_SQL[name] = oracle
 
 
-_PC, _SPARSE, _UT = "part_cooccur", "part_cooccur_sparse", "user_transition"
+_PC, _UT = "part_cooccur", "user_transition"
 _algebra(_PC, algebra.out_degree, "out_degree", sql.over(_PC, "undirected", " select src as id, count(*) as degree from arcs group by 1"))
 _algebra(_PC, algebra.neighbour_degree, "neighbour_degree", sql.over(_PC, "undirected", f", {sql.NEIGHBOURS} select id, count(*) as degree from nb group by 1"))
 _algebra(_PC, lambda g: algebra.symmetrize(g.edges), "symmetrize", sql.over(_PC, "undirected", " select * from arcs"))
@@ -122,8 +122,8 @@ _algebra(_UT, algebra.in_degree, "in_degree", sql.over(_UT, "directed", " select
 _algebra(_UT, lambda g: g.neighbours, "neighbours", sql.over(_UT, "directed", f", {sql.NEIGHBOURS} select id, nbr from nb"))
 _OFFSETS = """, d as (select src as id, count(*) as degree from arcs group by 1)
 select id, row_number() over (order by id) - 1 as logical, degree, cast(sum(degree) over (order by id) - degree as bigint) as start from d"""
-# Over all pairs of parts, and by the plain name over the few that the sparse projection keeps.
-for _on, _prefix in ((_SPARSE, ""), (_PC, "whole_")):
+# Over parts with their suppliers, and as ``whole_`` over all pairs of parts.
+for _on, _prefix in (("part_supp", ""), (_PC, "whole_")):
     _algebra(_on, algebra.graph_counts, f"{_prefix}graph_counts", sql.over(_on, "undirected", " select 'vertices' as what, count(*) as n from v union all select 'edges', count(*) from e"))
     _algebra(_on, algebra.dense_ids, f"{_prefix}dense_ids", sql.over(_on, "undirected", " select id, row_number() over (order by id) - 1 as logical from v"))
     _algebra(_on, algebra.csr_offsets, f"{_prefix}csr_offsets", sql.over(_on, "undirected", _OFFSETS))
@@ -148,7 +148,10 @@ _algebra(
     sql.over("part_supp", "", " select src, dst, weight, position from (select *, row_number() over (order by src, dst) - 1 as position from e) where position = 100"),
 )
 _algebra(_PC, lambda g: algebra.random_vertex(g, SEED), "random_vertex", None)
-_algebra(_PC, sinks.adjacency_lines, "dump_graph", None)
+_algebra(
+    _PC, sinks.adjacency_lines, "dump_graph",
+    sql.over(_PC, "undirected", " select src as id, '[' || src || '] ' || string_agg(dst || ' (w=' || cast(weight as varchar) || ')', ', ' order by dst) as line from arcs group by src"),
+)
 
 
 @query(sql.over("part_supp", "", " select src, dst, true as whole, true as within from e"))
@@ -302,9 +305,9 @@ def _inserted_stream(graph: Graph) -> DataFrame:
     return store.load().edges
 
 
-@query(sql.over("part_cooccur_sparse", "", " select * from e"))
+@query(sql.over("part_supp", "", " select * from e"))
 def insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inserted_stream(projections.part_cooccur_sparse(spark, sf_dir))
+    return _inserted_stream(projections.part_supp(spark, sf_dir))
 
 
 @query(sql.over("part_cooccur", "", " select * from e"))
@@ -368,12 +371,12 @@ def validate_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.equivalence_mismatches(wrong, degree)
 
 
-@query("""with a as (select c_custkey as id, row_number() over (order by c_custkey) - 1 as position from customer),
-b as (select o_orderkey as other_id, row_number() over (order by o_orderkey) - 1 as position from orders) select id, other_id from a join b using (position)""")
+@query("""with a as (select o_orderkey as id, row_number() over (order by o_orderkey) - 1 as position from orders),
+b as (select o_orderkey as other_id, row_number() over (order by o_totalprice, o_orderkey) - 1 as position from orders) select id, other_id from a join b using (position)""")
 def remap_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = running(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), ["id"], "position")
-    other = running(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), ["id"], "position")
-    return validate.remap_vertices(one, other)
+    """Orders by their key and by their price, as two orders of one set of vertices."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return validate.remap_vertices(running(orders, ["id"], "position"), running(orders, ["price", "id"], "position"))
 
 
 # Statistics of event values, in hundredths; those of errors count as timeouts where the query says so.
@@ -381,10 +384,17 @@ def remap_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = "select event_type, {} as x from events"
 
 
-@query(sql.statistics("event_type", _VALUES.format("case when event_id % 10 = 0 then -1 else cast(round(value * 100) as bigint) end")))
+_LATE = _VALUES.format("case when event_id % 10 = 0 then -1 else cast(round(value * 100) as bigint) end")
+
+
+@query(sql.statistics("event_type", f"{_LATE} union all select 'late', -1 from events union all select null, x from ({_LATE}) where event_type = 'click'"))
 def exec_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.when(F.col("event_id") % 10 == 0, F.lit(-1)).otherwise(F.round(F.col("value") * 100).cast("long"))
-    return trial_statistics(table(spark, sf_dir, "events").select("event_type", x.cast("long").alias("x")), ["event_type"], "x")
+    """By event type, with a group of timeouts alone and one without a name, which repeats the clicks."""
+    x = F.when(F.col("event_id") % 10 == 0, F.lit(-1)).otherwise(F.round(F.col("value") * 100)).cast("long")
+    rows = table(spark, sf_dir, "events").select("event_type", x.alias("x"))
+    late = rows.select(F.lit("late").alias("event_type"), F.lit(-1).cast("long").alias("x"))
+    unnamed = rows.where("event_type = 'click'").select(F.lit(None).cast("string").alias("event_type"), "x")
+    return trial_statistics(rows.unionAll(late).unionAll(unnamed), ["event_type"], "x")
 
 
 @query(sql.statistics("kind", "select case when event_type = 'error' then 'delete' else 'insert' end as kind, cast(round(value * 100) as bigint) as x from events union all select 'all', cast(round(value * 100) as bigint) from events"))
@@ -435,12 +445,12 @@ def _metis_again(graph: Graph) -> DataFrame:
 
 
 _METIS = """, k as (select id, row_number() over (order by id) as k from v)
-select a.k as src, b.k as dst, weight from arcs join k a on arcs.src = a.id join k b on arcs.dst = b.id"""
+select a.k as src, b.k as dst, floor(weight) as weight from arcs join k a on arcs.src = a.id join k b on arcs.dst = b.id"""
 
 
-@query(sql.over("part_cooccur_sparse", "undirected", _METIS))
+@query(sql.over("part_supp", "undirected", _METIS))
 def read_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metis_again(projections.part_cooccur_sparse(spark, sf_dir))
+    return _metis_again(projections.part_supp(spark, sf_dir))
 
 
 @query(sql.over("part_cooccur", "undirected", _METIS))
@@ -470,9 +480,11 @@ def _packed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(binary.pack_log(projections.event_log(spark, sf_dir), ["updates"]))
 
 
-@query()
+@query(f"with {_LOG} select 'updates' as key, count(*) as n from log")
 def graphlog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.log_properties(_packed_log(spark, sf_dir))
+    """The number of updates that the files' headers state, over all files."""
+    told = binary.log_properties(_packed_log(spark, sf_dir)).where("key = 'updates'")
+    return told.groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("n"))
 
 
 @query(f"with {_LOG} select distinct unnest([src, dst]) as id, false as temporary from log")
@@ -491,9 +503,9 @@ def _loaded_again(graph: Graph) -> DataFrame:
     return load.load_graph(graph.spark, path, directed=False).edges
 
 
-@query(sql.over("part_cooccur_sparse", "", " select * from e"))
+@query(sql.over("part_supp", "", " select * from e"))
 def load_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loaded_again(projections.part_cooccur_sparse(spark, sf_dir))
+    return _loaded_again(projections.part_supp(spark, sf_dir))
 
 
 @query(sql.over("part_cooccur", "", " select * from e"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,15 +41,11 @@ def aging(log: DataFrame, temporary: DataFrame, folder: str, batches: int, timeo
     return updates.remove_vertices(store.load(), temporary), records
 
 
-def kernel_calls(graph: Graph, source: int, iterations: int = 10, damping: float = 0.85) -> dict[str, Callable[[], DataFrame]]:
-    return {
-        "bfs": lambda: traversal.bfs(graph, source),
-        "cdlp": lambda: ranking.cdlp(graph, iterations),
-        "lcc": lambda: clustering.lcc(graph),
-        "pagerank": lambda: ranking.pagerank(graph, iterations, damping),
-        "sssp": lambda: traversal.sssp(graph, source),
-        "wcc": lambda: clustering.wcc(graph),
-    }
+def kernel_calls(graph: Graph, parameters: dict[str, dict], timeout: float = 0) -> dict[str, Callable[[], DataFrame]]:
+    """The kernels of ``parameters``, as ``text.kernel_parameters`` gives them, ready to be run."""
+    kernels = {"bfs": traversal.bfs, "cdlp": ranking.cdlp, "lcc": clustering.lcc, "pagerank": ranking.pagerank, "sssp": traversal.sssp, "wcc": clustering.wcc}
+    rounds = {"bfs", "cdlp", "pagerank", "sssp"}  # these look at the time between rounds
+    return {k: partial(kernels[k], graph, **p, **({"timeout": timeout} if k in rounds else {})) for k, p in parameters.items()}
 
 
 def mismatches(kernel: str, result: DataFrame, expected: DataFrame) -> DataFrame:
@@ -60,19 +57,25 @@ def mismatches(kernel: str, result: DataFrame, expected: DataFrame) -> DataFrame
 
 def kernel_suite(
     graph: Graph,
-    source: int,
+    source: int | None = None,
     repetitions: int = 1,
     timeout: float = 3600,
     without: Iterable[str] = (),
     expected: dict[str, DataFrame] | None = None,
-    **parameters,
+    iterations: int = 10,
+    damping: float = 0.85,
+    parameters: dict[str, dict] | None = None,
 ) -> list[dict]:
     """Run all kernels but those in ``without`` so many times; a record ``kernel, trial, microseconds, error`` each.
 
-    A kernel that is late or whose result is not as expected gets -1 and is left out of later rounds.
+    ``parameters`` has each kernel's own; without it all six run with ``source``, ``iterations`` and
+    ``damping``. A kernel that is late or whose result is not as expected gets -1 and is left out of
+    later rounds.
     """
-    calls = kernel_calls(graph, source, **parameters)
-    active, records = [k for k in KERNELS if k not in set(without)], []
+    if parameters is None:
+        parameters = {"bfs": {"source": source}, "cdlp": {"iterations": iterations}, "lcc": {}, "pagerank": {"iterations": iterations, "damping": damping}, "sssp": {"source": source}, "wcc": {}}
+    calls = kernel_calls(graph, parameters, timeout)
+    active, records = [k for k in KERNELS if k in calls and k not in set(without)], []
     for trial in range(repetitions):
         for kernel in list(active):
             began, error = time.perf_counter(), None

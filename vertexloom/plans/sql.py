@@ -95,8 +95,8 @@ def statistics(keys: str, source: str) -> str:
     return f"""with x as ({source}),
 r as (select {keys}, x, row_number() over (partition by {keys} order by x) - 1 as k, count(*) over (partition by {keys}) as n from x where x >= 0),
 late as (select {keys}, count(*) filter (x < 0) as timeouts from x group by {keys})
-select {keys}, any_value(n) as n, any_value(timeouts) as timeouts, cast(sum(x) // any_value(n) as bigint) as mean,
+select late.{keys}, coalesce(any_value(n), 0) as n, any_value(timeouts) as timeouts, cast(sum(x) // any_value(n) as bigint) as mean,
   cast(sum(x * x) // any_value(n) - (sum(x) // any_value(n)) * (sum(x) // any_value(n)) as bigint) as stddev, min(x) as min, max(x) as max,
   case when any_value(n) % 2 = 1 then max(case when k = n // 2 then x end)
     else (max(case when k = n // 2 then x end) + max(case when k = n // 2 - 1 then x end)) // 2 end as median, {marks}
-from r join late using ({keys}) group by {keys}"""
+from late left join r on late.{keys} is not distinct from r.{keys} group by late.{keys}"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.operators.algebra import real_weight
 
+# What a log starts with, and what ends its header.
 MAGIC, BINARY = b"# GRAPHLOG", b"__BINARY_SECTION_FOLLOWS"
 _PIECE = 1 << 22
 #: Rows of a file that is written, at most; a cell holds a file.
@@ -122,15 +123,17 @@ def log_vertices(packed: DataFrame) -> DataFrame:
 def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 5051789) -> DataFrame:
     """``(seq, src, dst, weight)`` in the log's order.
 
-    A block is a raw deflate stream of sources, destinations and weights. -1 deletes; a weight of 0
+    ``packed`` may be several files of one log: with a column ``first`` (see ``pack_log``) a file's
+    numbers start there, otherwise each file is a log of its own and starts from 0. A block is a raw deflate stream of sources, destinations and weights. -1 deletes; a weight of 0
     is made, over 0 and up to ``max_weight``.
     """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
+            firsts = frame["first"] if "first" in frame else [0] * len(frame)
+            for content, first in zip(frame["content"], firsts):
                 found, start = parse_log_header(content)
-                at, seq = int(found.get("internal.edges.begin", start)), 0
+                at, seq = int(found.get("internal.edges.begin", start)), int(first)
                 blocks = int(found.get("internal.edges.num_blocks", -1))
                 while at < len(content) and blocks != 0:
                     blocks -= 1
@@ -144,7 +147,8 @@ def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 5051789)
                     yield pd.DataFrame({"seq": np.arange(seq, seq + n), "src": _longs(ends[:n]), "dst": _longs(ends[n:]), "weight": weights})
                     seq += n
 
-    log = packed.select("content").mapInPandas(decode, "seq long, src long, dst long, weight double")
+    own = packed.select("first", "content") if "first" in packed.columns else packed.select("content")
+    log = own.mapInPandas(decode, "seq long, src long, dst long, weight double")
     return log.withColumn("weight", F.when(F.col("weight") == 0, real_weight(seed, max_weight)).otherwise(F.col("weight")))
 
 

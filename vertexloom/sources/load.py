@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators.updates import apply_batch, remove_vertices
@@ -10,7 +11,11 @@ from vertexloom.sources import binary, text
 
 
 def load_graph(spark: SparkSession, path: str, directed: bool = True, max_weight: int = 1) -> Graph:
-    """The graph of a file in any format; ``directed`` counts where the format does not say."""
+    """The graph of a file in any format; ``directed`` counts where the format does not say.
+
+    An undirected edge that repeats gets its smallest weight. That the rest is a simple graph is not
+    looked for here, as it takes a pass over all edges: ``Graph.check`` does that.
+    """
     kind = text.format_of(path)
     if kind == "ldbc":
         p = text.read_properties(spark, path)
@@ -36,4 +41,4 @@ def load_graph(spark: SparkSession, path: str, directed: bool = True, max_weight
         edges = (text.read_weighted if kind == "weighted" else text.read_dimacs9)(spark, path)
     graph = Graph.from_edges(edges, directed)
     # Files that list an undirected edge from both ends, or repeat one, give it once.
-    return graph if directed else Graph(graph.vertices, graph.edges.dropDuplicates(["src", "dst"]), False)
+    return graph if directed else Graph(graph.vertices, graph.edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), False)

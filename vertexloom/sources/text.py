@@ -132,9 +132,16 @@ def parse_properties(text: str) -> dict[str, str]:
 
 
 def read_properties(spark: SparkSession, path: str) -> dict[str, str]:
-    """A dataset's properties, with file names resolved against the folder; a small file read whole."""
+    """A dataset's properties, with file names resolved against the folder; a small file read whole.
+
+    Lines of another graph than the one that the file is named for are skipped, unless all are: then
+    the name does not matter.
+    """
     row = spark.read.text(path, wholetext=True).first()
-    found = parse_properties(row["value"] if row else "")
+    text = row["value"] if row else ""
+    name = path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
+    own = "\n".join(line for line in text.split("\n") if line.strip().startswith(f"graph.{name}."))
+    found = parse_properties(own) or parse_properties(text)
     for key in ("vertex-file", "edge-file"):
         if key in found and "/" not in found[key]:
             found[key] = path.rpartition("/")[0] + "/" + found[key]
@@ -143,6 +150,35 @@ def read_properties(spark: SparkSession, path: str) -> dict[str, str]:
     return found
 
 
+# Kernels as a property file names them.
+ALGORITHMS = {"bfs": "bfs", "cdlp": "cdlp", "lcc": "lcc", "pr": "pagerank", "sssp": "sssp", "wcc": "wcc"}
+
+
+def kernel_parameters(properties: dict[str, str]) -> dict[str, dict]:
+    """Each kernel that a dataset asks for, with its own parameters; without a list all that its properties allow."""
+    listed = [w.strip().lower() for w in properties.get("algorithms", "").split(",") if w.strip()]
+    if unknown := set(listed) - set(ALGORITHMS):
+        raise ValueError(f"unknown algorithms: {sorted(unknown)}")
+    found: dict[str, dict] = {}
+    for name, kernel in ALGORITHMS.items():
+        own = {}
+        if kernel in ("bfs", "sssp"):
+            if f"{name}.source-vertex" in properties:
+                own["source"] = int(properties[f"{name}.source-vertex"])
+        elif kernel == "cdlp":
+            own["iterations"] = int(properties.get("cdlp.max-iterations", 10))
+        elif kernel == "pagerank":
+            own["iterations"] = int(properties.get("pr.num-iterations", 10))
+            own["damping"] = float(properties.get("pr.damping-factor", 0.85))
+        if name in listed or not listed:
+            if kernel in ("bfs", "sssp") and not own:
+                if name in listed:
+                    raise ValueError(f"{name}.source-vertex is missing")
+                continue
+            found[kernel] = own
+    return found
+
+
 def is_directed(properties: dict[str, str]) -> bool:
     value = properties.get("directed", "").lower()
     if value not in ("yes", "true", "1", "no", "false", "0"):

@@ -69,7 +69,9 @@ def replay(
         paths = [r["path"] for r in named]
         log = spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
         store.build(apply_batch(before, log, on_duplicate), epoch + 1)
-        records.append({"version": epoch + 1, "updates": sum(r["updates"] for r in named), "seconds": time.monotonic() - began})
+        took, total = time.monotonic() - began, sum(r["updates"] for r in named)
+        deletes = log.where("weight < 0").count()
+        records.append({"version": epoch + 1, "updates": total, "inserts": total - deletes, "deletes": deletes, "seconds": took})
 
     query = (
         spark.readStream.schema(SEGMENT_SCHEMA)
