@@ -56,3 +56,27 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         assert out.count() == 0
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_odd_rows_and_clashing_names_go_through_all_stages(spark):
+    names = "row id sha keep keep_sha keep_fp fp score digest out out_digest component_id shard part _doc _keep"
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names.split())
+    prose = "The old house by the river was sold in spring. Nobody knew who had bought it, and few people asked. "
+    texts = [(1, prose), (1, prose), (1, prose + "It rained."), (2, None), (None, prose * 2), (None, None), (3, prose.upper()), (4, prose * 300), (5, "")]
+    docs = spark.createDataFrame([(i, t, *["x"] * len(names.split())) for i, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, PATH)
+        if name != "packing":
+            assert out.schema == docs.schema
+        rows = out.collect()
+        if name == "exact_dedup":
+            assert sorted(str((r.doc_id, len(r.text or ""))) for r in rows) == sorted(
+                str(x) for x in [(3, len(prose)), (1, len(prose) + 10), (5, 0), (None, 2 * len(prose)), (4, 300 * len(prose))]
+            )
+        if name == "decontamination":
+            assert len(rows) == len(texts)
+        if name == "packing":
+            check_bins(rows, 2048)
+            assert {r.doc_id for r in rows} == {i for i, _ in texts}
+        else:
+            docs, texts = spark.createDataFrame(rows, schema), [(r.doc_id, r.text) for r in rows]
