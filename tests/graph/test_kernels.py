@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from vertexloom.graph import Graph
-from vertexloom.kernels import clustering, ranking, traversal
+from vertexloom.kernels import arcs, clustering, ranking, traversal
 
 DIRECTED = """1 3 0.5;1 5 0.3;2 4 0.1;2 5 0.3;2 10 0.12;3 1 0.53;3 5 0.62;3 8 0.21;3 10 0.52;5 3 0.69;5 4 0.53;5 8 0.1;
 6 3 0.23;6 4 0.39;7 4 0.83;8 1 0.39;9 4 0.69"""
@@ -147,3 +147,14 @@ def test_errors(spark):
         build(spark, [(1, 2, 1.0), (2, 1, 1.0)], False).check()
     with pytest.raises(ValueError):
         traversal.sssp(build(spark, [(1, 2, -1.0)], True), 1)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_arcs_of_hubs_in_parts(spark, directed, monkeypatch):
+    monkeypatch.setattr(arcs, "HUB", 2)
+    test_golden_results(spark, directed)
+    edges = spark.range(1, 200).selectExpr("0L as src", "id as dst", "1.0 as weight")
+    held = arcs.HeldArcs(edges)
+    assert held.arcs.select("part").distinct().count() > 50
+    met = held.meet(spark.createDataFrame([(0, "x"), (7, "y")], "id long, name string"), "id")
+    assert sorted(r.dst for r in met.collect()) == list(range(1, 200)) and met.columns == ["id", "name", "src", "dst", "weight"]

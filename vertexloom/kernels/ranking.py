@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph, swapped
+from vertexloom.kernels.arcs import HeldArcs
 from vertexloom.kernels.deadline import Deadline
 from vertexloom.operators.algebra import degrees_of_all
 from vertexloom.session import cut
@@ -18,7 +19,7 @@ def pagerank(graph: Graph, iterations: int, damping: float = 0.85, timeout: floa
     the shuffle. Arcs stay partitioned by source.
     """
     deadline = Deadline(timeout)
-    arcs = graph.arcs.select("src", "dst").repartition("src").persist()
+    arcs = HeldArcs(graph.arcs.select("src", "dst"))
     try:
         ranks = cut(degrees_of_all(graph).repartition("id"))
         n = ranks.count()
@@ -27,8 +28,8 @@ def pagerank(graph: Graph, iterations: int, damping: float = 0.85, timeout: floa
         for _ in range(iterations):
             deadline.check()
             lost = (ranks.where("degree = 0").agg(F.sum("score")).first()[0] or 0.0) if dangling else 0.0
-            shares = ranks.where("degree > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("degree")).alias("share"))
-            sums = shares.join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+            shares = ranks.where("degree > 0").select("id", (F.col("score") / F.col("degree")).alias("share"))
+            sums = arcs.meet(shares, "id").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
             score = F.lit((1 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
             ranks = cut(ranks.join(sums, "id", "left").select("id", "degree", score.alias("score")))
         return ranks.select("id", "score")
@@ -46,12 +47,12 @@ def cdlp(graph: Graph, iterations: int, isolated_label: int | None = None, timeo
     votes = graph.arcs.select("src", "dst")
     if graph.directed:
         votes = votes.unionAll(swapped(votes))
-    votes = votes.repartition("src").persist()
+    votes = HeldArcs(votes)
     try:
         labels = cut(graph.vertices.select("id", F.col("id").alias("label")))
         for _ in range(iterations):
             deadline.check()
-            counted = votes.join(labels, F.col("src") == F.col("id")).groupBy("dst", "label").agg(F.count("*").alias("n"))
+            counted = votes.meet(labels, "id").groupBy("dst", "label").agg(F.count("*").alias("n"))
             best = counted.groupBy("dst").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b"))
             merged = labels.join(best, F.col("id") == F.col("dst"), "left").select(
                 "id", "label", F.coalesce(-F.col("b.m"), F.col("label")).alias("next")
@@ -62,7 +63,7 @@ def cdlp(graph: Graph, iterations: int, isolated_label: int | None = None, timeo
                 break
         if isolated_label is None:
             return labels
-        touched = votes.select(F.col("dst").alias("id")).distinct().withColumn("_t", F.lit(True))
+        touched = votes.arcs.select(F.col("dst").alias("id")).distinct().withColumn("_t", F.lit(True))
         out = labels.join(touched, "id", "left")
         return cut(out.select("id", F.when(F.col("_t"), F.col("label")).otherwise(F.lit(isolated_label)).alias("label")))
     finally:

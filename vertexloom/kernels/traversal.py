@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
+from vertexloom.kernels.arcs import HeldArcs
 from vertexloom.kernels.deadline import Deadline
 from vertexloom.session import cut
 
@@ -23,14 +24,14 @@ def bfs(graph: Graph, source: int, timeout: float = 0) -> DataFrame:
     """``(id, hops)`` over outgoing arcs; unreachable vertices have the largest long."""
     _start(graph, source)
     deadline = Deadline(timeout)
-    arcs = graph.arcs.select("src", "dst").repartition("src").persist()
+    arcs = HeldArcs(graph.arcs.select("src", "dst"))
     try:
         frontier = cut(graph.vertices.where(F.col("id") == source).select("id"))
         visited, hops = frontier.withColumn("hops", F.lit(0).cast("long")), 0
         while True:
             deadline.check()
             hops += 1
-            reached = frontier.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+            reached = arcs.meet(frontier, "id").select(F.col("dst").alias("id")).distinct()
             frontier = cut(reached.join(visited, "id", "left_anti"))
             if not frontier.limit(1).count():
                 break
@@ -49,16 +50,16 @@ def sssp(graph: Graph, source: int, timeout: float = 0) -> DataFrame:
     """
     _start(graph, source)
     deadline = Deadline(timeout)
-    arcs = graph.arcs.repartition("src").persist()
+    arcs = HeldArcs(graph.arcs)
     try:
-        if arcs.where("weight < 0 or weight is null").limit(1).count():
+        if arcs.arcs.where("weight < 0 or weight is null").limit(1).count():
             raise ValueError("negative or missing weight")
         frontier = cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance")))
         known = frontier
         while True:
             deadline.check()
             offers = (
-                frontier.join(arcs, F.col("id") == F.col("src"))
+                arcs.meet(frontier, "id")
                 .groupBy(F.col("dst").alias("id"))
                 .agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
             )
