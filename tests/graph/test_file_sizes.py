@@ -58,5 +58,8 @@ def test_no_updates(spark, tmp_path):
 
 def test_queries_write_by_rows(spark, monkeypatch):
     monkeypatch.setattr(binary.pack_log, "__defaults__", (4096, 100))
-    props = catalogue.QUERIES["graphlog_props"](spark, "/root/testdata/sf0.001").where("key = 'updates'").collect()
+    path = "/root/testdata/sf0.001"
+    props = binary.log_properties(catalogue._packed_log(spark, path)).where("key = 'updates'").collect()
     assert len(props) > 4 and all(int(r.value) <= 100 for r in props)
+    told = catalogue.QUERIES["graphlog_props"](spark, path).collect()
+    assert [(r["key"], r["n"]) for r in told] == [("updates", sum(int(r.value) for r in props))]
