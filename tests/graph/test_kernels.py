@@ -9,6 +9,7 @@ import pytest
 from vertexloom.graph import Graph
 from vertexloom.kernels import arcs, clustering, ranking, traversal
 
+# Two small graphs and what the kernels give for them.
 DIRECTED = """1 3 0.5;1 5 0.3;2 4 0.1;2 5 0.3;2 10 0.12;3 1 0.53;3 5 0.62;3 8 0.21;3 10 0.52;5 3 0.69;5 4 0.53;5 8 0.1;
 6 3 0.23;6 4 0.39;7 4 0.83;8 1 0.39;9 4 0.69"""
 UNDIRECTED = "2 3 0.9;2 4 0.69;3 4 0.13;3 5 0.5;3 8 0.32;5 6 0.63;5 8 0.12;6 7 0.53;6 8 0.64;6 9 0.23;6 10 0.63;7 9 0.36"
@@ -158,3 +159,11 @@ def test_arcs_of_hubs_in_parts(spark, directed, monkeypatch):
     assert held.arcs.select("part").distinct().count() > 50
     met = held.meet(spark.createDataFrame([(0, "x"), (7, "y")], "id long, name string"), "id")
     assert sorted(r.dst for r in met.collect()) == list(range(1, 200)) and met.columns == ["id", "name", "src", "dst", "weight"]
+
+
+def test_shortest_paths_that_keep_falling(spark):
+    """A chain of cheap arcs beside dear direct ones: every distance falls after it was first found, over many rounds."""
+    n = 2 * traversal.COMPACT + 3
+    rows = [(k, k + 1, 1.0) for k in range(n)] + [(0, k, 3.0 * k) for k in range(2, n + 1)]
+    found = {r.id: r.distance for r in traversal.sssp(build(spark, rows, True), 0).collect()}
+    assert found == {k: float(k) for k in range(n + 1)}

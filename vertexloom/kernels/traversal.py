@@ -46,7 +46,8 @@ def bfs(graph: Graph, source: int, timeout: float = 0) -> DataFrame:
 def sssp(graph: Graph, source: int, timeout: float = 0) -> DataFrame:
     """``(id, distance)`` by arcs of non-negative weight; infinity where there is no path.
 
-    Only vertices whose distance fell in the last round are expanded.
+    Only vertices whose distance fell in the last round are expanded, and only these are written; an
+    offer counts if no distance that was written before is as small.
     """
     _start(graph, source)
     deadline = Deadline(timeout)
@@ -55,23 +56,24 @@ def sssp(graph: Graph, source: int, timeout: float = 0) -> DataFrame:
         if arcs.arcs.where("weight < 0 or weight is null").limit(1).count():
             raise ValueError("negative or missing weight")
         frontier = cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance")))
-        known = frontier
+        known, rounds = frontier, 0
         while True:
             deadline.check()
+            rounds += 1
             offers = (
                 arcs.meet(frontier, "id")
                 .groupBy(F.col("dst").alias("id"))
                 .agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
             )
-            merged = known.join(offers, "id", "full_outer").select(
-                "id",
-                F.least("distance", "offer").alias("distance"),
-                (F.col("offer").isNotNull() & (F.col("distance").isNull() | (F.col("offer") < F.col("distance")))).alias("better"),
-            )
-            merged = cut(merged)
-            known, frontier = merged.select("id", "distance"), merged.where("better").select("id", "distance")
+            had = known.select(F.col("id").alias("had_id"), F.col("distance").alias("had"))
+            better = offers.join(had, (F.col("id") == F.col("had_id")) & (F.col("had") <= F.col("offer")), "left_anti")
+            frontier = cut(better.select("id", F.col("offer").alias("distance")))
             if not frontier.limit(1).count():
                 break
+            known = known.unionAll(frontier)
+            if rounds % COMPACT == 0:
+                known = cut(known.groupBy("id").agg(F.min("distance").alias("distance")))
+        known = known.groupBy("id").agg(F.min("distance").alias("distance"))
         return cut(graph.vertices.join(known, "id", "left").select("id", F.coalesce("distance", F.lit(float("inf"))).alias("distance")))
     finally:
         arcs.unpersist()

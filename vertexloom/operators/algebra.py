@@ -87,9 +87,20 @@ def sort_edges(edges: DataFrame, by_destination: bool = False) -> DataFrame:
     return edges.orderBy("dst", "src") if by_destination else edges.orderBy("src", "dst")
 
 
+def hashed(seed: int, *keys: str) -> Column:
+    """The first 52 bits of the MD5 of the seed and the keys: the same number in any engine that has MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def permute(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     """Rows in an order that depends on the seed and the keys alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.orderBy(hashed(seed, *keys), *keys)
+
+
+def permuted_places(df: DataFrame, seed: int, *keys: str, number: str = "position") -> DataFrame:
+    """Rows with their place, from 0, in the order of ``permute``."""
+    return running(df.withColumn("_h", hashed(seed, *keys)), ["_h", *keys], number).drop("_h")
 
 
 def edge_at(edges: DataFrame, position: int) -> DataFrame:
@@ -121,20 +132,20 @@ def csr_arcs(graph: Graph) -> DataFrame:
 
 def random_vertex(graph: Graph, seed: int) -> DataFrame:
     """One vertex, drawn by the seed."""
-    return graph.vertices.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(1)
+    return permute(graph.vertices, seed, "id").limit(1)
 
 
 def integer_weight(seed: int, max_weight: int) -> Column:
     """A weight of 1 to ``max_weight`` that depends on the seed and the edge's ends alone."""
     if max_weight == 1:
         return F.lit(1.0)
-    return (F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(max_weight)) + 1).cast("double")
+    return (hashed(seed, "src", "dst") % F.lit(max_weight) + 1).cast("double")
 
 
 def real_weight(seed: int, max_weight: float) -> Column:
     """A weight over 0 and up to ``max_weight`` that depends on the seed and the edge's ends alone."""
     steps = 1 << 52
-    return (F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(steps)) + 1) / F.lit(float(steps)) * F.lit(float(max_weight))
+    return (hashed(seed, "src", "dst") + 1) / F.lit(float(steps)) * F.lit(float(max_weight))
 
 
 def sum_of_degrees(graph: Graph) -> DataFrame:

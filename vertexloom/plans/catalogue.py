@@ -141,29 +141,36 @@ _algebra(
 )
 _algebra("cust_part", lambda g: algebra.sort_edges(g.edges), "sort_src_dst", sql.over("cust_part", "", " select * from e order by src, dst"))
 _algebra("cust_part", lambda g: algebra.sort_edges(g.edges, True), "sort_dst_src", sql.over("cust_part", "", " select * from e order by dst, src"))
-_algebra("part_supp", lambda g: algebra.permute(g.edges, SEED, "src", "dst"), "permute_edges", sql.over("part_supp", "", " select * from e"))
-_algebra("part_supp", lambda g: algebra.permute(g.vertices, SEED, "id"), "permute_vertices", sql.over("part_supp", "directed", " select id from v"))
+_algebra(
+    "part_supp", lambda g: algebra.permuted_places(g.edges, SEED, "src", "dst"), "permute_edges",
+    sql.over("part_supp", "", f" select *, row_number() over (order by {sql.hashed(SEED, 'src', 'dst')}, src, dst) - 1 as position from e"),
+)
+_algebra(
+    "part_supp", lambda g: algebra.permuted_places(g.vertices, SEED, "id"), "permute_vertices",
+    sql.over("part_supp", "directed", f" select id, row_number() over (order by {sql.hashed(SEED, 'id')}, id) - 1 as position from v"),
+)
 _algebra(
     "part_supp", lambda g: algebra.edge_at(g.edges, 100), "edge_at",
     sql.over("part_supp", "", " select src, dst, weight, position from (select *, row_number() over (order by src, dst) - 1 as position from e) where position = 100"),
 )
-_algebra(_PC, lambda g: algebra.random_vertex(g, SEED), "random_vertex", None)
+_algebra(
+    _PC, lambda g: algebra.random_vertex(g, SEED), "random_vertex",
+    sql.over(_PC, "undirected", f" select id from v order by {sql.hashed(SEED, 'id')}, id limit 1"),
+)
 _algebra(
     _PC, sinks.adjacency_lines, "dump_graph",
     sql.over(_PC, "undirected", " select src as id, '[' || src || '] ' || string_agg(dst || ' (w=' || cast(weight as varchar) || ')', ', ' order by dst) as line from arcs group by src"),
 )
 
 
-@query(sql.over("part_supp", "", " select src, dst, true as whole, true as within from e"))
+@query(sql.over("part_supp", "", f" select src, dst, cast({sql.hashed(SEED, 'src', 'dst')} % 100 + 1 as double) as weight from e"))
 def weights_int(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = projections.part_supp(spark, sf_dir).edges.withColumn("weight", algebra.integer_weight(SEED, 100))
-    return made.select("src", "dst", (F.col("weight") == F.floor("weight")).alias("whole"), F.col("weight").between(1, 100).alias("within"))
+    return projections.part_supp(spark, sf_dir).edges.withColumn("weight", algebra.integer_weight(SEED, 100))
 
 
-@query(sql.over("part_supp", "", " select src, dst, true as within from e"))
+@query(sql.over("part_supp", "", f" select src, dst, cast({sql.hashed(SEED, 'src', 'dst')} + 1 as double) / 4503599627370496 * 2.5::double as weight from e"))
 def weights_real(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = projections.part_supp(spark, sf_dir).edges.withColumn("weight", algebra.real_weight(SEED, 2.5))
-    return made.select("src", "dst", ((F.col("weight") > 0) & (F.col("weight") <= 2.5)).alias("within"))
+    return projections.part_supp(spark, sf_dir).edges.withColumn("weight", algebra.real_weight(SEED, 2.5))
 
 
 def _probes(graph: Graph) -> DataFrame:

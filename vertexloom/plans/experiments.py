@@ -10,14 +10,12 @@ from collections.abc import Callable, Iterable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vertexloom.functions.statistics import trial_statistics
 from vertexloom.graph import Graph
 from vertexloom.kernels import clustering, ranking, traversal
 from vertexloom.kernels.deadline import limited
 from vertexloom.operators import algebra, updates, validate
-from vertexloom.operators.ordering import running
 from vertexloom.sources.snapshots import SnapshotStore
 from vertexloom.streaming import replay
 
@@ -27,7 +25,7 @@ KERNELS = ("bfs", "cdlp", "lcc", "pagerank", "sssp", "wcc")
 
 def insert_only(edges: DataFrame, folder: str, batches: int, seed: int) -> tuple[SnapshotStore, list[dict]]:
     """Insert an edge stream in a seeded random order, in batches; each batch publishes a version."""
-    placed = running(edges.select("src", "dst", "weight").withColumn("_h", F.xxhash64(F.lit(seed), "src", "dst")), ["_h", "src", "dst"], "seq")
+    placed = algebra.permuted_places(edges.select("src", "dst", "weight"), seed, "src", "dst", number="seq")
     replay.write_segments(placed, f"{folder}/log", batches)
     store = SnapshotStore(edges.sparkSession, f"{folder}/versions", directed=False)
     return store, replay.replay(edges.sparkSession, f"{folder}/log", store, f"{folder}/progress")

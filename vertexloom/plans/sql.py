@@ -30,6 +30,11 @@ def over(projection: str, kind: str, body: str, recursive: bool = False) -> str:
     return f"with {'recursive ' * recursive}{', '.join(parts)}{body}"
 
 
+def hashed(seed: int, *keys: str) -> str:
+    """A number of 52 bits of the seed and the keys."""
+    return f"cast('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13) as bigint)"
+
+
 def bfs(projection: str, kind: str) -> str:
     return over(projection, kind, """,
 levels as (select min(id) as id, cast(0 as bigint) as hops from v

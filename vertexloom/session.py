@@ -15,11 +15,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     machine-local folder would be lost with its machine, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
     current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if configured and not current:  # set after the context was made
+        spark.sparkContext.setCheckpointDir(configured)
+    if configured or current:
+        return configured or current
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-checkpoint-")

@@ -64,7 +64,7 @@ def unpack_vertices(packed: DataFrame) -> DataFrame:
     return packed.select("content").mapInPandas(decode, "id long")
 
 
-def unpack_edges(packed: DataFrame, weighted: bool = True, max_weight: float = 1.0, seed: int = 5051789) -> DataFrame:
+def unpack_edges(packed: DataFrame, weighted: bool = True, max_weight: float = 1.0, seed: int = 97) -> DataFrame:
     """``(src, dst, weight)`` of a packed edge file; weights are made if it has none."""
     fields = [("src", "<u8"), ("dst", "<u8")] + [("weight", "<f8")] * weighted
 
@@ -120,7 +120,7 @@ def log_vertices(packed: DataFrame) -> DataFrame:
     return packed.select("content").mapInPandas(decode, "id long, temporary boolean")
 
 
-def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 5051789) -> DataFrame:
+def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 97) -> DataFrame:
     """``(seq, src, dst, weight)`` in the log's order.
 
     ``packed`` may be several files of one log: with a column ``first`` (see ``pack_log``) a file's

@@ -43,7 +43,7 @@ def _long(word: Column) -> Column:
     return word.cast("long")
 
 
-def read_plain(spark: SparkSession, path: str, max_weight: int = 1, seed: int = 5051789) -> DataFrame:
+def read_plain(spark: SparkSession, path: str, max_weight: int = 1, seed: int = 97) -> DataFrame:
     """``src dst`` per line; what follows is ignored. Weights are made: 1, or integers from 1 to ``max_weight``."""
     edges = _lines(spark, path, "#").select(_long(F.get("w", F.lit(0))).alias("src"), _long(F.get("w", F.lit(1))).alias("dst"))
     return edges.withColumn("weight", integer_weight(seed, max_weight))
@@ -82,7 +82,7 @@ def numbered_lines(spark: SparkSession, path: str, comment: str) -> DataFrame:
     return running(rows, ["file", "block", "row"], "number").select("number", "line")
 
 
-def read_metis(spark: SparkSession, path: str, max_weight: int = 1, seed: int = 5051789) -> DataFrame:
+def read_metis(spark: SparkSession, path: str, max_weight: int = 1, seed: int = 97) -> DataFrame:
     """Arcs of an adjacency file; line k lists the neighbours of vertex k.
 
     The header is ``V E [fmt [ncon]]`` with the digits vertex size, vertex weights, edge weights. An
@@ -115,7 +115,7 @@ def read_ldbc_vertices(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path, "#").select(_long(F.get("w", F.lit(0))).alias("id"))
 
 
-def read_ldbc_edges(spark: SparkSession, path: str, weighted: bool = True, max_weight: float = 1.0, seed: int = 5051789) -> DataFrame:
+def read_ldbc_edges(spark: SparkSession, path: str, weighted: bool = True, max_weight: float = 1.0, seed: int = 97) -> DataFrame:
     """``src dst [weight]`` per line; without weights they are made, over 0 and up to ``max_weight``."""
     w = _lines(spark, path, "#")
     edges = w.select(_long(F.get("w", F.lit(0))).alias("src"), _long(F.get("w", F.lit(1))).alias("dst"), F.get("w", F.lit(2)).cast("double").alias("weight"))
