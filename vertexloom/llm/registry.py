@@ -13,6 +13,7 @@ from vertexloom.llm import (
     op8_chat_format,
     op9_decontaminate,
     op10_packing,
+    op11_periodic_runs,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format.op8_chat_format,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_packing": op10_packing.op10_packing,
+    "op11_periodic_runs": op11_periodic_runs.op11_periodic_runs,
 }
 
 ORACLE_SQL = {
