@@ -14,6 +14,8 @@ from vertexloom.llm import (
     op9_decontaminate,
     op10_packing,
     op11_periodic_runs,
+    op12_exact_topk,
+    op13_whitening,
 )
 
 QUERIES = {
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_packing": op10_packing.op10_packing,
     "op11_periodic_runs": op11_periodic_runs.op11_periodic_runs,
+    "op12_exact_topk": op12_exact_topk.op12_exact_topk,
+    "op13_whitening": op13_whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -37,4 +41,5 @@ ORACLE_SQL = {
     "op4_url_filter": op4_url_filter.SQL,
     "op8_chat_format": op8_chat_format.SQL,
     "op9_decontaminate": op9_decontaminate.SQL,
+    "op12_exact_topk": op12_exact_topk.SQL,
 }
