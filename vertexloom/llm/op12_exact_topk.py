@@ -187,8 +187,8 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where(F.col("vec_id") % QUERY_STEP == 0), "vec_id", "embedding")
 
 
-SQL = f"""with v as (select vec_id, list_transform(embedding, x -> floor({SCALE} * cast(x as double))) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+SQL = f"""with v as (select vec_id, [floor({SCALE} * cast(x as double)) for x in embedding] as v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {QUERY_STEP} = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
