@@ -1,0 +1,105 @@
+"""Outcome of each operation of a batch, and numbers within groups, against plain loops."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.graph.test_updates import EDGES, random_log
+from vertexloom.graph import Graph
+from vertexloom.operators import ordering, updates
+
+LOG = "seq long, src long, dst long, weight double"
+
+
+def one_by_one(edges, vertices, log, directed, policy, ends):
+    now, told = dict(edges), {}
+    for seq, a, b, w in sorted(log):
+        key = (a, b) if directed else (min(a, b), max(a, b))
+        if w < 0:
+            told[seq] = now.pop(key, None) is not None
+        elif ends == "require" and not {a, b} <= vertices:
+            told[seq] = False
+        else:
+            told[seq] = policy == "overwrite" or key not in now
+            if told[seq]:
+                now[key] = w
+    return told, now
+
+
+def waiting(edges, log, directed):
+    """Every operation waits for its turn; those of a kind are served in their order."""
+    now, told, queues = dict(edges), {}, {}
+    for seq, a, b, w in sorted(log):
+        key = (a, b) if directed else (min(a, b), max(a, b))
+        told[seq] = False
+        queues.setdefault((key, w >= 0), []).append((seq, w))
+        while queue := queues.get((key, key not in now)):
+            s, weight = queue.pop(0)
+            told[s] = True
+            if key in now:
+                del now[key]
+            else:
+                now[key] = weight
+    return told, now
+
+
+def graph_of(spark, edges, vertices, directed):
+    rows = spark.createDataFrame([(*k, w) for k, w in edges.items()], EDGES)
+    return Graph(spark.createDataFrame([(v,) for v in sorted(vertices)], "id long"), rows, directed)
+
+
+@pytest.mark.parametrize("directed,policy,ends", [(True, "ignore", "make"), (False, "overwrite", "make"), (False, "ignore", "require"), (True, "overwrite", "require")])
+def test_outcomes(spark, directed, policy, ends):
+    log = random_log(31, 300)
+    edges = {(a, b): 5.0 for a in range(0, 8, 2) for b in range(8, 16, 3)}
+    vertices = set(range(0, 13))
+    graph = graph_of(spark, edges, vertices, directed)
+    told = updates.batch_outcomes(graph, spark.createDataFrame(log, LOG), policy, ends)
+    expected, now = one_by_one(edges, vertices, log, directed, policy, ends)
+    assert {r.seq: r.accepted for r in told.collect()} == expected
+    assert {(r.src, r.dst): r.weight for r in updates.apply_outcomes(graph, told).collect()} == now
+    assert not updates.all_accepted(told) and updates.all_accepted(told.where("accepted"))
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_forced_outcomes(spark, many_partitions, directed):
+    log = random_log(32, 350)
+    edges = {(a, b): 5.0 for a in range(0, 8, 2) for b in range(8, 16, 3)}
+    graph = graph_of(spark, edges, range(16), directed)
+    told = updates.batch_outcomes_forced(graph, spark.createDataFrame(log, LOG))
+    expected, now = waiting(edges, log, directed)
+    assert {r.seq: r.accepted for r in told.collect()} == expected and len(expected) == len(log)
+    assert {(r.src, r.dst): r.weight for r in updates.apply_outcomes(graph, told, "turn").collect()} == now
+
+
+def test_an_empty_batch(spark):
+    graph = graph_of(spark, {(1, 2): 1.0}, {1, 2}, False)
+    none = spark.createDataFrame([], LOG)
+    for told in (updates.batch_outcomes(graph, none), updates.batch_outcomes_forced(graph, none, "require")):
+        assert told.count() == 0 and updates.all_accepted(told)
+
+
+@pytest.fixture()
+def many_partitions(spark):
+    """Small ranges stay partitions of their own."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_places_and_previous_rows_over_partitions(spark, many_partitions):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.random()) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    found = ordering.places_within(frame, ["g"], ["x"]).collect()
+    by = {}
+    for g, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        by.setdefault(g, []).append(x)
+    assert len(found) == len(rows) and all(by[r.g][r.n] == r.x for r in found)
+    before = ordering.with_previous(frame.where("g is not null"), ["g", "x"], {"px": "x"}).collect()
+    order = sorted((r for r in rows if r[0] is not None))
+    assert {(r.g, r.x): r.px for r in before} == {r: (order[i - 1][1] if i else None) for i, r in enumerate(order)}
+    assert ordering.places_within(frame.where("g > 5"), ["g"], ["x"]).count() == 0
+    assert frame.agg(F.count("*")).first()[0] == 3000

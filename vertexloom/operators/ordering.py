@@ -55,3 +55,42 @@ def with_next(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFr
     return near.join(F.broadcast(firsts), F.col("_part") == F.col("_p")).select(
         *df.columns, *[F.when(F.col("_last"), F.col(f"_f_{n}")).otherwise(F.col(f"_n_{n}")).alias(n) for n in columns]
     )
+
+
+def with_previous(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``df`` with values of the row before in the order of ``keys``: ``columns`` maps new names to columns."""
+    rows = _ranged(df, keys)
+    own, before = Window.partitionBy("_part").orderBy("_at"), Window.orderBy("_part")
+    lasts = rows.groupBy("_part").agg(*[F.max_by(F.struct(c), "_at").alias(f"_l_{n}") for n, c in columns.items()])
+    lasts = lasts.select(  # a row per partition
+        F.col("_part").alias("_p"), *[F.lag(F.col(f"_l_{n}")[c]).over(before).alias(f"_f_{n}") for n, c in columns.items()]
+    )
+    near = rows.select("*", *[F.lag(c).over(own).alias(f"_n_{n}") for n, c in columns.items()])
+    return near.join(F.broadcast(lasts), F.col("_part") == F.col("_p")).select(
+        *df.columns, *[F.when(F.col("_at") == 0, F.col(f"_f_{n}")).otherwise(F.col(f"_n_{n}")).alias(n) for n in columns]
+    )
+
+
+def places_within(df: DataFrame, groups: list[str], keys: list[str], number: str = "n") -> DataFrame:
+    """``df`` with each row's number from 0 among those of equal ``groups``, in the order of ``keys``.
+
+    A group may be over any number of partitions, so no group is one task's work: a row's number in its
+    partition is raised by the group's rows in the partitions before, which only the last group of a
+    partition can have left behind.
+    """
+    rows = _ranged(df, [*groups, *keys])
+    own = Window.partitionBy("_part").orderBy("_at")
+    rows = rows.withColumn("_g", F.struct(*groups))
+    first = F.when(F.col("_at") == 0, True).otherwise(~F.col("_g").eqNullSafe(F.lag("_g").over(own)))
+    rows = rows.withColumn("_start", F.max(F.when(first, F.col("_at"))).over(own))
+    ends = rows.groupBy("_part").agg(F.max_by("_g", "_at").alias("_g"), F.max("_start").alias("_from"), (F.max("_at") + 1).alias("_rows"))
+    ends = ends.withColumn("_new", F.when(F.col("_from") > 0, F.col("_part")))  # a row per partition
+    same = F.col("_g").eqNullSafe(F.lag("_g").over(Window.orderBy("_part")))
+    ends = ends.withColumn("_run", F.when(F.coalesce(same, F.lit(False)) & F.col("_new").isNull(), 0).otherwise(1))
+    ends = ends.withColumn("_run", F.sum("_run").over(Window.orderBy("_part")))
+    left = F.sum(F.col("_rows") - F.col("_from")).over(Window.partitionBy("_run").orderBy("_part"))
+    ends = ends.withColumn("_left", left)
+    ends = ends.select(F.col("_part").alias("_p"), F.lag("_g").over(Window.orderBy("_part")).alias("_lg"), F.lag("_left").over(Window.orderBy("_part")).alias("_carry"))
+    joined = rows.join(F.broadcast(ends), F.col("_part") == F.col("_p"))
+    carried = F.when((F.col("_start") == 0) & F.col("_g").eqNullSafe(F.col("_lg")), F.coalesce("_carry", F.lit(0))).otherwise(0)
+    return joined.select(*df.columns, (F.col("_at") - F.col("_start") + carried).alias(number))

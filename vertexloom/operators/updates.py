@@ -8,10 +8,11 @@ aggregation by edge, whatever its length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph, canonical, endpoints
+from vertexloom.operators.ordering import places_within, with_previous
 
 
 def _held(graph: Graph, edges: DataFrame) -> DataFrame:
@@ -117,3 +118,73 @@ def final_counts(graph: Graph, temporary: DataFrame) -> tuple[Graph, DataFrame]:
     left = remove_vertices(graph, temporary)
     v = left.vertices.select(F.lit("vertices").alias("what"))
     return left, v.unionAll(left.edges.select(F.lit("edges").alias("what"))).groupBy("what").agg(F.count("*").alias("n"))
+
+
+def _valid(graph: Graph, log: DataFrame, ends: str) -> tuple[DataFrame, DataFrame]:
+    """Operations that can be done at all, and insertions that can't as an end is missing (``ends="require"``)."""
+    ops = _held(graph, log.select("seq", "src", "dst", "weight"))
+    if ends == "make":
+        return ops, ops.limit(0)
+    for end in ("src", "dst"):
+        ops = ops.join(graph.vertices.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    lost = F.coalesce((F.col("weight") >= 0) & ~(F.coalesce("_src", F.lit(False)) & F.coalesce("_dst", F.lit(False))), F.lit(False))
+    marked = ops.select("seq", "src", "dst", "weight", lost.alias("_lost"))
+    return marked.where("not _lost").drop("_lost"), marked.where("_lost").drop("_lost")
+
+
+def batch_outcomes(graph: Graph, log: DataFrame, on_duplicate: str = "ignore", ends: str = "make") -> DataFrame:
+    """``(seq, src, dst, weight, accepted)``: what each operation of a batch would have returned, one after the other.
+
+    An insertion is refused if the edge is there (under ``ignore``; ``overwrite`` takes it), a deletion if
+    it is not. Whether it is there is told by the edge's operation before, whatever became of that, and
+    by the graph for its first one. With ``ends="require"`` an insertion is refused, and changes nothing, if
+    the graph lacks one of its ends; with ``"make"`` missing ends are made. An edge with very many operations
+    is over several partitions; only first operations are joined with the graph.
+    """
+    ops, lost = _valid(graph, log, ends)
+    chain = with_previous(ops, ["src", "dst", "seq"], {"_src": "src", "_dst": "dst", "_weight": "weight"})
+    again = F.coalesce((F.col("_src") == F.col("src")) & (F.col("_dst") == F.col("dst")), F.lit(False))
+    chain = chain.withColumn("_again", again)
+    there = graph.edges.select("src", "dst", F.lit(True).alias("_there"))
+    first = chain.where("not _again").join(there, ["src", "dst"], "left")
+    inserted = F.col("weight") >= 0
+
+    def told(rows: DataFrame, before: Column) -> DataFrame:
+        taken = F.when(inserted, ~before if on_duplicate == "ignore" else F.lit(True)).otherwise(before)
+        return rows.select("seq", "src", "dst", "weight", taken.alias("accepted"))
+
+    out = told(chain.where("_again"), F.col("_weight") >= 0).unionAll(told(first, F.col("_there").isNotNull()))
+    return out.unionAll(lost.select("seq", "src", "dst", "weight", F.lit(False).alias("accepted")))
+
+
+def batch_outcomes_forced(graph: Graph, log: DataFrame, ends: str = "make") -> DataFrame:
+    """``(seq, src, dst, weight, accepted, turn)`` of a batch in which a refused operation waits until it can be done.
+
+    The edge is there or not, so what is done on it are insertions and deletions by turns, each kind in
+    the order of ``seq``, however they arrive: the k-th insertion into an absent edge is the (2k - 1)-th turn,
+    the k-th deletion the 2k-th. An operation is done if the other kind has as many as its turn needs.
+    ``turn`` is null for those that wait in vain. Duplicates are ignored, not overwritten.
+    """
+    ops, lost = _valid(graph, log, ends)
+    placed = places_within(ops.withColumn("_put", F.col("weight") >= 0), ["src", "dst", "_put"], ["seq"], "_k")
+    counts = ops.groupBy("src", "dst").agg(F.count_if(F.col("weight") >= 0).alias("_puts"), F.count_if(F.col("weight") < 0).alias("_gone"))
+    there = graph.edges.select("src", "dst", F.lit(True).alias("_there"))
+    counts = counts.join(there, ["src", "dst"], "left").withColumn("_there", F.col("_there").isNotNull())
+    leads = F.col("_put") != F.col("_there")  # this kind has the first turn
+    turn = 2 * F.col("_k") + F.when(leads, 1).otherwise(2)
+    others = F.when(F.col("_put"), F.col("_gone")).otherwise(F.col("_puts"))
+    taken = F.when(leads, F.col("_k") <= others).otherwise(F.col("_k") < others)
+    out = placed.join(counts, ["src", "dst"]).select("seq", "src", "dst", "weight", taken.alias("accepted"), F.when(taken, turn).alias("turn"))
+    return out.unionAll(lost.select("seq", "src", "dst", "weight", F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("turn")))
+
+
+def all_accepted(outcomes: DataFrame) -> bool:
+    """What a whole batch returns: that no operation was refused; true for none."""
+    return outcomes.where("not accepted").limit(1).count() == 0
+
+
+def apply_outcomes(graph: Graph, outcomes: DataFrame, order: str = "seq") -> DataFrame:
+    """Edges after a batch whose outcomes are known: the last accepted operation of each edge, by ``order``."""
+    done = outcomes.where("accepted").groupBy("src", "dst").agg(F.max_by("weight", order).alias("_new"))
+    merged = graph.edges.join(done, ["src", "dst"], "full_outer")
+    return merged.where("coalesce(_new, weight) >= 0").select("src", "dst", F.coalesce("_new", "weight").alias("weight"))

@@ -283,6 +283,40 @@ def apply_batch_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.apply_batch(empty, projections.event_log(spark, sf_dir), "overwrite").edges
 
 
+_STEPWISE = """with recursive {log}, {old},
+k as (select seq, src, dst, weight, row_number() over (partition by src, dst order by seq) as k from new),
+r as (select k.*, net.src is not null as before from k left join net using (src, dst) where k = 1
+  union all select k.*, r.weight >= 0 from r join k on k.src = r.src and k.dst = r.dst and k.k = r.k + 1)
+select seq, src, dst, weight, before <> (weight >= 0) as accepted from r"""
+
+
+@query(_STEPWISE.format(log=_LOG, old=_OLD))
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, new = _halves(spark, sf_dir)
+    return updates.batch_outcomes(graph, new)
+
+
+#: One operation after the other, with those that wait counted.
+_WAITING = """with recursive {log}, {old},
+k as (select seq, src, dst, weight, row_number() over (partition by src, dst order by seq) as k,
+  row_number() over (partition by src, dst, weight >= 0 order by seq) as own from new),
+r as (select src, dst, cast(0 as bigint) as k, max(net.src is not null) as here, 0 as puts, 0 as gone, 0 as wait_put, 0 as wait_gone from k left join net using (src, dst) group by 1, 2
+  union all select src, dst, k + 1, case when waits then here when frees then here else not here end,
+    puts + cast(put and not waits as int) + cast(not put and frees as int), gone + cast(not put and not waits as int) + cast(put and frees as int),
+    wait_put + cast(put and waits as int) - cast(not put and frees as int), wait_gone + cast(not put and waits as int) - cast(put and frees as int)
+  from (select r.*, k.weight >= 0 as put, (k.weight >= 0) = r.here as waits,
+      (k.weight >= 0) <> r.here and case when k.weight >= 0 then wait_gone else wait_put end > 0 as frees
+    from r join k on k.src = r.src and k.dst = r.dst and k.k = r.k + 1)),
+done as (select src, dst, max_by(puts, k) as puts, max_by(gone, k) as gone from r group by 1, 2)
+select seq, src, dst, weight, own <= case when weight >= 0 then puts else gone end as accepted from k join done using (src, dst)"""
+
+
+@query(_WAITING.format(log=_LOG, old=_OLD))
+def batch_outcomes_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, new = _halves(spark, sf_dir)
+    return updates.batch_outcomes_forced(graph, new).drop("turn")
+
+
 @query(_NET_ALL + """, k as (select * from net where src % 5 <> 0 and dst % 5 <> 0)
 select 'edges' as what, count(*) as n from k union all
 select 'vertices', count(*) from (select distinct unnest([src, dst]) as id from log where weight >= 0) where id % 5 <> 0""")
