@@ -19,6 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -149,15 +150,22 @@ def whiten(rows: DataFrame, id_col: str, vector_col: str, most: int = COMPONENTS
     told = sorted(sums.collect())  # a row per dimension
     n, sums = told[0]["n"], [int(r["s"]) for r in told]
     mean = [Fraction(s, n) for s in sums]
-    covariance = scatter(_blocks(fit, F.col("x"), mean, count)) / n
-    values, vectors = components(covariance, most)
-    trace, k = float(np.trace(covariance)), len(values)
-    if not k:
-        return spark.createDataFrame([], OUTPUT)
-    projected = _projected(_blocks(numbered, F.col("x"), mean, count), vectors / np.sqrt(values), spark)
-    own = numbered.join(fit.select("row", F.lit(True).alias("fits")), "row", "left")
-    own = own.select("row", "vec_id", F.coalesce("fits", F.lit(False)).alias("fits"), _deviation(F.col("x"), n, sums).alias("deviation"))
-    found = cut(own.join(projected, "row").select("vec_id", "fits", "deviation", "w"))
+    all_rows = _blocks(numbered, F.col("x"), mean, count).persist(StorageLevel.MEMORY_AND_DISK)
+    # Without copies all rows are the fit list, and their blocks are its blocks.
+    fit_rows = all_rows if n == count else _blocks(fit, F.col("x"), mean, count).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        covariance = scatter(fit_rows) / n
+        values, vectors = components(covariance, most)
+        trace, k = float(np.trace(covariance)), len(values)
+        if not k:
+            return spark.createDataFrame([], OUTPUT)
+        projected = _projected(all_rows, vectors / np.sqrt(values), spark)
+        own = numbered.join(fit.select("row", F.lit(True).alias("fits")), "row", "left")
+        own = own.select("row", "vec_id", F.coalesce("fits", F.lit(False)).alias("fits"), _deviation(F.col("x"), n, sums).alias("deviation"))
+        found = cut(own.join(projected, "row").select("vec_id", "fits", "deviation", "w"))
+    finally:
+        for matrix in (all_rows, fit_rows):
+            matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
     error = _identity_error(found.where("fits"), k)
     explained = F.element_at(F.lit([float(v) / trace for v in values]), F.col("component"))
     flat = found.select("vec_id", "deviation", F.posexplode("w").alias("at", "whitened")).withColumn("component", F.col("at") + 1)
