@@ -15,6 +15,7 @@ from vertexloom.sources import sinks
 def test_insert_only(spark, tmp_path):
     edges = golden(spark, False).edges
     store, records = experiments.insert_only(edges, str(tmp_path), 3, seed=1)
+    records = records.records
     assert len(store.versions()) == len(records) == 3 and sum(r["updates"] for r in records) == 12
     assert rows_of(store.load()) == {(r.src, r.dst): r.weight for r in edges.collect()}
 
@@ -25,7 +26,7 @@ def test_aging(spark, tmp_path):
     gone = spark.createDataFrame([(3,), (9,)], "id long")
     graph, records = experiments.aging(frame, gone, str(tmp_path), 3)
     expected = {k: w for k, w in sequential({}, log, False, "ignore").items() if not {3, 9} & set(k)}
-    assert rows_of(graph) == expected and sum(r["updates"] for r in records) == len(log)
+    assert rows_of(graph) == expected and sum(r["updates"] for r in records.records) == len(log)
 
 
 def test_kernel_suite(spark, tmp_path):

@@ -44,7 +44,7 @@ def test_segments_with_a_hot_pair(spark, tmp_path):
     sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{tmp_path}/log.updates/*/*/*.parquet")]
     assert max(sizes) <= 32 and sum(sizes) == len(log)
     store = SnapshotStore(spark, f"{tmp_path}/versions", directed=False)
-    records = replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress")
+    records = replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress").records
     assert [r["updates"] for r in records] == [167, 167, 166]
     assert rows_of(store.load()) == sequential({}, log, False, "ignore")
 
@@ -52,7 +52,7 @@ def test_segments_with_a_hot_pair(spark, tmp_path):
 def test_no_updates(spark, tmp_path):
     replay.write_segments(spark.createDataFrame([], LOG), f"{tmp_path}/log", 2)
     store = SnapshotStore(spark, f"{tmp_path}/versions", directed=False)
-    assert [r["updates"] for r in replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress")] == [0, 0]
+    assert [r["updates"] for r in replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress").records] == [0, 0]
     assert store.load().num_edges() == 0
 
 

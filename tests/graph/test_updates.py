@@ -82,10 +82,10 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     replay.write_segments(frame, f"{tmp_path}/log", 4, files=2)
     store = SnapshotStore(spark, f"{tmp_path}/versions", directed=False)
     assert store.versions() == []
-    records = replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress", files=2)
+    records = replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress", files=2).records
     assert sum(r["updates"] for r in records) == len(log) and len(store.versions()) == len(records)
     assert rows_of(store.load()) == sequential({}, log, False, "ignore")
-    assert replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress", files=2) == []
+    assert replay.replay(spark, f"{tmp_path}/log", store, f"{tmp_path}/progress", files=2).records == []
 
 
 def test_final_counts_and_parts(spark):

@@ -16,7 +16,12 @@ from vertexloom.operators.ordering import places_within, with_previous
 
 
 def _held(graph: Graph, edges: DataFrame) -> DataFrame:
-    return edges if graph.directed else canonical(edges)
+    return held_log(edges, graph.directed)
+
+
+def held_log(edges: DataFrame, directed: bool) -> DataFrame:
+    """Edges, or a log of them, as a graph holds them."""
+    return edges if directed else canonical(edges)
 
 
 def add_vertices(graph: Graph, ids: DataFrame) -> tuple[Graph, DataFrame]:
@@ -102,7 +107,7 @@ def net_effect(log: DataFrame, on_duplicate: str = "ignore") -> DataFrame:
 
 def apply_batch(graph: Graph, log: DataFrame, on_duplicate: str = "ignore") -> Graph:
     """The graph after a log ``(seq, src, dst, weight)``; missing ends are made, deletions keep vertices."""
-    effect = net_effect(_held(graph, log), on_duplicate)
+    effect = net_effect(held_log(log, graph.directed), on_duplicate)
     old = graph.edges.withColumnRenamed("weight", "_old")
     merged = old.join(effect, ["src", "dst"], "full_outer")
     kept = F.col("_old").isNotNull() & ~F.coalesce("fresh", F.lit(False))

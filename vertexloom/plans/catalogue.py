@@ -17,7 +17,7 @@ from vertexloom.plans import experiments, sql
 from vertexloom.sources import binary, load, projections, sinks, text
 from vertexloom.sources.snapshots import SnapshotStore
 from vertexloom.session import cut, ensure_checkpoint_dir, table
-from vertexloom.streaming import replay
+from vertexloom.streaming import replay, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -341,6 +341,15 @@ def stream_apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load().edges
 
 
+@query(_NET_ALL + "select src, dst, weight from net")
+def stream_state_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log through keyed state in two micro-batches; edges are what its outcomes leave."""
+    folder = _scratch(spark)
+    files = spark.sparkContext.defaultParallelism
+    state.write_feed(projections.event_log(spark, sf_dir), f"{folder}/feed", 2, files)
+    return state.edges_of(state.run_outcomes(spark, f"{folder}/feed", f"{folder}/out", f"{folder}/progress", files=files))
+
+
 def _inserted_stream(graph: Graph) -> DataFrame:
     store, _ = experiments.insert_only(graph.edges, _scratch(graph.spark), 3, SEED)
     return store.load().edges

@@ -12,31 +12,66 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.functions.statistics import trial_statistics
-from vertexloom.graph import Graph
+from vertexloom.graph import EDGE_SCHEMA, Graph
 from vertexloom.kernels import clustering, ranking, traversal
 from vertexloom.kernels.deadline import limited
 from vertexloom.operators import algebra, updates, validate
 from vertexloom.sources.snapshots import SnapshotStore
-from vertexloom.streaming import replay
+from vertexloom.streaming import replay, state
+from vertexloom.streaming.progress import Progress
+from vertexloom.streaming.replay import Replayed
 
 #: Kernels in the order in which a round runs them.
 KERNELS = ("bfs", "cdlp", "lcc", "pagerank", "sssp", "wcc")
 
 
-def insert_only(edges: DataFrame, folder: str, batches: int, seed: int) -> tuple[SnapshotStore, list[dict]]:
-    """Insert an edge stream in a seeded random order, in batches; each batch publishes a version."""
+def insert_only(edges: DataFrame, folder: str, batches: int, seed: int, timeout: float = 0, batch: int | None = None) -> tuple[SnapshotStore, Replayed]:
+    """Insert an edge stream in a seeded random order, in batches, of ``batch`` updates if given; each publishes a version."""
     placed = algebra.permuted_places(edges.select("src", "dst", "weight"), seed, "src", "dst", number="seq")
-    replay.write_segments(placed, f"{folder}/log", batches)
+    replay.write_segments(placed, f"{folder}/log", batches, batch=batch)
     store = SnapshotStore(edges.sparkSession, f"{folder}/versions", directed=False)
-    return store, replay.replay(edges.sparkSession, f"{folder}/log", store, f"{folder}/progress")
+    return store, replay.replay(edges.sparkSession, f"{folder}/log", store, f"{folder}/progress", timeout=timeout)
 
 
-def aging(log: DataFrame, temporary: DataFrame, folder: str, batches: int, timeout: float = 0) -> tuple[Graph, list[dict]]:
-    """Replay a log in batches, then remove its temporary vertices."""
-    replay.write_segments(log, f"{folder}/log", batches)
+def _latest(store: SnapshotStore) -> Graph:
+    """The last version; of a run that was stopped before its first an empty graph."""
+    if store.versions():
+        return store.load()
+    return Graph(store.spark.createDataFrame([], "id long"), store.spark.createDataFrame([], EDGE_SCHEMA), store.directed)
+
+
+def aging(log: DataFrame, temporary: DataFrame, folder: str, batches: int, timeout: float = 0, batch: int | None = None) -> tuple[Graph, Replayed]:
+    """Replay a log in batches, then remove its temporary vertices. A run that is late has what it did by then."""
+    replay.write_segments(log, f"{folder}/log", batches, batch=batch)
     store = SnapshotStore(log.sparkSession, f"{folder}/versions", directed=False)
-    records = replay.replay(log.sparkSession, f"{folder}/log", store, f"{folder}/progress", timeout=timeout)
-    return updates.remove_vertices(store.load(), temporary), records
+    replayed = replay.replay(log.sparkSession, f"{folder}/log", store, f"{folder}/progress", timeout=timeout)
+    return updates.remove_vertices(_latest(store), temporary), replayed
+
+
+def aging_stream(
+    log: DataFrame, temporary: DataFrame, folder: str, batches: int, timeout: float = 0, build_every: float = 0, files: int = 1, wait: float = 0
+) -> tuple[Graph, Replayed, list[int]]:
+    """Replay a log through keyed state; versions are published every ``build_every`` seconds meanwhile, and once at the end.
+
+    The graph, the records of the batches and the versions come back. The stream of updates and the
+    one that publishes run side by side on their own checkpoints.
+    """
+    spark = log.sparkSession
+    feed, out = f"{folder}/feed", f"{folder}/outcomes"
+    state.write_feed(log, feed, batches, files)
+    store = SnapshotStore(spark, f"{folder}/versions", directed=False)
+    publisher = None
+    with Progress(spark) as progress:
+        query = state.outcome_stream(spark, feed, out, f"{folder}/progress", wait=wait, files=1, name=progress.name)
+        try:
+            if build_every:
+                publisher = state.publish_stream(spark, out, store, f"{folder}/published", build_every)
+            late = replay.await_end(query, timeout)
+        finally:
+            if publisher is not None:
+                publisher.stop()
+    state.publish_stream(spark, out, store, f"{folder}/published").awaitTermination()
+    return updates.remove_vertices(_latest(store), temporary), Replayed(progress.records(), late), store.versions()
 
 
 def kernel_calls(graph: Graph, parameters: dict[str, dict], timeout: float = 0) -> dict[str, Callable[[], DataFrame]]:
