@@ -167,3 +167,47 @@ def test_shortest_paths_that_keep_falling(spark):
     rows = [(k, k + 1, 1.0) for k in range(n)] + [(0, k, 3.0 * k) for k in range(2, n + 1)]
     found = {r.id: r.distance for r in traversal.sssp(build(spark, rows, True), 0).collect()}
     assert found == {k: float(k) for k in range(n + 1)}
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_ways_of_breadth_first_search(spark, directed):
+    rng = random.Random(61)
+    pairs = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(110)) if a < b}
+    arrows = [(a, b, 1.0) if rng.random() < 0.7 or not directed else (b, a, 1.0) for a, b in sorted(pairs)]
+    graph = build(spark, arrows, directed, range(42))
+    source = Counter(a for a, *_ in arrows).most_common(1)[0][0]
+    expected = values(traversal.bfs(graph, source, direction="push"))
+    assert expected == values(traversal.bfs(graph, source, direction="pull")) == values(traversal.bfs(graph, source, direction="auto"))
+    assert len(set(expected.values())) > 3
+    with pytest.raises(ValueError):
+        traversal.bfs(graph, source, direction="sideways")
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_delta_stepping_on_golden_graphs(spark, directed):
+    graph = golden(spark, directed)
+    source = 1 if directed else 2
+    expected = GOLDEN[directed]["sssp"]
+    for delta in (None, 0.2):
+        found = values(traversal.delta_stepping(graph, source, delta))
+        assert found.keys() == expected.keys() and all(found[v] == pytest.approx(expected[v]) for v in expected)
+
+
+def test_delta_stepping_writes_less_on_a_long_path(spark, monkeypatch):
+    """Short steps along a path, and from each vertex a long way ahead that the path beats."""
+    n = 10
+    rows = [(i, i + 1, 1.0) for i in range(n)] + [(0, i, 5.0 * i) for i in range(2, n + 1)] + [(i, i + 4, 30.0) for i in range(n - 4)]
+    rows += [(n, 100, 1.0), (100, 101, 0.0)]
+    rows += [(i, 200 + i, 2.0) for i in range(n)]
+    graph = build(spark, rows, True)
+    plain, kept = [], traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: plain.append(kept(df)) or plain[-1])
+    expected = values(traversal.sssp(graph, 0))
+    rounds = sum(df.count() for df in plain if set(df.columns) == {"id", "distance"}) - len(expected)
+    monkeypatch.setattr(traversal, "cut", kept)
+    written = []
+    assert values(traversal.delta_stepping(graph, 0, 3.0, written=written)) == expected
+    assert expected[101] == 11.0 and sum(written) < rounds
+    with pytest.raises(ValueError):
+        traversal.delta_stepping(build(spark, [(1, 2, -1.0)], True), 1)
+    assert values(traversal.delta_stepping(build(spark, [(1, 2, 0.0)], True), 1)) == {1: 0, 2: 0}

@@ -2,6 +2,8 @@
 
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ def test_parameters_of_a_dataset(spark, dataset):
         "bfs": {"source": 1}, "sssp": {"source": 2}, "cdlp": {"iterations": 2}, "pagerank": {"iterations": 3, "damping": 0.5}, "wcc": {}, "lcc": {},
     }
     assert set(text.kernel_parameters({})) == {"cdlp", "lcc", "pagerank", "wcc"}
+    assert text.kernel_parameters({"algorithms": "bfs", "bfs.source-vertex": "3"}) == {"bfs": {"source": 3}, "sssp": {"source": 3}}
     for wrong in ({"algorithms": "bfs"}, {"algorithms": "pr, tc"}):
         with pytest.raises(ValueError):
             text.kernel_parameters(wrong)
@@ -115,3 +118,52 @@ def test_a_repeated_edge_gets_its_smallest_weight(spark, tmp_path):
     graph = load.load_graph(spark, f"{tmp_path}/g.wel", directed=False)
     graph.check()
     assert isinstance(graph, Graph) and [tuple(r) for r in graph.edges.collect()] == [(1, 2, 3.0)]
+
+
+def log_file(folder, updates, final, temporary, **told):
+    names = {"vertices": binary.FINAL_VERTICES, "edges": binary.FINAL_EDGES}
+    frame = pd.DataFrame(updates, columns=["src", "dst", "weight"])
+    content = binary.encode_log({names[k]: v for k, v in told.items()}, np.array(final), np.array(temporary), frame, 4)
+    (folder / "tiny.graphlog").write_bytes(content)
+    return f"{folder}/tiny.graphlog"
+
+
+UPDATES = [(1, 2, 0.5), (2, 3, 1.0), (1, 9, 2.0), (3, 4, 1.0), (2, 1, -1.0), (1, 3, 2.0), (1, 2, 0.7), (9, 4, 1.0)]
+
+
+def test_a_replayed_log(spark, dataset):
+    path = log_file(dataset, UPDATES, [1, 2, 3, 4], [9], vertices=4, edges=4)
+    records = f"{dataset}/records"
+    one = runner.run(spark, runner.Options(f"{dataset}/tiny.properties", records, log=path, repetitions=0, batch=3, aging_step=0.5, latency=True, scans=2))
+    table = lambda name: [r for r in runner.read_records(spark, records, name).collect() if r.run == one]
+    assert sorted((r.version, r.updates, r.inserts, r.deletes) for r in table("batches")) == [(1, 3, 3, 0), (2, 3, 2, 1), (3, 2, 2, 0)]
+    (total,) = table("totals")
+    assert (total.vertices, total.edges, total.expected_vertices, total.expected_edges, total.temporary_vertices) == (4, 4, 4, 4, 1)
+    assert (total.snapshots, total.timed_out, total.updates) == (3, False, 8) and total.build_microseconds > 0
+    assert sorted((r.multiple, r.updates) for r in table("progress")) == [(0.5, 3), (1.0, 6), (1.5, 6), (2.0, 8)]
+    assert max(r.updates for r in table("seconds")) == 8
+    assert {r.kind: (r.n, r.timeouts) for r in table("latencies")} == {"insert": (7, 0), "delete": (1, 0), "all": (8, 0)}
+    assert sorted(r.trial for r in table("scans")) == [0, 0, 0, 1, 1, 1]
+    assert {r.scan for r in spark.read.json(f"{records}/scans-{one}.json").collect()} == {"degrees", "first_neighbour", "all_neighbours"}
+    assert spark.read.text(f"{records}/degrees-{one}").count() == 5
+    with pytest.raises(ValueError, match="4 edges instead of 5"):
+        log_file(dataset, UPDATES, [1, 2, 3, 4], [9], vertices=4, edges=5)
+        runner.run(spark, runner.Options(f"{dataset}/tiny.properties", records, log=path, repetitions=0, batches=1))
+
+
+def test_a_log_through_state_and_one_that_is_stopped(spark, dataset):
+    path = log_file(dataset, UPDATES, [1, 2, 3, 4], [9], vertices=4, edges=4)
+    records = f"{dataset}/records"
+    runner.run(spark, runner.Options(f"{dataset}/tiny.properties", records, log=path, repetitions=0, batches=2, build_every=1))
+    runner.run(spark, runner.Options(f"{dataset}/tiny.properties", records, log=path, repetitions=0, batches=8, aging_timeout=0.5))
+    totals = runner.read_records(spark, records, "totals").orderBy("timed_out").collect()
+    assert (totals[0].edges, totals[0].updates, totals[0].timed_out) == (4, 8, False) and totals[0].snapshots >= 1
+    assert totals[1].timed_out and totals[1].updates < 8 and totals[1].edges <= 4
+
+
+def test_a_directed_graph_is_loaded_only(spark, dataset):
+    (dataset / "tiny.properties").write_text(PROPERTIES.replace("tiny.directed = false", "tiny.directed = true"))
+    options = {"graph": f"{dataset}/tiny.properties", "records": f"{dataset}/records", "repetitions": 0}
+    with pytest.raises(ValueError, match="load"):
+        runner.run(spark, runner.Options(**options))
+    assert runner.run(spark, runner.Options(**options, load=True))

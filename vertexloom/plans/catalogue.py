@@ -69,6 +69,9 @@ def _rounded(column: str, places: int):
 for _kind, _on in (("undirected", "part_cooccur"), ("directed", "user_transition")):
     _kernel(_on, lambda g: traversal.bfs(g, _source(g)), f"bfs_{_kind}", sql.bfs(_on, _kind))
     _kernel(_on, lambda g: _rounded("distance", 4)(traversal.sssp(g, _source(g))), f"sssp_{_kind}", sql.sssp(_on, _kind))
+    for _way in ("auto", "pull"):
+        _kernel(_on, lambda g, way=_way: traversal.bfs(g, _source(g), direction=way), f"bfs_{_way}_{_kind}", sql.bfs(_on, _kind))
+    _kernel(_on, lambda g: _rounded("distance", 4)(traversal.delta_stepping(g, _source(g))), f"sssp_delta_{_kind}", sql.sssp(_on, _kind))
     _kernel(_on, lambda g: _rounded("score", 9)(ranking.pagerank(g, PAGERANK_ROUNDS)), f"pagerank_{_kind}", sql.pagerank(_on, _kind, PAGERANK_ROUNDS))
     _kernel(_on, lambda g: ranking.cdlp(g, CDLP_ROUNDS), f"cdlp_{_kind}", sql.cdlp(_on, _kind, CDLP_ROUNDS))
     _kernel(_on, lambda g: _rounded("coefficient", 9)(clustering.lcc(g)), f"lcc_{_kind}", sql.lcc(_on, _kind))

@@ -33,7 +33,7 @@ def insert_only(edges: DataFrame, folder: str, batches: int, seed: int, timeout:
     return store, replay.replay(edges.sparkSession, f"{folder}/log", store, f"{folder}/progress", timeout=timeout)
 
 
-def _latest(store: SnapshotStore) -> Graph:
+def latest(store: SnapshotStore) -> Graph:
     """The last version; of a run that was stopped before its first an empty graph."""
     if store.versions():
         return store.load()
@@ -45,7 +45,7 @@ def aging(log: DataFrame, temporary: DataFrame, folder: str, batches: int, timeo
     replay.write_segments(log, f"{folder}/log", batches, batch=batch)
     store = SnapshotStore(log.sparkSession, f"{folder}/versions", directed=False)
     replayed = replay.replay(log.sparkSession, f"{folder}/log", store, f"{folder}/progress", timeout=timeout)
-    return updates.remove_vertices(_latest(store), temporary), replayed
+    return updates.remove_vertices(latest(store), temporary), replayed
 
 
 def aging_stream(
@@ -71,7 +71,7 @@ def aging_stream(
             if publisher is not None:
                 publisher.stop()
     state.publish_stream(spark, out, store, f"{folder}/published").awaitTermination()
-    return updates.remove_vertices(_latest(store), temporary), Replayed(progress.records(), late), store.versions()
+    return updates.remove_vertices(latest(store), temporary), Replayed(progress.records(), late), store.versions()
 
 
 def kernel_calls(graph: Graph, parameters: dict[str, dict], timeout: float = 0) -> dict[str, Callable[[], DataFrame]]:

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions.quantities import parse_duration
-from vertexloom.graph import Graph
+from vertexloom.functions.statistics import medians
+from vertexloom.graph import Graph, endpoints
+from vertexloom.operators import algebra
 from vertexloom.plans import experiments
 from vertexloom.session import cut
 from vertexloom.sources import binary, load, sinks, text
+from vertexloom.streaming import progress
 
 #: Columns of each table of records, besides the run's id.
 RECORDS = {
@@ -29,15 +32,26 @@ RECORDS = {
     "kernels": "kernel string, trial int, microseconds long, error string",
     "statistics": "kernel string, n long, timeouts long, mean long, stddev long, min long, max long, median long, p90 long, p95 long, p97 long, p99 long",
     "batches": "experiment string, version long, updates long, inserts long, deletes long, microseconds long",
-    "progress": "experiment string, multiple long, updates long, microseconds long",
-    "totals": "experiment string, updates long, microseconds long, vertices long, edges long",
+    "progress": "experiment string, multiple double, updates long, microseconds long",
+    "seconds": "experiment string, second long, updates long",
+    "latencies": "experiment string, kind string, n long, timeouts long, mean long, stddev long, min long, max long, median long, p90 long, p95 long, p97 long, p99 long",
+    "totals": "experiment string, updates long, microseconds long, build_microseconds long, snapshots long, vertices long, edges long, expected_vertices long, expected_edges long, temporary_vertices long, timed_out boolean",
+    "scans": "scan string, trial long, microseconds long, total long",
     "validation": "kernel string, valid boolean, error string",
 }
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a run does. ``graph`` is a dataset in any format, ``log`` an update log to replay instead of inserting the graph."""
+    """What a run does. ``graph`` is a dataset in any format, ``log`` an update log to replay instead of inserting the graph.
+
+    ``batches`` cuts the updates into so many batches, ``batch`` into batches of so many. ``timeout`` is
+    each kernel's time, ``aging_timeout`` that of the updates: they end there and what they did counts.
+    ``aging_step`` is the part of the final edges at which progress is kept. ``build_every`` seconds a version is
+    published while a log runs through keyed state; without it each batch is one. ``latency`` keeps
+    statistics of the updates' latencies, ``scans`` repeats the scan benchmark. ``load`` takes the graph as
+    it is read; an undirected one is inserted otherwise, a directed one only can be loaded.
+    """
 
     graph: str
     records: str
@@ -45,9 +59,16 @@ class Options:
     directed: bool = False
     repetitions: int = 5
     batches: int = 10
+    batch: int | None = None
     seed: int = 42
     max_weight: int = 1
     timeout: float = 3600
+    aging_timeout: float = 0
+    aging_step: float = 1.0
+    build_every: float = 0
+    latency: bool = False
+    scans: int = 0
+    load: bool = False
     validate: str | None = None
     without: tuple[str, ...] = ()
     insert: bool = True
@@ -77,28 +98,45 @@ def _updates(spark: SparkSession, options: Options, run_id: str, graph: Graph |
     """Insert the graph or replay the log in batches, and keep what each batch took."""
     name, began = ("aging" if options.log else "insert_only"), time.monotonic()
     folder = f"{options.records}/work/{run_id}"
+    told = {}
     if options.log:
         packed = binary.files(spark, options.log)
-        vertices = binary.log_vertices(packed)
-        final, batches = experiments.aging(binary.log_updates(packed, float(options.max_weight)), vertices.where("temporary"), folder, options.batches, options.timeout)
-        wanted = vertices.where("not temporary").count()
+        log, vertices = binary.log_updates(packed, float(options.max_weight)), binary.log_vertices(packed)
+        temporary = vertices.where("temporary")
+        if options.build_every:
+            final, replayed, versions = experiments.aging_stream(log, temporary, folder, options.batches, options.aging_timeout, options.build_every)
+        else:
+            final, replayed = experiments.aging(log, temporary, folder, options.batches, options.aging_timeout, options.batch)
+            versions = [r["version"] for r in replayed.records]
+        told = binary.final_sizes(packed)
+        told["temporary_vertices"] = temporary.count()
     else:
-        store, batches = experiments.insert_only(graph.edges, folder, options.batches, options.seed)
-        final, wanted = store.load(), 0
+        store, replayed = experiments.insert_only(graph.edges, folder, options.batches, options.seed, options.aging_timeout, options.batch)
+        versions = store.versions()
+        final = experiments.latest(store)
+        told = {"vertices": graph.vertices.join(endpoints(graph.edges), "id", "left_semi").count(), "edges": graph.num_edges(), "temporary_vertices": 0}
     took = int((time.monotonic() - began) * 1e6)
-    edges = final.num_edges()
-    done, rows, spent, passed = 0, [], 0, []
-    for b in batches:
-        micro = int(b["seconds"] * 1e6)
-        rows.append({"experiment": name, "version": b["version"], "updates": b["updates"], "inserts": b.get("inserts"), "deletes": b.get("deletes"), "microseconds": micro})
-        before, done, spent = done, done + b["updates"], spent + micro
-        if edges:
-            passed += [{"experiment": name, "multiple": k, "updates": done, "microseconds": spent} for k in range(before // edges + 1, done // edges + 1)]
-    write_records(spark, options.records, run_id, "batches", rows)
-    write_records(spark, options.records, run_id, "progress", passed)
-    write_records(spark, options.records, run_id, "totals", [{"experiment": name, "updates": done, "microseconds": took, "vertices": final.num_vertices(), "edges": edges}])
-    if wanted and final.num_vertices() > wanted:
-        raise ValueError(f"{final.num_vertices()} vertices are left of a log with {wanted} final ones")
+    built = time.monotonic()
+    final = Graph(cut(final.vertices), cut(final.edges), final.directed)
+    build = int((time.monotonic() - built) * 1e6)
+    sizes = {"vertices": final.num_vertices(), "edges": final.num_edges()}
+    records = replayed.records
+
+    def keep(table: str, rows: list[dict]) -> None:
+        write_records(spark, options.records, run_id, table, [{"experiment": name} | r for r in rows])
+
+    keep("batches", records)
+    keep("progress", progress.at_multiples(records, told.get("edges") or sizes["edges"], options.aging_step))
+    keep("seconds", progress.by_second(records))
+    if options.latency:
+        write_records(spark, options.records, run_id, "latencies", progress.latencies(spark, records).withColumn("experiment", F.lit(name)))
+    total = {"updates": sum(r["updates"] for r in records), "microseconds": took, "build_microseconds": build, "snapshots": len(versions), "timed_out": replayed.timed_out}
+    expected = {f"expected_{k}": told.get(k) for k in ("vertices", "edges")} | {"temporary_vertices": told["temporary_vertices"]}
+    keep("totals", [total | sizes | expected])
+    if not replayed.timed_out:
+        wrong = [f"{sizes[k]} {k} instead of {told[k]}" for k in ("vertices", "edges") if told.get(k) is not None and sizes[k] != told[k]]
+        if wrong:
+            raise ValueError(f"after the updates there are {' and '.join(wrong)}")
     return final
 
 
@@ -110,8 +148,16 @@ def run(spark: SparkSession, options: Options) -> str:
     graph = load.load_graph(spark, options.graph, options.directed, options.max_weight)
     graph = Graph(cut(graph.vertices), cut(graph.edges), graph.directed)
     graph.check()
-    if options.log or (options.insert and not graph.directed):
+    if options.log or (options.insert and not options.load):
+        if graph.directed:
+            raise ValueError("updates are of undirected graphs; load a directed one")
         _updates(spark, options, run_id, graph)
+    if options.scans:
+        scans = experiments.scan_benchmark(graph, options.scans)
+        write_records(spark, options.records, run_id, "scans", scans)
+        medians_of = medians(read_records(spark, options.records, "scans").where(F.col("run") == run_id), ["scan"], "microseconds")
+        sinks.write_json(medians_of.coalesce(1), f"{options.records}/scans-{run_id}.json")
+        sinks.write_degrees(algebra.csr_offsets(graph), f"{options.records}/degrees-{run_id}")
     if options.repetitions:
         parameters = text.kernel_parameters(text.read_properties(spark, options.graph)) if kind == "ldbc" else None
         source = options.source if options.source is not None else graph.vertices.agg(F.min("id")).first()[0]
@@ -137,6 +183,13 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--max-weight", type=int, default=1)
     parser.add_argument("--timeout", type=parse_duration, default=3600)
+    parser.add_argument("--batch", type=int, help="updates of a batch, in place of a number of batches")
+    parser.add_argument("--aging-timeout", type=parse_duration, default=0)
+    parser.add_argument("--aging-step", type=float, default=1.0, help="progress is kept at multiples of this part of the final edges")
+    parser.add_argument("--build-every", type=parse_duration, default=0, help="publish versions by time while a log runs through keyed state")
+    parser.add_argument("--latency", action="store_true")
+    parser.add_argument("--scans", type=int, default=0)
+    parser.add_argument("--load", action="store_true", help="take the graph as it is read, without inserting it")
     parser.add_argument("--validate", help="prefix of the files with expected results")
     parser.add_argument("--without", nargs="*", default=[], choices=experiments.KERNELS)
     parser.add_argument("--no-insert", dest="insert", action="store_false")

@@ -105,6 +105,17 @@ def log_properties(packed: DataFrame) -> DataFrame:
     return packed.select("content").mapInPandas(decode, "key string, value string")
 
 
+# Keys of a log's header that tell what is left at its end.
+FINAL_VERTICES, FINAL_EDGES = "internal.vertices.final.cardinality", "internal.edges.final"
+
+
+def final_sizes(packed: DataFrame) -> dict[str, int]:
+    """``vertices`` and ``edges`` that are left at a log's end, as far as its header tells; over all its files."""
+    kinds = {FINAL_VERTICES: "vertices", FINAL_EDGES: "edges"}
+    told = log_properties(packed).where(F.col("key").isin(list(kinds))).groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("n"))
+    return {kinds[r["key"]]: r["n"] for r in told.collect()}
+
+
 def log_vertices(packed: DataFrame) -> DataFrame:
     """``(id, temporary)``: the vertices that stay and those that are removed at the end."""
 

@@ -155,7 +155,11 @@ ALGORITHMS = {"bfs": "bfs", "cdlp": "cdlp", "lcc": "lcc", "pr": "pagerank", "sss
 
 
 def kernel_parameters(properties: dict[str, str]) -> dict[str, dict]:
-    """Each kernel that a dataset asks for, with its own parameters; without a list all that its properties allow."""
+    """Each kernel that a dataset asks for, with its own parameters; without a list all that its properties allow.
+
+    A list with BFS but not SSSP has SSSP too, from the same source: every graph has weights here, made
+    ones if need be.
+    """
     listed = [w.strip().lower() for w in properties.get("algorithms", "").split(",") if w.strip()]
     if unknown := set(listed) - set(ALGORITHMS):
         raise ValueError(f"unknown algorithms: {sorted(unknown)}")
@@ -176,6 +180,8 @@ def kernel_parameters(properties: dict[str, str]) -> dict[str, dict]:
                     raise ValueError(f"{name}.source-vertex is missing")
                 continue
             found[kernel] = own
+    if "bfs" in found and "sssp" not in found:
+        found["sssp"] = dict(found["bfs"])
     return found
 
 
