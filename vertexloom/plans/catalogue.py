@@ -14,7 +14,7 @@ from vertexloom.kernels import clustering, ranking, traversal
 from vertexloom.operators import algebra, updates, validate
 from vertexloom.operators.ordering import running
 from vertexloom.plans import experiments, sql
-from vertexloom.sources import binary, load, projections, sinks, text
+from vertexloom.sources import load, packed, projections, sinks, text
 from vertexloom.sources.snapshots import SnapshotStore
 from vertexloom.session import cut, ensure_checkpoint_dir, table
 from vertexloom.streaming import replay, state
@@ -525,29 +525,33 @@ def read_ldbc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.over("part_supp", "", " select * from e"))
 def read_ldbc_zlib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.unpack_edges(binary.pack_edges(projections.part_supp(spark, sf_dir).edges))
+    path = _scratch(spark)
+    packed.write_packed(projections.part_supp(spark, sf_dir).edges, path)
+    return packed.read_edges(spark, path)
 
 
-def _packed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed_log(spark: SparkSession, sf_dir: str) -> str:
     """The log as files of ranges of ``seq``, as many as its updates need."""
-    return cut(binary.pack_log(projections.event_log(spark, sf_dir), ["updates"]))
+    path = _scratch(spark)
+    packed.write_log(projections.event_log(spark, sf_dir), path)
+    return path
 
 
 @query(f"with {_LOG} select 'updates' as key, count(*) as n from log")
 def graphlog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of updates that the files' headers state, over all files."""
-    told = binary.log_properties(_packed_log(spark, sf_dir)).where("key = 'updates'")
+    told = packed.log_properties(spark, _packed_log(spark, sf_dir)).where("key = 'updates'")
     return told.groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("n"))
 
 
 @query(f"with {_LOG} select distinct unnest([src, dst]) as id, false as temporary from log")
 def graphlog_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.log_vertices(_packed_log(spark, sf_dir)).distinct()
+    return packed.log_vertices(spark, _packed_log(spark, sf_dir)).distinct()
 
 
 @query(f"with {_LOG} select src, dst, weight from log")
 def graphlog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.log_updates(_packed_log(spark, sf_dir)).select("src", "dst", "weight")
+    return packed.log_updates(spark, _packed_log(spark, sf_dir)).select("src", "dst", "weight")
 
 
 def _loaded_again(graph: Graph) -> DataFrame:

@@ -100,15 +100,14 @@ def _updates(spark: SparkSession, options: Options, run_id: str, graph: Graph |
     folder = f"{options.records}/work/{run_id}"
     told = {}
     if options.log:
-        packed = binary.files(spark, options.log)
-        log, vertices = binary.log_updates(packed, float(options.max_weight)), binary.log_vertices(packed)
+        log, vertices = load.log_updates(spark, options.log, float(options.max_weight)), load.log_vertices(spark, options.log)
         temporary = vertices.where("temporary")
         if options.build_every:
             final, replayed, versions = experiments.aging_stream(log, temporary, folder, options.batches, options.aging_timeout, options.build_every)
         else:
             final, replayed = experiments.aging(log, temporary, folder, options.batches, options.aging_timeout, options.batch)
             versions = [r["version"] for r in replayed.records]
-        told = binary.final_sizes(packed)
+        told = binary.final_sizes(load.log_properties(spark, options.log))
         told["temporary_vertices"] = temporary.count()
     else:
         store, replayed = experiments.insert_only(graph.edges, folder, options.batches, options.seed, options.aging_timeout, options.batch)

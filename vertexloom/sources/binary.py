@@ -109,10 +109,10 @@ def log_properties(packed: DataFrame) -> DataFrame:
 FINAL_VERTICES, FINAL_EDGES = "internal.vertices.final.cardinality", "internal.edges.final"
 
 
-def final_sizes(packed: DataFrame) -> dict[str, int]:
+def final_sizes(properties: DataFrame) -> dict[str, int]:
     """``vertices`` and ``edges`` that are left at a log's end, as far as its header tells; over all its files."""
     kinds = {FINAL_VERTICES: "vertices", FINAL_EDGES: "edges"}
-    told = log_properties(packed).where(F.col("key").isin(list(kinds))).groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("n"))
+    told = properties.where(F.col("key").isin(list(kinds))).groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("n"))
     return {kinds[r["key"]]: r["n"] for r in told.collect()}
 
 

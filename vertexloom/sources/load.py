@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators.updates import apply_batch, remove_vertices
-from vertexloom.sources import binary, text
+from vertexloom.sources import binary, packed, text
+
+
+# Packed files are read where they lie; of file systems that only Spark knows each file is a cell.
+
+
+def packed_edges(spark: SparkSession, path: str, weighted: bool, max_weight: float) -> DataFrame:
+    if packed.readable(path):
+        return packed.read_edges(spark, path, weighted, max_weight)
+    return binary.unpack_edges(binary.files(spark, path), weighted, max_weight)
+
+
+def packed_vertices(spark: SparkSession, path: str) -> DataFrame:
+    return packed.read_vertices(spark, path) if packed.readable(path) else binary.unpack_vertices(binary.files(spark, path))
+
+
+def log_vertices(spark: SparkSession, path: str) -> DataFrame:
+    return packed.log_vertices(spark, path) if packed.readable(path) else binary.log_vertices(binary.files(spark, path))
+
+
+def log_updates(spark: SparkSession, path: str, max_weight: float = 1.0) -> DataFrame:
+    return packed.log_updates(spark, path, max_weight) if packed.readable(path) else binary.log_updates(binary.files(spark, path), max_weight)
+
+
+def log_properties(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, value)`` of a log's header, or of all its files'."""
+    return packed.log_properties(spark, path).select("key", "value") if packed.readable(path) else binary.log_properties(binary.files(spark, path))
 
 
 def load_graph(spark: SparkSession, path: str, directed: bool = True, max_weight: int = 1) -> Graph:
@@ -19,19 +45,17 @@ def load_graph(spark: SparkSession, path: str, directed: bool = True, max_weight
     kind = text.format_of(path)
     if kind == "ldbc":
         p = text.read_properties(spark, path)
-        weighted, packed = "edge-properties.names" in p, "compression" in p
-        if packed:
-            edges = binary.unpack_edges(binary.files(spark, p["edge-file"]), weighted, float(max_weight))
-            vertices = binary.unpack_vertices(binary.files(spark, p["vertex-file"]))
+        weighted = "edge-properties.names" in p
+        if "compression" in p:
+            edges, vertices = packed_edges(spark, p["edge-file"], weighted, float(max_weight)), packed_vertices(spark, p["vertex-file"])
         else:
             edges = text.read_ldbc_edges(spark, p["edge-file"], weighted, float(max_weight))
             vertices = text.read_ldbc_vertices(spark, p["vertex-file"])
         return Graph.from_edges(edges, text.is_directed(p), vertices)
     if kind == "log":
-        packed = binary.files(spark, path)
-        vertices = binary.log_vertices(packed)
+        vertices = log_vertices(spark, path)
         empty = Graph(vertices.select("id"), spark.createDataFrame([], "src long, dst long, weight double"), False)
-        full = apply_batch(empty, binary.log_updates(packed, float(max_weight)))
+        full = apply_batch(empty, log_updates(spark, path, float(max_weight)))
         return remove_vertices(full, vertices.where("temporary"))
     if kind == "plain":
         edges = text.read_plain(spark, path, max_weight)
