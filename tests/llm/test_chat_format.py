@@ -63,11 +63,33 @@ def test_spans_are_filled(spark):
     rows = [(1, i, "user", "w" * 36) for i in range(600)]  # 13 tokens each
     windows = sorted(check(spark, rows, budget=130, history=26).collect(), key=lambda w: w.window)
     assert [w.window for w in windows[:3]] == [1, 11, 19] and [w.n_context for w in windows[:3]] == [0, 2, 2]
-    assert len(windows) < 600 / 8 + 4
+    assert len(windows) == 1 + -(-590 // 8)
+    tiny = check(spark, [(1, i, "user", "") for i in range(600)], budget=10**6, history=0).collect()
+    assert [w.window for w in tiny] == [1]
     short = [(c, t, ["system", "user", "assistant"][t], "x" * 1000) for c in range(20) for t in range(3)]
     assert check(spark, short).count() == 20
 
 
+def test_spans_of_many_turns_are_those_of_a_loop(spark):
+    rng = random.Random(18)
+    rows = [(None if c == 3 else c, i, "system" if i == 0 and c % 2 else "user", "w" * rng.randrange(0, 300)) for c in range(6) for i in range([1, 2, 700, 40, 1500, 9][c])]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS)
+    budget, history = 160, 40
+    found = {}
+    for r in op8.format_windows(frame, budget, history).select("conv_id", "window").collect():
+        found.setdefault(r.conv_id, []).append(r.window)
+    for c in {r[0] for r in rows}:
+        costs = [-(-len(t) // 4) + 4 for own, _, _, t in rows if own == c]
+        system = costs[0] if any(r[0] == c and r[2] == "system" for r in rows) else 0
+        starts, used = [1], costs[0]
+        for n, cost in enumerate(costs[1:], 2):
+            used += cost
+            if used > (budget if starts == [1] else budget - history - system):
+                starts.append(n)
+                used = cost
+        assert sorted(found[c]) == starts
+
+
 def test_tokens_may_be_given(spark):
     frame = spark.createDataFrame([(1, i, "user", "w", "", "5") for i in range(10)], TURNS)
     assert op8.format_windows(frame, budget=10, history=0, tokens=F.col("n").cast("long")).count() == 5

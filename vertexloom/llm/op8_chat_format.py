@@ -9,9 +9,11 @@ else, so every target is learnt once.
 A window is a plain string in which marks stand around every turn. Inside a text the characters that
 marks start with are escaped, so no text can forge a mark and all of it is read back as it was.
 
-Prefix sums are made in two steps, within blocks of turns and over the blocks' sums, and spans are
-filled within runs of ``RUN`` turns, so that a conversation of very many turns is not one task's work; a
-run's end ends a span. All of it is built-in functions.
+Prefix sums are made in two steps, within blocks of turns and over the blocks' sums. Where a span that
+starts with a turn would end is told by the prefix sums in a stretch of one budget ahead, so every turn
+has its successor. Spans are the successors of the first turn: those of doubled distance are found from
+those before, so a conversation of very many spans takes a few more joins and is no task's work. All of it
+is built-in functions.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from vertexloom.session import cut, table
 BUDGET, HISTORY = 1024, 256
 #: Turns of a conversation that are summed together.
 BLOCK = 256
-#: Turns in which spans are filled one after another.
-RUN = 256
 
 # Marks around an assistant's turn and around any other, and what stands for a character in texts.
 OPEN, CLOSE = "<s>", "</s>"
@@ -87,29 +87,48 @@ def _placed(turns: DataFrame, tokens: Column | None) -> DataFrame:
     )
 
 
-def _spans(placed: DataFrame, budget: int, history: int) -> DataFrame:
-    """``(c, w, w_first, w_end)``: each conversation's spans with their first turn and the one after their last.
+def _successors(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """``(c, m, next)`` of every turn: the one after the span that would start with it, the turns' number plus one at the end.
 
-    The first span has the whole budget, others what the system turn and the history leave of it.
+    A turn looks at those whose tokens start within a budget of its own start, which are in its own
+    stretch of a budget's tokens and in the next.
     """
-    run = F.floor((F.col("n") - 1) / RUN)
-    runs = placed.groupBy("conv_id", run.alias("run"), "system").agg(F.array_sort(F.collect_list(F.struct("n", "tokens"))).alias("turns"))
+    turns = placed.select("conv_id", "n", "start", "tokens", "system")
+    ends = turns.groupBy("conv_id").agg(F.max("n").alias("last"), F.max_by("start", "n").alias("start"), F.max_by("tokens", "n").alias("tokens"))
+    ends = ends.select("conv_id", (F.col("last") + 1).alias("n"), (F.col("start") + F.col("tokens")).alias("start"), F.lit(None).cast("long").alias("most"))
+    most = F.when(F.col("n") == 1, F.lit(budget)).otherwise(F.lit(budget - history) - F.col("system")).cast("long")
+    marks = turns.select("conv_id", "n", "start", most.alias("most")).unionAll(ends)
+    stretch = F.floor(F.col("start") / F.lit(max(budget, 1)))
+    looked = marks.select("conv_id", "n", "start", "most", stretch.alias("own"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    met = looked.groupBy("conv_id", "stretch").agg(F.collect_list(F.struct("n", "start", "most", (F.col("own") == F.col("stretch")).alias("own"))).alias("all"))
 
-    def step(acc: Column, t: Column) -> Column:
-        most = F.when(acc["first"] == 1, F.lit(budget)).otherwise(F.lit(budget - history) - F.col("system"))
-        more = acc["used"] + t["tokens"] <= most
-        return F.struct(
-            F.when(more, acc["first"]).otherwise(t["n"]).alias("first"),
-            F.when(more, acc["used"] + t["tokens"]).otherwise(t["tokens"]).alias("used"),
-            F.when(more, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(t["n"]))).alias("starts"),
-        )
+    def following(x: Column) -> Column:
+        fits = F.filter("all", lambda y: (y["n"] > x["n"]) & (y["start"] <= x["start"] + x["most"]))
+        return F.struct(x["n"].alias("m"), F.aggregate(fits, x["n"] + 1, lambda far, y: F.greatest(far, y["n"])).alias("next"))
+
+    own = F.transform(F.filter("all", lambda x: x["own"] & x["most"].isNotNull()), following)
+    return met.select(F.col("conv_id").alias("c"), F.explode(own).alias("x")).select("c", "x.m", "x.next")
 
-    begin = F.element_at("turns", 1)
-    zero = F.struct(begin["n"].alias("first"), begin["tokens"].alias("used"), F.array(begin["n"]).alias("starts"))
-    starts = F.aggregate(F.slice("turns", F.lit(2), F.size("turns")), zero, step)["starts"]
-    ends = F.array_append(F.slice(F.col("starts"), F.lit(2), F.size("starts")), F.element_at("turns", -1)["n"] + 1)
-    cut_up = runs.select("conv_id", "turns", starts.alias("starts")).select("conv_id", F.explode(F.arrays_zip(F.col("starts").alias("s"), ends.alias("e"))).alias("x"))
-    return cut_up.select(F.col("conv_id").alias("c"), F.col("x.s").alias("window"), F.col("x.e").alias("w_end"))
+
+def _spans(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """``(c, window, w_end)``: each conversation's spans with their first turn and the one after their last.
+
+    The first span has the whole budget, others what the system turn and the history leave of it.
+    """
+    follow = cut(_successors(placed, budget, history))
+    ends = follow.select(F.col("c").alias("fc"), F.col("m").alias("fm"), "next")
+    starts, jump = follow.where("m = 1").select("c", "m"), follow
+    while True:
+        far = jump.select(F.col("c").alias("jc"), F.col("m").alias("jm"), F.col("next").alias("to"))
+        step = starts.join(far, F.col("c").eqNullSafe(F.col("jc")) & (F.col("m") == F.col("jm"))).select("c", F.col("to").alias("m"))
+        # What is behind the last turn has no successor and is no start.
+        reached = cut(step.join(ends, (F.col("c").eqNullSafe(F.col("fc"))) & (F.col("m") == F.col("fm")), "left_semi"))
+        if not reached.limit(1).count():
+            break
+        starts = cut(starts.unionAll(reached))
+        jump = cut(jump.join(far, F.col("c").eqNullSafe(F.col("jc")) & (F.col("next") == F.col("jm"))).select("c", "m", F.col("to").alias("next")))
+    own = F.col("c").eqNullSafe(F.col("fc")) & (F.col("m") == F.col("fm"))
+    return starts.join(ends, own).select("c", F.col("m").alias("window"), F.col("next").alias("w_end"))
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None) -> DataFrame:
@@ -117,7 +136,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
     ``turns`` has conv_id, turn, role, text; other columns are not read, but for those that ``tokens``
     names: a turn's own number of tokens, marks included, for budgets in real tokens; without it, or
-    where it is null, ``turn_tokens`` counts. Turns go by ``turn``, null first, ties by role, then text.
+    where it is null, ``turn_tokens`` counts (none is below zero). Turns go by ``turn``, null first, ties by role, then text.
     Null roles and texts count as empty; repeated rows are turns of their own; null conv_ids are one
     conversation. A first turn of role ``system`` is repeated in every window and any other role than
     ``assistant`` is never a target. A window's number is that of its first new turn.
@@ -125,13 +144,13 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     ``loss`` has start and end in ``formatted`` of each new assistant text, in code points. The first
     ``n_context`` turns of a window are repeated. System turn, history and new turns keep to ``budget``
     tokens together, unless the system turn and a single new turn already exceed it: turns are never cut.
+    An empty table gives no windows.
     """
     # Written once: spans, windows, turns and system turns below all start from it.
     placed = cut(_placed(turns, tokens))
     spans = _spans(placed, budget, history)
-    inside = F.col("conv_id").eqNullSafe(F.col("c")) & (F.floor((F.col("n") - 1) / RUN) == F.floor((F.col("window") - 1) / RUN))
-    inside = inside & (F.col("n") >= F.col("window")) & (F.col("n") < F.col("w_end"))
-    placed = cut(placed.join(spans, inside).drop("c", "w_end"))
+    within = spans.select(F.col("c"), "window", F.explode(F.sequence(F.col("window"), F.col("w_end") - 1)).alias("m"))
+    placed = cut(placed.join(within, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("m"))).drop("c", "m"))
     by_window = Window.partitionBy("conv_id").orderBy("window")
     windows = placed.groupBy("conv_id", "window").agg(F.min("start").alias("first"), F.sum("tokens").alias("own"), F.max("system").alias("system"))
     room = F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("own"))
@@ -263,8 +282,8 @@ g as (
   union all
   select p.conv_id, p.n, p.tokens, p.system,
     case when more then win else p.n end, case when more then used + p.tokens else p.tokens end
-  from (select g.*, g.n + 1 as m, (g.n % 256 <> 0)
-      and g.used + q.tokens <= case when g.win = 1 then 1024 else 1024 - 256 - g.system end as more
+  from (select g.*, g.n + 1 as m,
+      g.used + q.tokens <= case when g.win = 1 then 1024 else 1024 - 256 - g.system end as more
     from g join p q on q.conv_id = g.conv_id and q.n = g.n + 1) x join p on p.conv_id = x.conv_id and p.n = x.m),
 o as (
   select conv_id, win, first - greatest(least(256, 1024 - system - own), 0) as since
