@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from vertexloom.llm import op9_decontaminate as op9
 
 DOCS = "doc_id long, text string, row string, digest string, out string"
@@ -98,3 +100,11 @@ def test_empty_tables(spark):
     check(spark, [], [(1, "a b c")])
     check(spark, [(1, "a b c")], [])
     check(spark, [(1, "a b c")], [(1, None)])
+
+
+def test_rows_of_documents_are_dealt_over_all_tasks(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("digest"), F.lit(None).cast("long").alias("key"))
+    keys = op9._with_own_keys(rows)
+    assert keys.where(F.col("key") < op9.NO_KEY).count() == 0
+    sizes = [r["count"] for r in keys.repartition(8, "key").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 800

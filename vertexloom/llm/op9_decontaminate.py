@@ -32,6 +32,8 @@ BLOCK, ITEM_BLOCK, POSITION_BITS = 1 << 12, 256, 20
 BROADCAST_BYTES = 16 << 20
 #: Bytes of a fingerprint's or diagonal's row in a broadcast table, and of a word, about.
 ROW_BYTES, WORD_BYTES = 100, 24
+#: Fingerprints are below; a row that is the document's own has a key from here on.
+NO_KEY = 1 << 62
 
 
 def words_of(text: Column) -> Column:
@@ -101,6 +103,12 @@ def _blocks(rows: DataFrame, block: int, window: int) -> DataFrame:
     return cut_up.select(*names, "block", words.alias("words"))
 
 
+def _with_own_keys(rows: DataFrame) -> DataFrame:
+    """A document's own row gets a key beyond those of fingerprints, one of its own, so that a join deals these rows over all tasks."""
+    own = F.pmod(F.xxhash64("doc_id", "digest", F.monotonically_increasing_id()), F.lit(1 << 40)) + F.lit(NO_KEY)
+    return rows.withColumn("key", F.coalesce("key", own))
+
+
 def _small(df: DataFrame, size: int, most: int) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
@@ -151,8 +159,9 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, broadcast_b
     split = docs.select("doc_id", "digest", words_of(F.col("text")).alias("words"))
     split = split.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "words")
     met = _fingerprints(_blocks(split, BLOCK, window), spans)
+    met = _with_own_keys(met.where(F.col("key").isNotNull() | (F.col("block") == 0)))
     met = met.join(_small(prints, ROW_BYTES * prints.count(), broadcast_bytes), "key", "left")
-    itself = F.col("key").isNull() & (F.col("block") == 0)
+    itself = F.col("key") >= NO_KEY
     met = met.where(itself | F.col("part").isNotNull()).select(
         "doc_id",
         "digest",
