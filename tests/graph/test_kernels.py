@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from vertexloom.graph import Graph
-from vertexloom.kernels import arcs, clustering, ranking, traversal
+from vertexloom.kernels import arcs, blocks, clustering, ranking, traversal
 
 # Two small graphs and what the kernels give for them.
 DIRECTED = """1 3 0.5;1 5 0.3;2 4 0.1;2 5 0.3;2 10 0.12;3 1 0.53;3 5 0.62;3 8 0.21;3 10 0.52;5 3 0.69;5 4 0.53;5 8 0.1;
@@ -211,3 +211,16 @@ def test_delta_stepping_writes_less_on_a_long_path(spark, monkeypatch):
     with pytest.raises(ValueError):
         traversal.delta_stepping(build(spark, [(1, 2, -1.0)], True), 1)
     assert values(traversal.delta_stepping(build(spark, [(1, 2, 0.0)], True), 1)) == {1: 0, 2: 0}
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_ranks_over_blocks(spark, directed):
+    graph = golden(spark, directed)
+    expected = GOLDEN[directed]["pr"]
+    for size, part in ((1 << 16, 1 << 20), (3, 2)):
+        found = values(blocks.pagerank_blocks(graph, 2, size=size, part_arcs=part))
+        assert found.keys() == expected.keys() and all(found[v] == pytest.approx(expected[v], rel=1e-4) for v in expected)
+    held = blocks.ArcBlocks(graph, 3, 2).blocks.collect()
+    assert max(len(b.targets) for b in held) <= 2 and sum(len(b.targets) for b in held) == graph.arcs.count()
+    assert any(b.part > 0 for b in held) and all(len(b.offsets) == len(b.sources) + 1 for b in held)
+    assert blocks.pagerank_blocks(build(spark, [], directed), 2).count() == 0

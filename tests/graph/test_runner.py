@@ -12,7 +12,7 @@ from vertexloom.graph import Graph
 from vertexloom.kernels.deadline import limited
 from vertexloom.operators import validate
 from vertexloom.plans import runner
-from vertexloom.sources import binary, load, text
+from vertexloom.sources import binary, load, packed, sinks, text
 
 PROPERTIES = """# a comment
 graph.tiny.vertex-file = tiny.v
@@ -167,3 +167,37 @@ def test_a_directed_graph_is_loaded_only(spark, dataset):
     with pytest.raises(ValueError, match="load"):
         runner.run(spark, runner.Options(**options))
     assert runner.run(spark, runner.Options(**options, load=True))
+
+
+def test_a_dataset_with_other_names_is_validated(spark, dataset):
+    """The dataset renamed in the order of its vertex file, which is not that of the ids; results are of the first."""
+    new = {5: 70, 1: 8, 4: 31, 2: 90, 3: 11}
+    (dataset / "tiny.v").write_text("".join(f"{v}\n" for v in new))
+    packed.write_packed(spark.createDataFrame([(v,) for v in new.values()], "id long").coalesce(1), f"{dataset}/renamed.vz")
+    packed.write_packed(spark.createDataFrame([(new[a], new[b], w) for a, b, w in EDGES], "src long, dst long, weight double"), f"{dataset}/renamed.ez")
+    own = PROPERTIES.replace("graph.tiny.", "graph.renamed.").replace("tiny.v", "renamed.vz").replace("tiny.e", "renamed.ez")
+    own = own.replace("bfs.source-vertex = 1", "bfs.source-vertex = 8").replace("sssp.source-vertex = 2", "sssp.source-vertex = 90")
+    own += "graph.renamed.compression = zlib\ngraph.renamed.meta.vertices = 5\n"
+    (dataset / "tiny.properties").write_text(PROPERTIES + "graph.tiny.meta.vertices = 5\n")
+    options = {"graph": f"{dataset}/renamed.properties", "records": f"{dataset}/records", "repetitions": 1, "load": True, "validate": f"{dataset}/tiny", "remap": f"{dataset}/tiny.properties", "without": ("pagerank", "lcc", "cdlp", "wcc")}
+    (dataset / "renamed.properties").write_text(own)
+    with pytest.raises(ValueError, match="stable-map"):
+        runner.run(spark, runner.Options(**options))
+    (dataset / "renamed.properties").write_text(own + "graph.renamed.meta.stable-map = true\n")
+    one = runner.run(spark, runner.Options(**options))
+    told = {r.kernel: (r.valid, r.error) for r in runner.read_records(spark, options["records"], "validation").where(F.col("run") == one).collect()}
+    assert told == {"bfs": (True, None), "sssp": (True, None)}
+    (dataset / "tiny.properties").write_text(PROPERTIES + "graph.tiny.meta.vertices = 6\n")
+    with pytest.raises(ValueError, match="meta.vertices"):
+        runner.run(spark, runner.Options(**options))
+
+
+def test_a_hubs_lines(spark, tmp_path):
+    edges = spark.createDataFrame([(0, i, 1.0) for i in range(1, 24)] + [(30, 31, 2.0)], "src long, dst long, weight double")
+    graph = Graph.from_edges(edges, False, spark.createDataFrame([(i,) for i in [*range(24), 30, 31, 40]], "id long"))
+    rows = sinks.adjacency_lines(graph, 10).collect()
+    hub = sorted((r.part, r.line) for r in rows if r.id == 0)
+    assert [p for p, _ in hub] == [0, 1, 2] and [line.count("w=") for _, line in hub] == [10, 10, 3]
+    assert hub[1][1].startswith("[0] 11 (w=1.0), 12") and len(rows) == 23 + 3 + 3
+    whole = {r.id: r.line for r in sinks.adjacency_lines(graph).collect()}
+    assert whole[0] == "[0] " + ", ".join(line.removeprefix("[0] ") for _, line in hub) and whole[40] == "[40] " and whole[30] == "[30] 31 (w=2.0)"

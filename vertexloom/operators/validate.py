@@ -89,9 +89,9 @@ def remap_vertices(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def relabelled(result: DataFrame, mapping: DataFrame, values_too: bool = False) -> DataFrame:
-    """A result ``(id, value)`` with ids, and labels if asked, of the other dataset."""
+    """A result ``(id, value)`` with ids, and labels if asked, of the other dataset; a label that is no vertex stays."""
     out = result.toDF("id", "value").join(mapping, "id").select(F.col("other_id").alias("id"), "value")
     if values_too:
         names = mapping.select(F.col("id").alias("value"), F.col("other_id").alias("_v"))
-        out = out.join(names, "value").select("id", F.col("_v").alias("value"))
+        out = out.join(names, "value", "left").select("id", F.coalesce("_v", "value").alias("value"))
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.statistics import medians, trial_statistics
 from vertexloom.graph import Graph
-from vertexloom.kernels import clustering, ranking, traversal
+from vertexloom.kernels import blocks, clustering, ranking, traversal
 from vertexloom.operators import algebra, updates, validate
 from vertexloom.operators.ordering import running
 from vertexloom.plans import experiments, sql
@@ -73,6 +73,7 @@ for _kind, _on in (("undirected", "part_cooccur"), ("directed", "user_transition
         _kernel(_on, lambda g, way=_way: traversal.bfs(g, _source(g), direction=way), f"bfs_{_way}_{_kind}", sql.bfs(_on, _kind))
     _kernel(_on, lambda g: _rounded("distance", 4)(traversal.delta_stepping(g, _source(g))), f"sssp_delta_{_kind}", sql.sssp(_on, _kind))
     _kernel(_on, lambda g: _rounded("score", 9)(ranking.pagerank(g, PAGERANK_ROUNDS)), f"pagerank_{_kind}", sql.pagerank(_on, _kind, PAGERANK_ROUNDS))
+    _kernel(_on, lambda g: _rounded("score", 9)(blocks.pagerank_blocks(g, PAGERANK_ROUNDS)), f"pagerank_blocks_{_kind}", sql.pagerank(_on, _kind, PAGERANK_ROUNDS))
     _kernel(_on, lambda g: ranking.cdlp(g, CDLP_ROUNDS), f"cdlp_{_kind}", sql.cdlp(_on, _kind, CDLP_ROUNDS))
     _kernel(_on, lambda g: _rounded("coefficient", 9)(clustering.lcc(g)), f"lcc_{_kind}", sql.lcc(_on, _kind))
 
@@ -161,7 +162,7 @@ _algebra(
     sql.over(_PC, "undirected", f" select id from v order by {sql.hashed(SEED, 'id')}, id limit 1"),
 )
 _algebra(
-    _PC, sinks.adjacency_lines, "dump_graph",
+    _PC, lambda g: sinks.adjacency_lines(g).drop("part"), "dump_graph",
     sql.over(_PC, "undirected", " select src as id, '[' || src || '] ' || string_agg(dst || ' (w=' || cast(weight as varchar) || ')', ', ' order by dst) as line from arcs group by src"),
 )
 

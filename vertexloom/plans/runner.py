@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions.quantities import parse_duration
 from vertexloom.functions.statistics import medians
 from vertexloom.graph import Graph, endpoints
-from vertexloom.operators import algebra
+from vertexloom.operators import algebra, validate
 from vertexloom.plans import experiments
 from vertexloom.session import cut
 from vertexloom.sources import binary, load, sinks, text
@@ -50,7 +50,8 @@ class Options:
     ``aging_step`` is the part of the final edges at which progress is kept. ``build_every`` seconds a version is
     published while a log runs through keyed state; without it each batch is one. ``latency`` keeps
     statistics of the updates' latencies, ``scans`` repeats the scan benchmark. ``load`` takes the graph as
-    it is read; an undirected one is inserted otherwise, a directed one only can be loaded.
+    it is read; an undirected one is inserted otherwise, a directed one only can be loaded. ``remap`` is
+    the dataset that the results in ``validate`` are of, whose vertices are named otherwise.
     """
 
     graph: str
@@ -70,6 +71,7 @@ class Options:
     scans: int = 0
     load: bool = False
     validate: str | None = None
+    remap: str | None = None
     without: tuple[str, ...] = ()
     insert: bool = True
     source: int | None = None
@@ -162,6 +164,9 @@ def run(spark: SparkSession, options: Options) -> str:
         source = options.source if options.source is not None else graph.vertices.agg(F.min("id")).first()[0]
         active = [k for k in experiments.KERNELS if (parameters is None or k in parameters) and k not in options.without]
         expected = _expected(spark, options.validate, active) if options.validate else None
+        if expected and options.remap:
+            mapping = load.dataset_mapping(spark, options.remap, options.graph)
+            expected = {k: cut(validate.relabelled(df, mapping, k == "cdlp")) for k, df in expected.items()}
         records = experiments.kernel_suite(graph, source, options.repetitions, options.timeout, options.without, expected, parameters=parameters)
         write_records(spark, options.records, run_id, "kernels", records)
         write_records(spark, options.records, run_id, "statistics", experiments.suite_statistics(spark, records))
@@ -190,6 +195,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--scans", type=int, default=0)
     parser.add_argument("--load", action="store_true", help="take the graph as it is read, without inserting it")
     parser.add_argument("--validate", help="prefix of the files with expected results")
+    parser.add_argument("--remap", help="property file of the dataset that the expected results are of")
     parser.add_argument("--without", nargs="*", default=[], choices=experiments.KERNELS)
     parser.add_argument("--no-insert", dest="insert", action="store_false")
     parser.add_argument("--source", type=int)

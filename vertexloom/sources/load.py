@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
+from vertexloom.operators.ordering import running
 from vertexloom.operators.updates import apply_batch, remove_vertices
+from vertexloom.operators.validate import remap_vertices
+from vertexloom.session import cut
 from vertexloom.sources import binary, packed, text
 
 
@@ -36,6 +39,34 @@ def log_properties(spark: SparkSession, path: str) -> DataFrame:
     return packed.log_properties(spark, path).select("key", "value") if packed.readable(path) else binary.log_properties(binary.files(spark, path))
 
 
+def vertices_in_order(spark: SparkSession, properties: dict[str, str]) -> DataFrame:
+    """``(position, id)``: a dataset's vertices numbered from 0 as its vertex file, text or packed, lists them."""
+    path = properties["vertex-file"]
+    if "compression" not in properties:
+        lines = text.numbered_lines(spark, path, "#").where("line <> ''").select(F.col("number").alias("row"), F.split("line", " ")[0].cast("long").alias("id"))
+    else:
+        lines = packed_vertices(spark, path).select(F.monotonically_increasing_id().alias("row"), "id")
+    return running(lines, ["row"], "position").select("position", "id")
+
+
+def dataset_mapping(spark: SparkSession, expected: str, own: str) -> DataFrame:
+    """``(id, other_id)``: each vertex of the dataset that results are expected for, and the same one of our own.
+
+    Our dataset has to say that its vertices were renamed in the order of the other's file
+    (``meta.stable-map``), and both that they have as many; the files must bear that out.
+    """
+    theirs, ours = (text.read_properties(spark, p) for p in (expected, own))
+    counts = [p.get("meta.vertices") for p in (theirs, ours)]
+    if None in counts or int(counts[0]) != int(counts[1]):
+        raise ValueError(f"meta.vertices: {counts[0]} against {counts[1]}")
+    if ours.get("meta.stable-map", "").lower() != "true":
+        raise ValueError(f"{own} does not have its vertices in the order of {expected}: meta.stable-map is not true")
+    one, other = (cut(vertices_in_order(spark, p)) for p in (theirs, ours))
+    if one.count() != int(counts[0]):
+        raise ValueError(f"{expected} has {one.count()} vertices instead of {counts[0]}")
+    return cut(remap_vertices(one, other))
+
+
 def load_graph(spark: SparkSession, path: str, directed: bool = True, max_weight: int = 1) -> Graph:
     """The graph of a file in any format; ``directed`` counts where the format does not say.
 

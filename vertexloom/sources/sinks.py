@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.operators.ordering import running
+from vertexloom.operators.ordering import places_within, running
 from vertexloom.session import cut
 
 
@@ -28,17 +28,31 @@ def read_result(spark, path: str, value_type: str = "double") -> DataFrame:
     return rows
 
 
-def adjacency_lines(graph: Graph) -> DataFrame:
-    """``(id, line)``: each vertex with its arcs, readable. A vertex's line is as long as its arcs are many."""
+#: Arcs of one line of a dump; a vertex with more has several.
+LINE_ARCS = 1 << 16
+
+
+def adjacency_lines(graph: Graph, most: int = LINE_ARCS) -> DataFrame:
+    """``(id, part, line)``: each vertex with its arcs, readable; one with more than ``most`` arcs in several lines.
+
+    Arcs of such a hub are numbered over partitions, so no row and no task gets all of them.
+    """
     arc = F.concat(F.col("dst").cast("string"), F.lit(" (w="), F.col("weight").cast("string"), F.lit(")"))
-    lists = graph.arcs.select("src", F.struct("dst", arc.alias("text")).alias("a")).groupBy("src").agg(F.array_sort(F.collect_list("a")).alias("as"))
+    arcs = graph.arcs.select("src", "dst", arc.alias("text"))
+    hubs = cut(arcs.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most).select("src"))
+    parted = arcs.withColumn("part", F.lit(0).cast("long"))
+    if hubs.limit(1).count():
+        numbered = places_within(arcs.join(hubs, "src", "left_semi"), ["src"], ["dst"], "k")
+        large = numbered.select("src", "dst", "text", F.floor(F.col("k") / most).alias("part"))
+        parted = parted.join(hubs, "src", "left_anti").select("src", "dst", "text", "part").unionAll(large)
+    lists = parted.groupBy("src", "part").agg(F.array_sort(F.collect_list(F.struct("dst", "text"))).alias("as"))
     joined = graph.vertices.join(lists, F.col("id") == F.col("src"), "left")
     texts = F.coalesce(F.array_join(F.transform("as", lambda a: a["text"]), ", "), F.lit(""))
-    return joined.select("id", F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), texts).alias("line"))
+    return joined.select("id", F.coalesce("part", F.lit(0)).alias("part"), F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), texts).alias("line"))
 
 
 def write_graph_dump(graph: Graph, path: str) -> None:
-    adjacency_lines(graph).orderBy("id").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    adjacency_lines(graph).orderBy("id", "part").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_edges(edges: DataFrame, path: str, weighted: bool = True) -> None:
