@@ -140,3 +140,17 @@ def test_whole_table(spark):
         article = re.search(r"<article>(.*)</article>", page.html, re.S)[1]
         parts = [" ".join(unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert found[page.page_id] == "\n".join(p for p in parts if p)
+
+
+def test_names_within_an_article_are_its_own():
+    kept = ['<section id="related-work">a</section>', '<div class="note alert-box">b</div>', '<p class="search">c</p>', '<div class="search-results">d</div>', '<div class="comments-policy">e</div>', '<ul class="menu-items-of-1900"><li class="form">f</li></ul>']
+    gone = ['<div class="comments">x</div>', '<section class="comment-list">x</section>', '<div class="cookie-notice">x</div>', '<div class="ad">x</div>', '<p class="advert">x</p>', '<nav>x</nav>', '<form>x</form>', '<aside>x</aside>', '<footer>x</footer>', '<div class="share-bar">x</div>', '<div hidden>x</div>']
+    html = "<body><div class='menu'>menu</div><article><h1>T</h1>" + "".join(kept + gone) + "</article><div class='footer'>end</div></body>"
+    assert op1.main_text(html, None) == "T\na\nb\nc\nd\ne\nf"
+
+
+def test_a_host_of_two_pages(spark):
+    page = "<body><div><ul><li>Home</li><li>News</li></ul></div><div><p>{}</p><p>{}</p></div><div><b>All rights reserved</b></div></body>"
+    rows = [(i, f"http://two.example/{i}", page.format(f"First words of page {i} that are its own", f"and {i} more of them")) for i in range(2)]
+    found = {r.page_id: r.text for r in op1.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"First words of page {i} that are its own\nand {i} more of them" for i in range(2)}

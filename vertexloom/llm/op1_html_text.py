@@ -32,8 +32,8 @@ from vertexloom.session import cut, spread, table
 
 #: Share of a host's pages that a template token is on.
 SUPPORT = 0.5
-#: Pages that must agree on a block of text for it to be the template's; of fewer, one may be a copy of the other.
-AGREEING_PAGES = 3
+#: Pages that must agree on a block of text for it to be the template's.
+AGREEING_PAGES = 2
 #: Templates are broadcast up to so many bytes, and beyond that joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -55,6 +55,9 @@ HAVING_WORDS = frozenset("with has have no without hide show".split())
 WHOLE_ELEMENTS = frozenset("html body".split())
 # Classes of inline elements that are no part of the text around them.
 INLINE_SKIPPED = frozenset("ad ads advert advertisement sponsored hidden".split())
+# Elements that are text themselves, and words that only say how a part is laid out.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody caption figcaption".split())
+LAYOUT_WORDS = frozenset("list area section wrapper container thread bar button buttons link links icon icons".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -73,11 +76,26 @@ def _other(label: str, within: str) -> bool:
     return name in OTHER_ELEMENTS or any(w in OTHER_WORDS for w in _words(words))
 
 
+def _other_inside(label: str, within: str) -> bool:
+    """Whether a container in the article's slot is none of its parts.
+
+    There names are often the article's own, so one counts only if it says nothing else: all its words
+    are those of other parts or of layout. Elements that are text themselves go only as adverts or hidden.
+    """
+    name, *words = label.split(".")
+    if name in OTHER_ELEMENTS or name == "header" and "/article" not in within:
+        return True
+    if name in TEXT_ELEMENTS:
+        return not INLINE_SKIPPED.isdisjoint(words)
+    parts = [_WORD.findall(w) for w in words]
+    return any(own and own[0] in OTHER_WORDS and all(w in OTHER_WORDS or w in LAYOUT_WORDS for w in own) for own in parts)
+
+
 def _outside(path: str, main: str = "") -> bool:
     """Whether a container from ``main`` down to ``path`` is no part of the article."""
-    above = main
+    above, other = main, _other_inside if main else _other
     for label in path[len(main) + 1 :].split("/") if len(path) > len(main) else ():
-        if _other(label, above):
+        if other(label, above):
             return True
         above = f"{above}/{label}"
     return False
