@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vertexloom import files
 from vertexloom.sources import binary, load, packed
 
 LOG = "seq long, src long, dst long, weight double"
@@ -39,8 +40,8 @@ def test_a_log_of_several_blocks_is_read_in_parallel(spark, tmp_path, monkeypatc
 def test_written_logs_and_their_numbers(spark, tmp_path):
     rows = log_of(400)
     packed.write_log(spark.createDataFrame(rows, LOG).where("seq >= 7"), f"{tmp_path}/log", rows=60, block=11)
-    files = packed.listed(f"{tmp_path}/log")
-    assert len(files) >= 7 and all("graphlog" in f for f in files)
+    names = packed.listed(f"{tmp_path}/log")
+    assert len(names) >= 7 and all("graphlog" in f for f in names)
     (tmp_path / "log" / "00000-of-a-lost-task.graphlog").write_bytes(b"broken")  # not in the manifest
     found = packed.log_updates(spark, f"file://{tmp_path}/log").collect()
     assert sorted(tuple(r) for r in found) == rows[7:]
@@ -81,4 +82,8 @@ def test_cut_streams_and_large_ids(spark, tmp_path):
     (tmp_path / "large").write_bytes(zlib.compress(np.array([1 << 63], dtype="<u8").tobytes()))
     with pytest.raises(Exception, match="over 2"):
         packed.read_vertices(spark, f"{tmp_path}/large").count()
-    assert not packed.readable("viewfs://store/in/x") and packed.readable("/tmp/x") and packed.readable("file:///tmp/x")
+    assert not files.readable("viewfs://store/in/x") and files.readable("/tmp/x") and files.readable("file:///tmp/x")
+    files.discard(f"file://{tmp_path}/none")
+    (tmp_path / "folder").mkdir()
+    files.discard(f"{tmp_path}/folder")
+    assert not (tmp_path / "folder").exists()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.files import scratch
 from vertexloom.functions.statistics import medians, trial_statistics
 from vertexloom.graph import Graph
 from vertexloom.kernels import blocks, clustering, ranking, traversal
@@ -16,7 +16,7 @@ from vertexloom.operators.ordering import running
 from vertexloom.plans import experiments, sql
 from vertexloom.sources import load, packed, projections, sinks, text
 from vertexloom.sources.snapshots import SnapshotStore
-from vertexloom.session import cut, ensure_checkpoint_dir, table
+from vertexloom.session import cut, table
 from vertexloom.streaming import replay, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,10 +37,6 @@ def query(oracle: str | None = None):
     return put
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-
 def _held(graph: Graph) -> Graph:
     """The graph written once, for kernels that read it again and again."""
     edges = cut(graph.edges)
@@ -338,7 +334,7 @@ def ops_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_NET_ALL + "select src, dst, weight from net")
 def stream_apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _scratch(spark)
+    folder = scratch(spark)
     replay.write_segments(projections.event_log(spark, sf_dir), f"{folder}/log", 3)
     store = SnapshotStore(spark, f"{folder}/versions", directed=False)
     replay.replay(spark, f"{folder}/log", store, f"{folder}/progress")
@@ -348,14 +344,14 @@ def stream_apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_NET_ALL + "select src, dst, weight from net")
 def stream_state_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log through keyed state in two micro-batches; edges are what its outcomes leave."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     files = spark.sparkContext.defaultParallelism
     state.write_feed(projections.event_log(spark, sf_dir), f"{folder}/feed", 2, files)
     return state.edges_of(state.run_outcomes(spark, f"{folder}/feed", f"{folder}/out", f"{folder}/progress", files=files))
 
 
 def _inserted_stream(graph: Graph) -> DataFrame:
-    store, _ = experiments.insert_only(graph.edges, _scratch(graph.spark), 3, SEED)
+    store, _ = experiments.insert_only(graph.edges, scratch(graph.spark), 3, SEED)
     return store.load().edges
 
 
@@ -373,7 +369,7 @@ def whole_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
        "select 1 as version, count(*) as edges from net union all select 2, n from n2")
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, new = _halves(spark, sf_dir)
-    store = SnapshotStore(spark, _scratch(spark), directed=False)
+    store = SnapshotStore(spark, scratch(spark), directed=False)
     store.build(graph)
     store.build(updates.apply_batch(store.load(), new))
     counts = [store.load(v).edges.agg(F.lit(v).alias("version"), F.count("*").alias("edges")) for v in store.versions()]
@@ -469,7 +465,7 @@ def bm_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf_dir: str, weighted: bool, prefix: str = "") -> str:
-    path = _scratch(spark)
+    path = scratch(spark)
     edges = projections.part_supp(spark, sf_dir).edges
     if prefix:
         edges = edges.select(F.concat(F.lit(prefix), F.col("src").cast("string")).alias("src"), "dst", F.floor("weight").alias("weight"))
@@ -493,7 +489,7 @@ def read_dimacs9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metis_again(graph: Graph) -> DataFrame:
-    path = _scratch(graph.spark)
+    path = scratch(graph.spark)
     sinks.write_metis(_held(graph), path)
     return text.read_metis(graph.spark, path)
 
@@ -514,7 +510,7 @@ def whole_read_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.over("part_supp", "directed", " select id from v"))
 def read_ldbc_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     projections.part_supp(spark, sf_dir).vertices.select(F.col("id").cast("string")).write.text(path)
     return text.read_ldbc_vertices(spark, path)
 
@@ -526,14 +522,14 @@ def read_ldbc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.over("part_supp", "", " select * from e"))
 def read_ldbc_zlib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     packed.write_packed(projections.part_supp(spark, sf_dir).edges, path)
     return packed.read_edges(spark, path)
 
 
 def _packed_log(spark: SparkSession, sf_dir: str) -> str:
     """The log as files of ranges of ``seq``, as many as its updates need."""
-    path = _scratch(spark)
+    path = scratch(spark)
     packed.write_log(projections.event_log(spark, sf_dir), path)
     return path
 
@@ -556,7 +552,7 @@ def graphlog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loaded_again(graph: Graph) -> DataFrame:
-    path = _scratch(graph.spark) + ".wel"
+    path = scratch(graph.spark) + ".wel"
     sinks.write_edges(algebra.symmetrize(graph.edges), path)
     return load.load_graph(graph.spark, path, directed=False).edges
 

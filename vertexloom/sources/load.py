@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.files import readable
 from vertexloom.graph import Graph
 from vertexloom.operators.ordering import running
 from vertexloom.operators.updates import apply_batch, remove_vertices
@@ -17,26 +18,26 @@ from vertexloom.sources import binary, packed, text
 
 
 def packed_edges(spark: SparkSession, path: str, weighted: bool, max_weight: float) -> DataFrame:
-    if packed.readable(path):
+    if readable(path):
         return packed.read_edges(spark, path, weighted, max_weight)
     return binary.unpack_edges(binary.files(spark, path), weighted, max_weight)
 
 
 def packed_vertices(spark: SparkSession, path: str) -> DataFrame:
-    return packed.read_vertices(spark, path) if packed.readable(path) else binary.unpack_vertices(binary.files(spark, path))
+    return packed.read_vertices(spark, path) if readable(path) else binary.unpack_vertices(binary.files(spark, path))
 
 
 def log_vertices(spark: SparkSession, path: str) -> DataFrame:
-    return packed.log_vertices(spark, path) if packed.readable(path) else binary.log_vertices(binary.files(spark, path))
+    return packed.log_vertices(spark, path) if readable(path) else binary.log_vertices(binary.files(spark, path))
 
 
 def log_updates(spark: SparkSession, path: str, max_weight: float = 1.0) -> DataFrame:
-    return packed.log_updates(spark, path, max_weight) if packed.readable(path) else binary.log_updates(binary.files(spark, path), max_weight)
+    return packed.log_updates(spark, path, max_weight) if readable(path) else binary.log_updates(binary.files(spark, path), max_weight)
 
 
 def log_properties(spark: SparkSession, path: str) -> DataFrame:
     """``(key, value)`` of a log's header, or of all its files'."""
-    return packed.log_properties(spark, path).select("key", "value") if packed.readable(path) else binary.log_properties(binary.files(spark, path))
+    return packed.log_properties(spark, path).select("key", "value") if readable(path) else binary.log_properties(binary.files(spark, path))
 
 
 def vertices_in_order(spark: SparkSession, properties: dict[str, str]) -> DataFrame:

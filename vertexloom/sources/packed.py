@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from vertexloom.files import located
 from vertexloom.operators.algebra import real_weight
 from vertexloom.sources.binary import BINARY, FILE_ROWS, _by_rows, _longs, encode_log, parse_log_header
 
@@ -42,23 +43,6 @@ SCHEMAS = {
 }
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path and the path there; a path without a scheme is local."""
-    if "://" in path or path.startswith("file:"):
-        scheme, _, rest = path.partition(":")
-        return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
-def readable(path: str) -> bool:
-    """Whether this source knows the path's file system; some only Spark can read."""
-    try:
-        located(path)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-        return False
-    return True
-
-
 def listed(path: str) -> list[str]:
     """A file, or the files of a folder by name: those of its manifest, or all that are not hidden."""
     system, root = located(path)
