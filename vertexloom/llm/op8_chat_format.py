@@ -146,13 +146,15 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     tokens together, unless the system turn and a single new turn already exceed it: turns are never cut.
     An empty table gives no windows.
     """
-    # Written once: spans, windows, turns and system turns below all start from it.
+    # Written once. What goes where is found without texts; these are moved once they have their windows.
     placed = cut(_placed(turns, tokens))
-    spans = _spans(placed, budget, history)
+    lead = (F.col("n") == 1) & (F.col("role") == "system")
+    light = placed.select("conv_id", "n", "tokens", "start", "system", lead.alias("lead"))
+    spans = _spans(light, budget, history)
     within = spans.select(F.col("c"), "window", F.explode(F.sequence(F.col("window"), F.col("w_end") - 1)).alias("m"))
-    placed = cut(placed.join(within, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("m"))).drop("c", "m"))
+    light = cut(light.join(within, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("m"))).drop("c", "m"))
     by_window = Window.partitionBy("conv_id").orderBy("window")
-    windows = placed.groupBy("conv_id", "window").agg(F.min("start").alias("first"), F.sum("tokens").alias("own"), F.max("system").alias("system"))
+    windows = light.groupBy("conv_id", "window").agg(F.min("start").alias("first"), F.sum("tokens").alias("own"), F.max("system").alias("system"))
     room = F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("own"))
     windows = windows.select(
         F.col("conv_id").alias("c"),
@@ -161,16 +163,15 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         F.lead(F.col("first") - F.greatest(room, F.lit(0))).over(by_window).alias("from"),
         F.row_number().over(by_window).alias("k"),
     )
-    lead = (F.col("n") == 1) & (F.col("role") == "system")
-    own = placed.join(windows, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
-    again = ~lead & (F.col("start") >= F.col("from"))
+    own = light.join(windows, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
+    again = ~F.col("lead") & (F.col("start") >= F.col("from"))
     new = F.struct(F.col("window").alias("window"), F.lit(False).alias("context"))
     old = F.struct(F.col("next").alias("window"), F.lit(True).alias("context"))
-    shown = own.select("conv_id", "n", "role", "text", F.explode(F.when(again, F.array(new, old)).otherwise(F.array(new))).alias("at"))
-    shown = shown.select("conv_id", "at.window", "n", "at.context", "role", "text")
-    system = placed.where(lead).select("conv_id", "n", F.lit(True).alias("context"), "role", "text")
-    kept = windows.where("k > 1").join(system, F.col("c").eqNullSafe(F.col("conv_id")))
-    shown = shown.unionByName(kept.select("conv_id", F.col("w").alias("window"), "n", "context", "role", "text"))
+    at = own.select(F.col("conv_id").alias("c"), F.col("n").alias("m"), F.explode(F.when(again, F.array(new, old)).otherwise(F.array(new))).alias("at"))
+    at = at.select("c", "m", "at.window", "at.context")
+    system = light.where("lead").select("conv_id", F.col("n").alias("m"))
+    kept = windows.where("k > 1").join(system, F.col("c").eqNullSafe(F.col("conv_id"))).select("c", "m", F.col("w").alias("window"), F.lit(True).alias("context"))
+    shown = placed.select("conv_id", "n", "role", "text").join(at.unionByName(kept), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("m")))
 
     answer = F.col("role") == "assistant"
     head = F.concat(F.when(answer, F.lit(OPEN)).otherwise(F.lit(ASK)), escape(F.col("role"), line=True), F.lit("\n"))
