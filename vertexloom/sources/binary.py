@@ -19,6 +19,9 @@ from vertexloom.operators.algebra import real_weight
 
 # What a log starts with, and what ends its header.
 MAGIC, BINARY = b"# GRAPHLOG", b"__BINARY_SECTION_FOLLOWS"
+# Keys of a log's header, where its parts begin and how its blocks are.
+FINAL_BEGIN, TEMPORARY_BEGIN = "internal.vertices.final.begin", "internal.vertices.temporary.begin"
+EDGES_BEGIN, NUM_BLOCKS, BLOCK_SIZE = "internal.edges.begin", "internal.edges.num_blocks", "internal.edges.block_size"
 _PIECE = 1 << 22
 #: Rows of a file that is written, at most; a cell holds a file.
 FILE_ROWS = 1 << 18
@@ -123,7 +126,7 @@ def log_vertices(packed: DataFrame) -> DataFrame:
         for frame in frames:
             for content in frame["content"]:
                 found, _ = parse_log_header(content)
-                for key, temporary in (("internal.vertices.final.begin", False), ("internal.vertices.temporary.begin", True)):
+                for key, temporary in ((FINAL_BEGIN, False), (TEMPORARY_BEGIN, True)):
                     if key in found:
                         for piece in _inflated(content[int(found[key]) :], 8, -15):
                             yield pd.DataFrame({"id": _longs(np.frombuffer(piece, "<u8")), "temporary": temporary})
@@ -144,8 +147,8 @@ def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 97) -> D
             firsts = frame["first"] if "first" in frame else [0] * len(frame)
             for content, first in zip(frame["content"], firsts):
                 found, start = parse_log_header(content)
-                at, seq = int(found.get("internal.edges.begin", start)), int(first)
-                blocks = int(found.get("internal.edges.num_blocks", -1))
+                at, seq = int(found.get(EDGES_BEGIN, start)), int(first)
+                blocks = int(found.get(NUM_BLOCKS, -1))
                 while at < len(content) and blocks != 0:
                     blocks -= 1
                     unpack = zlib.decompressobj(-15)
@@ -207,11 +210,11 @@ def encode_log(properties: dict, final: np.ndarray, temporary: np.ndarray, updat
     start = 0
     for _ in range(3):  # the offsets are in the header and change its length
         places = {
-            "internal.vertices.final.begin": start,
-            "internal.vertices.temporary.begin": start + len(sections[0]),
-            "internal.edges.begin": start + len(sections[0]) + len(sections[1]),
-            "internal.edges.num_blocks": len(blocks),
-            "internal.edges.block_size": 24 * block,
+            FINAL_BEGIN: start,
+            TEMPORARY_BEGIN: start + len(sections[0]),
+            EDGES_BEGIN: start + len(sections[0]) + len(sections[1]),
+            NUM_BLOCKS: len(blocks),
+            BLOCK_SIZE: 24 * block,
         }
         lines = [MAGIC.decode(), *[f"{k} = {v}" for k, v in (properties | places).items()], BINARY.decode(), ""]
         head = "\n".join(lines).encode()

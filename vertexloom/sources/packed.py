@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from vertexloom.files import located
 from vertexloom.operators.algebra import real_weight
-from vertexloom.sources.binary import BINARY, FILE_ROWS, _by_rows, _longs, encode_log, parse_log_header
+from vertexloom.sources.binary import BINARY, EDGES_BEGIN, FILE_ROWS, FINAL_BEGIN, NUM_BLOCKS, TEMPORARY_BEGIN, _by_rows, _longs, encode_log, parse_log_header
 
 NAME = "packed_graph"
 #: Bytes that are read and inflated at a time.
@@ -88,8 +88,8 @@ def _header(f) -> tuple[dict[str, str], int]:
 def _blocks(f, file: str) -> Iterator[tuple]:
     """The blocks of a log, found by inflating them without keeping anything."""
     found, start = _header(f)
-    at, first, number = int(found.get("internal.edges.begin", start)), int(found.get(FIRST, 0)), 0
-    count, size = int(found.get("internal.edges.num_blocks", -1)), f.size()
+    at, first, number = int(found.get(EDGES_BEGIN, start)), int(found.get(FIRST, 0)), 0
+    count, size = int(found.get(NUM_BLOCKS, -1)), f.size()
     while at < size and number != count:
         f.seek(at)
         unpack, n = zlib.decompressobj(-15), 0
@@ -143,7 +143,7 @@ class PackedReader(DataSourceReader):
 
     def _vertices(self, f, file: str) -> Iterator[pa.RecordBatch]:
         found, _ = _header(f)
-        for key, temporary in (("internal.vertices.final.begin", False), ("internal.vertices.temporary.begin", True)):
+        for key, temporary in ((FINAL_BEGIN, False), (TEMPORARY_BEGIN, True)):
             if key in found:
                 f.seek(int(found[key]))
                 for piece in _inflated(f, 8, -15):

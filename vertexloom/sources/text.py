@@ -163,6 +163,7 @@ def kernel_parameters(properties: dict[str, str]) -> dict[str, dict]:
     listed = [w.strip().lower() for w in properties.get("algorithms", "").split(",") if w.strip()]
     if unknown := set(listed) - set(ALGORITHMS):
         raise ValueError(f"unknown algorithms: {sorted(unknown)}")
+    # Keys of a property file, by kernel.
     found: dict[str, dict] = {}
     for name, kernel in ALGORITHMS.items():
         own = {}
