@@ -216,7 +216,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns, whatever these are called."""
+    """The rows of ``docs`` that are not rejected, with all their columns, whatever these are called.
+
+    Null and empty texts are scored as texts without terms; very long ones are read whole. Repeated rows
+    and null ids are judged each for itself and stay or go together; an empty table gives no rows.
+    """
     rows = docs.select(as_row(docs).alias("row"), "text")
     return from_row(with_score(rows, train(docs, labels)).where(F.col("score") >= THRESHOLD), docs)
 

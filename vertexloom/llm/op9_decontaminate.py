@@ -221,7 +221,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, share
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns, whatever these are called."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever these are called.
+
+    Null and empty texts have no words and stay; very long ones are taken in blocks. Repeated rows stay or
+    go together, and so do those of null ids with one text; an empty table gives no rows.
+    """
     out = decontaminate(docs, bench).where("contaminated").select(F.col("doc_id").alias("out"), F.col("digest").alias("out_digest")).distinct()
     named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("digest"))
     same = F.col("id").eqNullSafe(F.col("out")) & (F.col("digest") == F.col("out_digest"))
