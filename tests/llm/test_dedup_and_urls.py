@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,6 +70,58 @@ def test_groups_of_odd_rows(spark):
     assert op2.drop_copies(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_chunks_used_more_than_once_are_verified(spark):
+    rng = random.Random(3)
+    common = "".join(rng.choices("abcdefgh ", k=30_000))
+    texts = [common, common + "x", "y" + common, common, "alone " * 900, None, ""]
+    texts += ["".join(rng.choices("abcdefgh ", k=9000)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    uses = {}
+    for t in texts:
+        data, start = (t or "").encode(), 0
+        for end in op2.chunk_ends(data):
+            uses.setdefault(data[start:end], []).append(t)
+            start = end
+    names = {hashlib.sha256(body).digest(): (len(own), len(body)) for body, own in uses.items()}
+    recipes = docs.select(F.col("doc_id"), F.col("text")).mapInPandas(op2._recipes, "doc_id long, text_sha256 string, recipe binary")
+    counted = op2.chunk_uses(recipes.withColumn("copies", F.lit(1)))
+    assert {bytes(r.chunk): r.n_uses for r in counted.collect()} == {k: n for k, (n, _) in names.items()}
+    store = op2.chunk_store(docs, counted.where("n_uses > 1")).collect()
+    assert {bytes(r.chunk): r.n_bytes for r in store} == {k: size for k, (n, size) in names.items() if n > 1}
+    assert store and all(r.verified for r in store)
+
+
+def test_two_bodies_of_one_identifier_stop_the_job(spark, monkeypatch):
+    class Weak:
+        def __init__(self, body):
+            self.body = body
+
+        def digest(self):
+            return (b"short" if len(self.body) < 1000 else b"long").ljust(32)
+
+        def hexdigest(self):
+            return hashlib.sha1(self.body).hexdigest()
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "z" * 5000)], "doc_id long, text string")
+    monkeypatch.setattr(op2, "_recipes", _weakly(op2._recipes, Weak))
+    monkeypatch.setattr(op2, "_chunks", _weakly(op2._chunks, Weak))
+    with pytest.raises(RuntimeError, match="same SHA-256"):
+        op2.exact_groups(docs)
+
+
+def _weakly(function, weak):
+    """``function`` with another digest, also where it runs in a worker."""
+
+    def run(frames):
+        function.__globals__["hashlib"] = type("Hashes", (), {"sha256": weak})
+        try:
+            yield from function(frames)
+        finally:
+            function.__globals__["hashlib"] = hashlib
+
+    return run
+
+
 def test_kept_rows_where_an_id_repeats_with_other_texts(spark):
     rows = [(1, "a", "", "", 0), (1, "b", "", "", 0), (1, "B", "", "", 0), (0, "b", "", "", 0)]
     stay = op2.drop_copies(spark.createDataFrame(rows, DOCS)).collect()

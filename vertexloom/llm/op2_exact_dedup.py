@@ -1,10 +1,10 @@
 """Exact dedup by content-defined chunk recipes.
 
 A text is cut where a hash of the eight bytes before a place hits a pattern, so equal passages give
-equal chunks wherever they stand. A chunk's identifier is its SHA-256; it is verified by comparing
-the bytes of all chunks that carry it, each of which moves once per task. A text's recipe is the
-ordered list of its identifiers, and equal texts are those with equal recipes: after the chunks only
-the recipes move, 32 bytes for some four thousand of text.
+equal chunks wherever they stand. A chunk's identifier is its SHA-256, and a text's recipe is the
+ordered list of its identifiers, 32 bytes for some four thousand of text. Equal texts are those with
+equal recipes. Identifiers are counted from the recipes; those used more than once are verified by
+comparing the bytes of their chunks, and the bytes of a chunk that occurs once are compared with none.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from vertexloom.llm.text import as_row, from_row, lower_ascii
 from vertexloom.session import cut, spread, table
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16384, 12
+#: Bytes of an identifier.
+DIGEST = 32
 
 
 def chunk_ends(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, mask_bits: int = MASK_BITS) -> list[int]:
@@ -54,19 +56,23 @@ def _normal(text: str | None) -> bytes:
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each identifier with its bytes, once for the texts that are cut together."""
+
+    def table(held: set[tuple[bytes, bytes]]) -> pd.DataFrame:
+        return pd.DataFrame(list(held), columns=["chunk", "body"])
+
     for frame in frames:
-        names, bodies, size = [], [], 0
+        held, size = set(), 0
         for text in frame["text"]:
             data, start = _normal(text), 0
             for end in chunk_ends(data):
                 body, start = data[start:end], end
-                names.append(hashlib.sha256(body).digest())
-                bodies.append(body)
+                held.add((hashlib.sha256(body).digest(), body))
                 size += len(body)
             if size > 8 << 20:
-                yield pd.DataFrame({"chunk": names, "body": bodies})
-                names, bodies, size = [], [], 0
-        yield pd.DataFrame({"chunk": names, "body": bodies})
+                yield table(held)
+                held, size = set(), 0
+        yield table(held)
 
 
 def _recipes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,13 +88,20 @@ def _recipes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": frame["doc_id"], "text_sha256": hashes, "recipe": recipes})
 
 
-def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(chunk, n_bytes, n_uses, verified)``: each identifier once; verified if all its bodies are one."""
+def chunk_uses(recipes: DataFrame) -> DataFrame:
+    """``(chunk, n_uses)``: how often each identifier is used by the rows of ``(recipe, copies)``."""
+    places = F.sequence(F.lit(1), F.octet_length("recipe"), F.lit(DIGEST))
+    chunks = recipes.where(F.octet_length("recipe") > 0).select("recipe", "copies", F.explode(places).alias("at"))
+    return chunks.groupBy(F.substring("recipe", F.col("at"), F.lit(DIGEST)).alias("chunk")).agg(F.sum("copies").alias("n_uses"))
+
+
+def chunk_store(docs: DataFrame, chosen: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(chunk, n_bytes, verified)`` of each identifier in ``chosen``; verified if all its bodies are one."""
     chunks = docs.select(F.col(text_col).alias("text")).mapInPandas(_chunks, "chunk binary, body binary")
-    return chunks.groupBy("chunk").agg(
-        F.max(F.octet_length("body")).alias("n_bytes"),
-        F.count("*").alias("n_uses"),
-        (F.min("body") == F.max("body")).alias("verified"),
+    return (
+        chunks.join(chosen.select("chunk"), "chunk", "left_semi")
+        .groupBy("chunk")
+        .agg(F.max(F.octet_length("body")).alias("n_bytes"), (F.min("body") == F.max("body")).alias("verified"))
     )
 
 
@@ -100,11 +113,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and text all come back, one of them as kept. Null ids count as smaller than all others. Other
     columns are not read. Two chunks of one identifier with different bytes stop the job.
     """
-    if chunk_store(docs, text_col).where(~F.col("verified")).limit(1).count():
-        raise RuntimeError("two different chunks have the same SHA-256")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     recipes = rows.mapInPandas(_recipes, "doc_id long, text_sha256 string, recipe binary")
     recipes = cut(recipes.groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")))
+    repeated = chunk_uses(recipes).where("n_uses > 1")
+    if chunk_store(docs, repeated, text_col).where(~F.col("verified")).limit(1).count():
+        raise RuntimeError("two different chunks have the same SHA-256")
     groups = cut(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     return (
         recipes.join(groups, "recipe")
