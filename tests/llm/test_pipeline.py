@@ -10,7 +10,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 
 from tests.llm.test_decontaminate import brute as contaminated  # noqa: E402
-from tests.llm.test_simhash import groups_of, slow_fingerprint  # noqa: E402
+from tests.llm.test_simhash import components, shingles, similar_pairs, slow_fingerprint  # noqa: E402
 from tests.llm.test_tokens import BYTES, check_bins  # noqa: E402
 from vertexloom.llm import op6_quality, op10_packing  # noqa: E402
 
@@ -36,8 +36,10 @@ def test_result_is_that_of_the_rules(spark):
         key = text.encode().lower()
         last[key] = max(last.get(key, (doc_id, text)), (doc_id, text))
     single = sorted(last.values())
-    groups = groups_of([slow_fingerprint(t) for _, t in single])
-    apart = [single[min(g)] for g in groups]
+    fps = [slow_fingerprint(t) for _, t in single]
+    near = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    label = components(near | similar_pairs([shingles(t) for _, t in single]), len(single))
+    apart = [single[i] for i, lowest in enumerate(label) if lowest == i]
     clean = {d: t for d, t in apart if not contaminated(t, bench)[-1]}
     assert len(rows) > len(good) > len(single) >= len(apart) > len(clean) > 0
 

@@ -72,7 +72,7 @@ def test_groups_of_odd_rows(spark):
     for r in found:
         assert r.component_id == lowest[r.doc_id, r.fp & ((1 << 64) - 1)]
     docs = spark.createDataFrame(rows, DOCS)
-    stay = op7.keep_one(docs)
+    stay = op7.keep_one(docs, None)
     assert stay.columns == docs.columns
     assert sorted(r.doc_id for r in stay.collect()) == sorted({x for x in lowest.values()})
 
@@ -84,6 +84,79 @@ def test_empty_table_and_unique_ids(spark):
     assert sorted(r.doc_id for r in op7.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == [1, 3]
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_pairs(sets, least=0.8):
+    """All pairs at least so similar, through the shingles that they share."""
+    holders, shared = {}, {}
+    for i, own in enumerate(sets):
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    for own in holders.values():
+        for y, j in enumerate(own):
+            for i in own[:y]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    return {(i, j) for (i, j), n in shared.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)}
+
+
+def test_shingle_sets_and_bands():
+    assert [len(op7.shingle_set(t)) for t in (None, "", " ", "a", "a b c d", "a b c d e", "a b c d e f", "x " * 50)] == [0, 0, 0, 1, 1, 1, 2, 1]
+    some = op7.shingle_set(" ".join(f"w{i}" for i in range(9000)))
+    assert len(op7.bands_of(some)) == op7.BANDS and (op7.bands_of(some, 64) == op7.bands_of(some)).all()
+
+
+def test_alike_links_only_similar_texts_and_joins_whole_groups(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for size in (1, 2, 2, 3, 60):
+        base = rng.choices(vocabulary, k=400)
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    half = texts[0].split()
+    texts += [" ".join(half[:200] + rng.choices(vocabulary, k=200)), " ".join(half[:340]), None, "", "one two", "One  two", "one three"]
+    texts += ["tick " * 40_000, "tick " * 30_000 + "end"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
+    found = [(r.a, r.b) for r in op7.alike(docs).collect()]
+    expected = similar_pairs([shingles(t) for t in texts])
+    assert len(found) == len(set(found)) and set(found) <= expected
+    assert len(found) <= 2 * op7.BANDS * len(texts)
+    assert components(found, len(texts)) == components(expected, len(texts))
+    assert op7.alike(docs.limit(0)).count() == 0
+
+
+def components(pairs, n):
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    return label
+
+
+def test_keep_one_catches_near_copies_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    pairs = similar_pairs([shingles(r.text) for r in rows])
+    label = components(pairs, len(rows))
+    copies = {rows[i].doc_id for i, own in enumerate(label) if own != i}
+    stay = {r.doc_id for r in op7.keep_one(docs).select("doc_id").collect()}
+    by_fingerprint = {r.doc_id for r in op7.keep_one(docs, None).select("doc_id").collect()}
+    assert stay <= by_fingerprint
+    assert len(copies) > 50 and len(copies - stay) >= 0.95 * len(copies)
+    gone = {r.doc_id for r in rows} - stay - copies
+    assert gone <= {r.doc_id for r in rows} - by_fingerprint
+    print("near copies", len(copies), "caught", len(copies - stay), "by fingerprints alone", len(copies - by_fingerprint))
+
+
 def test_whole_table_against_brute_force(spark):
     path = "/root/testdata/sf0.001"
     found = {r.doc_id: r for r in op7.op7_simhash(spark, path).collect()}

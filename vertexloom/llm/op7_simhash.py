@@ -14,6 +14,12 @@ fingerprint at every size.
 Equal fingerprints are one node from the start, so copies meet in no join. A fingerprint has at most
 2,080 others within two bits, which bounds the links of a group of near copies by its size, however
 many they are. Groups are connected components over the links.
+
+Two bits find copies that differ very little. Texts that share four fifths of their five-word shingles
+differ in some ten bits, where a grid of bit counts keeps nearly everything. ``alike`` finds these: texts
+with equal least hashes of their shingle sets in some band are held against two of their bucket by the
+exact similarity of the sets. So a bucket of n texts costs 2 n comparisons; texts that are not alike any
+of the two are found through other bands. ``keep_one`` uses both kinds of links.
 """
 
 from __future__ import annotations
@@ -32,6 +38,10 @@ from vertexloom.session import cut, spread, table
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Segments of a fingerprint: more thin the cells out and give each fingerprint more cells.
 SEGMENTS = 24
+#: Near copies: words of a shingle, least similarity of the shingle sets; bands of least hashes, hashes of each.
+WIDE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 5
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -111,21 +121,116 @@ def links(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return left.join(right, (left["cell"] == right["cell"]) & once & near).select("a", "b")
 
 
+def shingle_set(text: str | None, shingle: int = WIDE, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of a text's shingles in rising order; of fewer words, of all; without words none."""
+    from xxhash import xxh64_intdigest
+
+    words = b"" if text is None else text.encode().lower()
+    words = words.split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    spans = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in spans), np.uint64))
+
+
+def bands_of(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
+    """A key for each band: its least hashes under ``ROWS`` multiplications, mixed."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), block):
+        least = np.minimum(least, (hashes[start : start + block] * _ODD[:, None]).min(axis=1))
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys
+
+
+def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(node, own, n, keys)`` of texts with words; ``own`` is one number for equal sets."""
+    for frame in frames:
+        out = []
+        for node, text in zip(frame["node"], frame["text"]):
+            found = shingle_set(text)
+            if len(found):
+                out.append((node, _number(found), len(found), bands_of(found).view(np.int64)))
+        yield pd.DataFrame(out, columns=["node", "own", "n", "keys"])
+
+
+def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(own, hashes)`` of texts with words."""
+    for frame in frames:
+        out, size = [], 0
+        for text in frame["text"]:
+            found = shingle_set(text)
+            if len(found):
+                out.append((_number(found), found.view(np.int64)))
+                size += len(found)
+            if size > 1 << 20:
+                yield pd.DataFrame(out, columns=["own", "hashes"])
+                out, size = [], 0
+        yield pd.DataFrame(out, columns=["own", "hashes"])
+
+
+def _number(hashes: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def alike(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: nodes of ``(node, text)`` whose sets of five-word shingles are similar, each pair once.
+
+    The similarity of each pair that meets is computed exactly from the whole texts. A bucket's texts meet its
+    first and its last one in the order of a hash, so a group's nodes are joined, not all its pairs given.
+    Several texts may carry one node; texts without words are like none.
+    """
+    rows = cut(texts.select("node", "text").mapInPandas(_signatures, "node long, own long, n long, keys array<long>"))
+    owners = cut(rows.groupBy("own").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keys = owners.select("own", "n", F.posexplode("keys").alias("band", "key"))
+    mark = F.struct(F.xxhash64("own").alias("h"), "own", "n")
+    buckets = keys.groupBy("band", "key").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first.own <> last.own")
+    met = keys.join(buckets, ["band", "key"]).select("own", "n", F.explode(F.array("first", "last")).alias("other"))
+    size_fits = F.least("n", "other.n") >= F.lit(similarity) * F.greatest("n", "other.n")
+    met = met.where((F.col("own") != F.col("other.own")) & size_fits)
+    pairs = cut(met.select(F.least("own", "other.own").alias("x"), F.greatest("own", "other.own").alias("y")).distinct())
+    ends = pairs.select(F.col("x").alias("own")).unionAll(pairs.select("y")).distinct()
+    held = texts.select("text").mapInPandas(_sets, "own long, hashes array<long>").join(ends, "own", "left_semi")
+    held = cut(held.dropDuplicates(["own"]).join(owners.select("own", "node"), "own"))
+    for end in "xy":
+        own = held.select(F.col("own").alias(end), F.col("hashes").alias(f"h{end}"), F.col("node").alias(f"node_{end}"))
+        pairs = pairs.join(own, end)
+    common = F.size(F.array_intersect("hx", "hy"))
+    near = pairs.where(common >= F.lit(similarity) * (F.size("hx") + F.size("hy") - common))
+    # Texts with equal sets are alike too: their nodes meet the least of them.
+    same = rows.select("own", F.col("node").alias("a")).distinct().join(owners.select("own", F.col("node").alias("b")), "own")
+    out = near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionAll(same.select("a", "b")).where("a <> b")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
 
     A text without words, null included, has fingerprint zero and links like any other; one of fewer
     words than a shingle has one shingle of all its words. ``component_id`` is the smallest doc_id of
     the rows that links reach, null ids aside. Repeated rows all come back, an empty table gives no
-    rows, other columns are not read.
+    rows, other columns are not read. With ``similarity``, rows link too that ``alike`` finds to be at
+    least so similar.
     """
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"partners meet one step from both, so up to {DISTANCE} bits")
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    parts = star_components(links(nodes, distance), "a", "b")
+    found = links(nodes, distance)
+    if similarity is not None:
+        found = found.unionAll(alike(docs.select(_fp(shingle)(text_col).alias("node"), F.col(text_col).alias("text")), similarity))
+    parts = star_components(found, "a", "b")
     placed = nodes.join(parts, F.col("fp") == F.col("id"), "left").select(
         "fp", "lowest", F.coalesce("component", "fp").alias("part")
     )
@@ -134,23 +239,30 @@ def near_groups(
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _fp(shingle: int):
+    """A function of a column of texts that gives their fingerprints."""
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(_fps(texts, shingle))
+
+    return fp
+
+
+def keep_one(docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each group, with all their columns, whatever these are called.
 
-    Where ids repeat, one row of a group stays all the same: the one with the smallest fingerprint.
+    Groups are those of fingerprints within two bits and of five-word shingles with at least ``similarity``
+    (None: of fingerprints alone). Where ids repeat, one row of a group stays all the same: the one with the
+    smallest fingerprint.
     """
-    stay = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = near_groups(docs, similarity=similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.groupBy(F.col("component_id").alias("keep")).agg(F.min("fp").alias("keep_fp"))
     named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     same_id = F.col("id").eqNullSafe(F.col("keep"))
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return from_row(named.join(stay, same_id, "left_semi"), docs)
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(_fps(texts, SHINGLE))
-
-    named = named.select("row", "id", fp("text").alias("fp"))
+    named = named.select("row", "id", _fp(SHINGLE)("text").alias("fp"))
     return from_row(named.join(stay, same_id & (F.col("fp") == F.col("keep_fp")), "left_semi").dropDuplicates(["id", "fp"]), docs)
 
 
