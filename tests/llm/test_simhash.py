@@ -123,12 +123,13 @@ def test_alike_links_only_similar_texts_and_joins_whole_groups(spark):
     texts += [" ".join(half[:200] + rng.choices(vocabulary, k=200)), " ".join(half[:340]), None, "", "one two", "One  two", "one three"]
     texts += ["tick " * 40_000, "tick " * 30_000 + "end"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
-    found = [(r.a, r.b) for r in op7.alike(docs).collect()]
+    rows = op7.profiles(docs, "node").withColumnRenamed("doc_id", "node")
+    found = [(r.a, r.b) for r in op7.alike(rows, docs).collect()]
     expected = similar_pairs([shingles(t) for t in texts])
     assert len(found) == len(set(found)) and set(found) <= expected
     assert len(found) <= 2 * op7.BANDS * len(texts)
     assert components(found, len(texts)) == components(expected, len(texts))
-    assert op7.alike(docs.limit(0)).count() == 0
+    assert op7.alike(rows.limit(0), docs.limit(0)).count() == 0
 
 
 def components(pairs, n):

@@ -25,6 +25,7 @@ of the two are found through other bands. ``keep_one`` uses both kinds of links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -129,7 +130,7 @@ def shingle_set(text: str | None, shingle: int = WIDE, seed: int = SEED) -> np.n
     words = words.split()
     if not words:
         return np.zeros(0, np.uint64)
-    spans = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+    spans = map(b" ".join, zip(*[islice(words, i, None) for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
     return np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in spans), np.uint64))
 
 
@@ -145,15 +146,22 @@ def bands_of(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
     return keys
 
 
-def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(node, own, n, keys)`` of texts with words; ``own`` is one number for equal sets."""
-    for frame in frames:
-        out = []
-        for node, text in zip(frame["node"], frame["text"]):
-            found = shingle_set(text)
-            if len(found):
-                out.append((node, _number(found), len(found), bands_of(found).view(np.int64)))
-        yield pd.DataFrame(out, columns=["node", "own", "n", "keys"])
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, fp, own, n, keys)`` for every row: beside the fingerprint a number for the shingle set, equal
+    for equal sets, its size and its bands' keys; these three are null for texts without words."""
+
+    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own, n, keys = [], [], []
+            for found in map(shingle_set, frame["text"]):
+                own.append(_number(found) if len(found) else None)
+                n.append(len(found) or None)
+                keys.append(bands_of(found).view(np.int64) if len(found) else None)
+            ids = frame["doc_id"].astype("Int64")
+            yield pd.DataFrame({"doc_id": ids, "fp": _fps(frame["text"], shingle), "own": pd.Series(own, dtype="Int64"), "n": pd.Series(n, dtype="Int64"), "keys": keys})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(compute, "doc_id long, fp long, own long, n long, keys array<long>")
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,14 +185,16 @@ def _number(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def alike(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b)``: nodes of ``(node, text)`` whose sets of five-word shingles are similar, each pair once.
+def alike(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """``(a, b)``: nodes of ``rows`` whose sets of five-word shingles are similar, each pair once.
+
+    ``rows`` has ``node`` and what ``profiles`` tells of the texts of ``docs``: ``own``, ``n``, ``keys``.
 
     The similarity of each pair that meets is computed exactly from the whole texts. A bucket's texts meet its
     first and its last one in the order of a hash, so a group's nodes are joined, not all its pairs given.
     Several texts may carry one node; texts without words are like none.
     """
-    rows = cut(texts.select("node", "text").mapInPandas(_signatures, "node long, own long, n long, keys array<long>"))
+    rows = rows.where("own is not null")
     owners = cut(rows.groupBy("own").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keys = owners.select("own", "n", F.posexplode("keys").alias("band", "key"))
     mark = F.struct(F.xxhash64("own").alias("h"), "own", "n")
@@ -194,7 +204,7 @@ def alike(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = met.where((F.col("own") != F.col("other.own")) & size_fits)
     pairs = cut(met.select(F.least("own", "other.own").alias("x"), F.greatest("own", "other.own").alias("y")).distinct())
     ends = pairs.select(F.col("x").alias("own")).unionAll(pairs.select("y")).distinct()
-    held = texts.select("text").mapInPandas(_sets, "own long, hashes array<long>").join(ends, "own", "left_semi")
+    held = docs.select(F.col(text_col).alias("text")).mapInPandas(_sets, "own long, hashes array<long>").join(ends, "own", "left_semi")
     held = cut(held.dropDuplicates(["own"]).join(owners.select("own", "node"), "own"))
     for end in "xy":
         own = held.select(F.col("own").alias(end), F.col("hashes").alias(f"h{end}"), F.col("node").alias(f"node_{end}"))
@@ -225,11 +235,12 @@ def near_groups(
     """
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"partners meet one step from both, so up to {DISTANCE} bits")
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    told = fingerprints if similarity is None else profiles
+    fps = cut(told(docs, id_col, text_col, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
     found = links(nodes, distance)
     if similarity is not None:
-        found = found.unionAll(alike(docs.select(_fp(shingle)(text_col).alias("node"), F.col(text_col).alias("text")), similarity))
+        found = found.unionAll(alike(fps.select(F.col("fp").alias("node"), "own", "n", "keys"), docs, similarity, text_col))
     parts = star_components(found, "a", "b")
     placed = nodes.join(parts, F.col("fp") == F.col("id"), "left").select(
         "fp", "lowest", F.coalesce("component", "fp").alias("part")
@@ -239,16 +250,6 @@ def near_groups(
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _fp(shingle: int):
-    """A function of a column of texts that gives their fingerprints."""
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(_fps(texts, shingle))
-
-    return fp
-
-
 def keep_one(docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each group, with all their columns, whatever these are called.
 
@@ -262,7 +263,12 @@ def keep_one(docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFram
     same_id = F.col("id").eqNullSafe(F.col("keep"))
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return from_row(named.join(stay, same_id, "left_semi"), docs)
-    named = named.select("row", "id", _fp(SHINGLE)("text").alias("fp"))
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(_fps(texts, SHINGLE))
+
+    named = named.select("row", "id", fp("text").alias("fp"))
     return from_row(named.join(stay, same_id & (F.col("fp") == F.col("keep_fp")), "left_semi").dropDuplicates(["id", "fp"]), docs)
 
 
