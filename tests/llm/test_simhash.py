@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -102,10 +103,28 @@ def similar_pairs(sets, least=0.8):
     return {(i, j) for (i, j), n in shared.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)}
 
 
-def test_shingle_sets_and_bands():
+def test_shingle_sets():
     assert [len(op7.shingle_set(t)) for t in (None, "", " ", "a", "a b c d", "a b c d e", "a b c d e f", "x " * 50)] == [0, 0, 0, 1, 1, 1, 2, 1]
-    some = op7.shingle_set(" ".join(f"w{i}" for i in range(9000)))
-    assert len(op7.bands_of(some)) == op7.BANDS and (op7.bands_of(some, 64) == op7.bands_of(some)).all()
+
+
+def test_prefixes_and_parities_rule_out_no_similar_sets():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 64, 4000, np.uint64))
+    often = np.sort(rng.choice(pool, 900, replace=False))
+    orders = [(often[:0], np.zeros(0, np.int64)), (often, rng.permutation(len(often)))]
+    similar = 0
+    for n in (1, 2, 4, 5, 9, 40, 400):
+        for _ in range(40):
+            a = np.sort(rng.choice(pool, n, replace=False))
+            b = np.unique(np.concatenate([rng.choice(a, n - rng.integers(0, n // 8 + 1), replace=False), rng.choice(pool, rng.integers(0, n // 8 + 1))]))
+            common = len(np.intersect1d(a, b))
+            differing = int(np.bitwise_count((op7.parities_of(a) ^ op7.parities_of(b)).view(np.uint64)).sum())
+            assert differing <= len(a) + len(b) - 2 * common
+            if common >= 0.8 * (len(a) + len(b) - common):
+                similar += 1
+                assert all(len(np.intersect1d(op7.prefix_of(a, *order), op7.prefix_of(b, *order))) for order in orders)
+    assert similar > 100
+    assert not len(op7.prefix_of(often[:0], *orders[1])) and set(op7.prefix_of(often, *orders[1])) <= set(often)
 
 
 def test_alike_links_only_similar_texts_and_joins_whole_groups(spark):
@@ -127,11 +146,38 @@ def test_alike_links_only_similar_texts_and_joins_whole_groups(spark):
     found = [(r.a, r.b) for r in op7.alike(rows, docs).collect()]
     expected = similar_pairs([shingles(t) for t in texts])
     assert len(found) == len(set(found)) and set(found) <= expected
-    assert len(found) <= 2 * op7.BANDS * len(texts)
+    assert len(found) <= 2 * 24 * len(texts)
     assert components(found, len(texts)) == components(expected, len(texts))
     assert op7.alike(rows.limit(0), docs.limit(0)).count() == 0
 
 
+def test_alike_loses_no_link_among_texts_that_share_much(spark):
+    # Each text is alike every other by some 0.75, so all meet at most shingles; few pairs are similar.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+
+    def changed(words, k):
+        own = list(words)
+        for i in rng.sample(range(len(own)), k):
+            own[i] = f"x{rng.getrandbits(40)}"
+        return own
+
+    texts = []
+    for i in range(200):
+        texts.append(changed(base, 6))
+        if i % 4 == 0:
+            texts.append(changed(texts[-1], 7))
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string").repartition(8)
+    rows = op7.profiles(docs, "node").withColumnRenamed("doc_id", "node")
+    expected = similar_pairs([shingles(t) for t in texts])
+    found = {(r.a, r.b) for r in op7.alike(rows, docs).collect()}
+    assert found <= expected
+    label = components(expected, len(texts))
+    assert len(set(label)) > 100 and components(found, len(texts)) == label
+
+
 def components(pairs, n):
     label = list(range(n))
     for _ in range(n):
@@ -167,3 +213,14 @@ def test_whole_table_against_brute_force(spark):
         lowest = min(docs[i].doc_id for i in group)
         for i in group:
             assert (found[docs[i].doc_id].component_id, found[docs[i].doc_id].fingerprint) == (lowest, f"{fps[i]:016x}")
+
+
+def test_parities_of_large_and_small_sets(spark):
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 1 << 64, 6000, np.uint64))
+    sets = [pool[:1500], pool[:1600], pool[:1700], pool[:5000], pool[100:1800]]
+    rows = [(i, j, op7.parities_of(a).tolist(), op7.parities_of(b).tolist()) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    assert {len(r[2]) for r in rows} == {op7.WORDS, op7.LARGE_WORDS}
+    found = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>").select("i", "j", op7._differing("a", "b").alias("n"))
+    for r in found.collect():
+        assert (r.n == 0) == (r.i == r.j) and r.n <= len(np.setxor1d(sets[r.i], sets[r.j]))

@@ -16,10 +16,10 @@ Equal fingerprints are one node from the start, so copies meet in no join. A fin
 many they are. Groups are connected components over the links.
 
 Two bits find copies that differ very little. Texts that share four fifths of their five-word shingles
-differ in some ten bits, where a grid of bit counts keeps nearly everything. ``alike`` finds these: texts
-with equal least hashes of their shingle sets in some band are held against two of their bucket by the
-exact similarity of the sets. So a bucket of n texts costs 2 n comparisons; texts that are not alike any
-of the two are found through other bands. ``keep_one`` uses both kinds of links.
+differ in some ten bits, where a grid of bit counts keeps nearly everything. ``alike`` finds these by the
+prefixes of their shingle sets in one order of all shingles: sets that are similar share a shingle of
+their prefixes, so no similar pair is lost. The sets of a shingle are held against two of them first; then
+every two of them that no links join yet. ``keep_one`` uses both kinds of links.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.kernels.components import star_components
@@ -39,10 +39,13 @@ from vertexloom.session import cut, spread, table
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Segments of a fingerprint: more thin the cells out and give each fingerprint more cells.
 SEGMENTS = 24
-#: Near copies: words of a shingle, least similarity of the shingle sets; bands of least hashes, hashes of each.
+#: Near copies: words of a shingle, least similarity of the shingle sets.
 WIDE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Frequent shingles come last in the order. They are counted by so many hashes at once; so many are listed. Neither changes a pair.
+CHUNK, LISTED = 1 << 19, 1 << 16
+#: 64-bit words of a set's parities, of those of sets over ``LARGE`` hashes; texts' marks; sets of a slice where a shingle's sets all meet.
+WORDS, LARGE_WORDS, LARGE = 16, 128, 1600
+MARKS, SLICE = 1 << 26, 512
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -134,34 +137,82 @@ def shingle_set(text: str | None, shingle: int = WIDE, seed: int = SEED) -> np.n
     return np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in spans), np.uint64))
 
 
-def bands_of(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
-    """A key for each band: its least hashes under ``ROWS`` multiplications, mixed."""
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), block):
-        least = np.minimum(least, (hashes[start : start + block] * _ODD[:, None]).min(axis=1))
-    keys = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys
+def prefix_of(hashes: np.ndarray, often: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first hashes of a set, as many as two sets must share one of if they are similar.
+
+    The order of all hashes: those not in ``often`` (sorted) by value, then the others by ``rank``. A set of n shares
+    at least ``similarity`` * n with a similar one, so of n less that and one more each the least common hash is in both.
+    """
+    keep = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    if not len(often):
+        return hashes[:keep]
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    listed = often[at] == hashes
+    rare = hashes[~listed][:keep]
+    return np.concatenate([rare, hashes[listed][np.argsort(rank[at[listed]])][: keep - len(rare)]])
+
+
+def parities_of(hashes: np.ndarray) -> np.ndarray:
+    """Of each remainder of the hashes whether an odd number of them has it, as 64-bit words. The words of two
+    sets differ in at most as many bits as hashes are in one of the sets only. Many words fold to few by exclusive or."""
+    bits = 64 * (LARGE_WORDS if len(hashes) > LARGE else WORDS)
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _mark(text: Column) -> Column:
+    """A number from 1 to ``MARKS`` for a text."""
+    return F.pmod(F.xxhash64(text), F.lit(MARKS)) + 1
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp, own, n, keys)`` for every row: beside the fingerprint a number for the shingle set, equal
-    for equal sets, its size and its bands' keys; these three are null for texts without words."""
+    """``(doc_id, fp, own, n, parities, mark, often, times)``. For every row, beside the fingerprint, a number for the
+    shingle set, equal for equal sets, its size and its parities, null for texts without words, and the text's mark.
+
+    Further rows, the only ones with ``often``, hold shingles that several texts of those read together have, and how many.
+    """
 
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for frame in frames:
-            own, n, keys = [], [], []
+            own, n, parities = [], [], []
             for found in map(shingle_set, frame["text"]):
                 own.append(_number(found) if len(found) else None)
                 n.append(len(found) or None)
-                keys.append(bands_of(found).view(np.int64) if len(found) else None)
-            ids = frame["doc_id"].astype("Int64")
-            yield pd.DataFrame({"doc_id": ids, "fp": _fps(frame["text"], shingle), "own": pd.Series(own, dtype="Int64"), "n": pd.Series(n, dtype="Int64"), "keys": keys})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(compute, "doc_id long, fp long, own long, n long, keys array<long>")
+                parities.append(parities_of(found) if len(found) else None)
+                held.append(found)
+                size += len(found)
+                if size > CHUNK:
+                    yield _shared(held)
+                    held, size = [], 0
+            told = {"doc_id": frame["doc_id"].astype("Int64"), "fp": _fps(frame["text"], shingle), "own": pd.Series(own, dtype="Int64")}
+            told |= {"n": pd.Series(n, dtype="Int64"), "parities": parities, "mark": frame["mark"], "often": None, "times": None}
+            yield pd.DataFrame(told)
+        if held:
+            yield _shared(held)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(F.col(text_col)).alias("mark"))
+    kinds = "doc_id long, fp long, own long, n long, parities array<long>, mark long, often array<long>, times array<long>"
+    return rows.mapInPandas(compute, kinds)
+
+
+def _shared(sets: list[np.ndarray]) -> pd.DataFrame:
+    """The row of ``profiles`` with the hashes that several of the sets have."""
+    hashes, times = np.unique(np.concatenate(sets), return_counts=True)
+    several = times > 1
+    row = {"doc_id": None, "fp": None, "own": None, "n": None, "parities": None, "mark": None}
+    row |= {"often": hashes[several].view(np.int64), "times": times[several]}
+    return pd.DataFrame([row]).astype({c: "Int64" for c in ("doc_id", "fp", "own", "n", "mark")})
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``profiles``' rows the shingles most often told, sorted, and each one's rank, the rarest first."""
+    told = rows.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("t"))
+    told = told.groupBy(F.col("t.often").alias("hash")).agg(F.sum("t.times").alias("times"))
+    top = told.orderBy(F.desc("times"), "hash").limit(LISTED).collect()
+    hashes = np.array([r.hash for r in reversed(top)], np.int64).view(np.uint64)
+    rank = np.argsort(hashes)
+    return hashes[rank], rank
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,35 +236,100 @@ def _number(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def alike(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """``(a, b)``: nodes of ``rows`` whose sets of five-word shingles are similar, each pair once.
+def _keys(docs: DataFrame, often: np.ndarray, rank: np.ndarray, similarity: float, text_col: str) -> DataFrame:
+    """``(own, key)``: a row for every hash of the prefix of each text's set."""
+
+    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(_number(s), prefix_of(s, often, rank, similarity).view(np.int64)) for s in map(shingle_set, frame["text"]) if len(s)]
+            yield pd.DataFrame(out, columns=["own", "keys"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(compute, "own long, keys array<long>")
+    return found.select("own", F.explode("keys").alias("key"))
 
-    ``rows`` has ``node`` and what ``profiles`` tells of the texts of ``docs``: ``own``, ``n``, ``keys``.
 
-    The similarity of each pair that meets is computed exactly from the whole texts. A bucket's texts meet its
-    first and its last one in the order of a hash, so a group's nodes are joined, not all its pairs given.
-    Several texts may carry one node; texts without words are like none.
+def _marked(docs: DataFrame, marks: DataFrame, text_col: str = "text") -> DataFrame:
+    """The texts of ``docs`` whose mark is one of ``marks``. Marks are broadcast as bits, 8 MB at most whatever their number."""
+    bits = marks.groupBy(F.bitmap_bucket_number("mark").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    texts = docs.select(F.col(text_col).alias("text"), _mark(F.col(text_col)).alias("mark"))
+    texts = texts.select("text", F.bitmap_bucket_number("mark").alias("bucket"), F.bitmap_bit_position("mark").alias("at"))
+    octet = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = octet.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0
+    return texts.join(F.broadcast(bits), "bucket").where(there).select("text")
+
+
+def _differing(one: str, other: str) -> Column:
+    """In how many bits two sets' parities differ."""
+
+    def folded(name: str) -> Column:
+        words = [F.lit(0).cast("long")] * WORDS
+        for i in range(LARGE_WORDS):
+            words[i % WORDS] = words[i % WORDS].bitwiseXOR(F.col(name)[i])
+        return F.when(F.size(name) == WORDS, F.col(name)).otherwise(F.array(*words))
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda found, x: found + x)
+
+    return F.when(F.size(one) == F.size(other), apart(F.col(one), F.col(other))).otherwise(apart(folded(one), folded(other)))
+
+
+def _similar(pairs: DataFrame, owners: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
+    """``(a, b)``: nodes of those ``pairs`` ``(x, y)`` of sets that are similar.
+
+    Sizes and parities rule out most pairs that are not; of the others the whole sets are compared.
     """
-    rows = rows.where("own is not null")
-    owners = cut(rows.groupBy("own").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keys = owners.select("own", "n", F.posexplode("keys").alias("band", "key"))
-    mark = F.struct(F.xxhash64("own").alias("h"), "own", "n")
-    buckets = keys.groupBy("band", "key").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first.own <> last.own")
-    met = keys.join(buckets, ["band", "key"]).select("own", "n", F.explode(F.array("first", "last")).alias("other"))
-    size_fits = F.least("n", "other.n") >= F.lit(similarity) * F.greatest("n", "other.n")
-    met = met.where((F.col("own") != F.col("other.own")) & size_fits)
-    pairs = cut(met.select(F.least("own", "other.own").alias("x"), F.greatest("own", "other.own").alias("y")).distinct())
-    ends = pairs.select(F.col("x").alias("own")).unionAll(pairs.select("y")).distinct()
-    held = docs.select(F.col(text_col).alias("text")).mapInPandas(_sets, "own long, hashes array<long>").join(ends, "own", "left_semi")
-    held = cut(held.dropDuplicates(["own"]).join(owners.select("own", "node"), "own"))
     for end in "xy":
-        own = held.select(F.col("own").alias(end), F.col("hashes").alias(f"h{end}"), F.col("node").alias(f"node_{end}"))
+        own = owners.select(F.col("own").alias(end), F.struct("n", "parities", "node", "mark").alias(f"of_{end}"))
         pairs = pairs.join(own, end)
+    both = F.col("of_x.n") + F.col("of_y.n")
+    size_fits = F.least("of_x.n", "of_y.n") >= F.lit(similarity) * F.greatest("of_x.n", "of_y.n")
+    parities_fit = _differing("of_x.parities", "of_y.parities") <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6)
+    pairs = pairs.where(size_fits).where(parities_fit)
+    pairs = cut(pairs.select("x", "y", *[F.col(f"of_{end}.{c}").alias(f"{c}_{end}") for end in "xy" for c in ("node", "mark")]))
+    marks = pairs.select(F.col("mark_x").alias("mark")).unionAll(pairs.select("mark_y"))
+    held = _marked(docs, marks, text_col).mapInPandas(_sets, "own long, hashes array<long>").repartition("own").dropDuplicates(["own"])
+    for end in "xy":
+        pairs = pairs.join(held.select(F.col("own").alias(end), F.col("hashes").alias(f"h{end}")), end)
     common = F.size(F.array_intersect("hx", "hy"))
     near = pairs.where(common >= F.lit(similarity) * (F.size("hx") + F.size("hy") - common))
+    return cut(near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
+
+
+def alike(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", linked: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: nodes of ``rows`` whose sets of five-word shingles are similar, each pair once. Groups by these
+    links, with ``linked`` ones where given, are those by all similar pairs.
+
+    ``rows`` has ``node`` and what ``profiles`` tells of the texts of ``docs``.
+
+    Similar sets share a shingle of their prefixes, and the similarity of pairs that meet so is exact, from the whole
+    texts. The sets of a shingle meet its least and its greatest number first. Then, where links leave more than one group
+    at a shingle, each two of its sets from different groups meet: a group is joined, not all its pairs given.
+    Several texts may carry one node; texts without words are like none.
+    """
+    often, rank = _frequent(rows)
+    rows = rows.where("own is not null")
+    told = [F.min("node").alias("node"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.min("mark").alias("mark")]
+    owners = cut(rows.groupBy("own").agg(*told))
+    holders = Window.partitionBy("key")
+    keys = _keys(docs, often, rank, similarity, text_col)
+    ends = [F.min("own").over(holders).alias("first"), F.max("own").over(holders).alias("last"), F.count("*").over(holders).alias("held")]
+    shared = cut(keys.select("own", "key", *ends).where("first <> last"))
+    met = shared.select("own", F.explode(F.array("first", "last")).alias("other")).where("own <> other")
+    near = _similar(met.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct(), owners, docs, similarity, text_col)
     # Texts with equal sets are alike too: their nodes meet the least of them.
     same = rows.select("own", F.col("node").alias("a")).distinct().join(owners.select("own", F.col("node").alias("b")), "own")
-    out = near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionAll(same.select("a", "b")).where("a <> b")
+    near = near.unionAll(same.select("a", "b")).where("a <> b")
+
+    # All pairs of up to three sets have met.
+    parts = star_components(near if linked is None else near.unionAll(linked.select("a", "b")), "a", "b")
+    left = shared.where("held > 3").select("own", "key", "held").distinct().join(owners.select("own", F.col("node").alias("id")), "own")
+    left = left.join(parts, "id", "left").select("key", "own", "held", F.coalesce("component", "id").alias("part"))
+    several = left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    left = cut(left.join(several, "key", "left_semi").withColumn("slices", F.ceil(F.col("held") / SLICE)))
+    one = left.select("key", F.pmod("own", "slices").alias("slice"), F.col("own").alias("x"), F.col("part").alias("part_x"))
+    other = left.select("key", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.col("own").alias("y"), F.col("part").alias("part_y"))
+    met = one.join(other, ["key", "slice"]).where((F.col("x") < F.col("y")) & (F.col("part_x") != F.col("part_y")))
+    out = near.unionAll(_similar(met.select("x", "y").distinct(), owners, docs, similarity, text_col)).where("a <> b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -230,17 +346,21 @@ def near_groups(
     A text without words, null included, has fingerprint zero and links like any other; one of fewer
     words than a shingle has one shingle of all its words. ``component_id`` is the smallest doc_id of
     the rows that links reach, null ids aside. Repeated rows all come back, an empty table gives no
-    rows, other columns are not read. With ``similarity``, rows link too that ``alike`` finds to be at
-    least so similar.
+    rows, other columns are not read. With ``similarity``, rows link too whose sets of five-word
+    shingles are at least so similar.
     """
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"partners meet one step from both, so up to {DISTANCE} bits")
-    told = fingerprints if similarity is None else profiles
-    fps = cut(told(docs, id_col, text_col, shingle))
+    if similarity is None:
+        fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    else:
+        told = cut(profiles(docs, id_col, text_col, shingle))
+        fps = told.where("often is null").select("doc_id", "fp")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
     found = links(nodes, distance)
     if similarity is not None:
-        found = found.unionAll(alike(fps.select(F.col("fp").alias("node"), "own", "n", "keys"), docs, similarity, text_col))
+        found = cut(found)
+        found = found.unionAll(alike(told.withColumnRenamed("fp", "node"), docs, similarity, text_col, found))
     parts = star_components(found, "a", "b")
     placed = nodes.join(parts, F.col("fp") == F.col("id"), "left").select(
         "fp", "lowest", F.coalesce("component", "fp").alias("part")
