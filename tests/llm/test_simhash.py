@@ -224,3 +224,31 @@ def test_parities_of_large_and_small_sets(spark):
     found = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>").select("i", "j", op7._differing("a", "b").alias("n"))
     for r in found.collect():
         assert (r.n == 0) == (r.i == r.j) and r.n <= len(np.setxor1d(sets[r.i], sets[r.j]))
+
+
+def test_alike_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    # Copies of one text with up to five words changed: all meet, a quarter of the pairs is similar, many texts have no similar one.
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 1 + i % 5):
+            own[at] = f"x{rng.getrandbits(40)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string").repartition(8)
+    rows = op7.profiles(docs, "node").withColumnRenamed("doc_id", "node")
+    compared, similar = [], op7._similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(op7, "_similar", counted)
+    found = {(r.a, r.b) for r in op7.alike(rows, docs).collect()}
+    expected = similar_pairs([shingles(t) for t in texts])
+    assert found <= expected
+    label = components(expected, len(texts))
+    assert len(set(label)) > 100 and components(found, len(texts)) == label
+    print("pairs compared", compared, "of", len(texts) * (len(texts) - 1) // 2, "similar", len(expected))
+    assert sum(compared) <= 10 * len(texts)

@@ -18,8 +18,11 @@ many they are. Groups are connected components over the links.
 Two bits find copies that differ very little. Texts that share four fifths of their five-word shingles
 differ in some ten bits, where a grid of bit counts keeps nearly everything. ``alike`` finds these by the
 prefixes of their shingle sets in one order of all shingles: sets that are similar share a shingle of
-their prefixes, so no similar pair is lost. The sets of a shingle are held against two of them first; then
-every two of them that no links join yet. ``keep_one`` uses both kinds of links.
+their prefixes, so no similar pair is lost. How many shingles a set has before the shared one bounds how
+large a partner can be, so most sets of a shingle have none there. Those that may are held against one of
+them first. The sets that links then leave in different groups at some shingle are counted anew, by
+themselves if a shingle has more than a few: shingles of one group only come first in their order, and every
+two sets of different groups that still may be similar are compared. ``keep_one`` uses both kinds of links.
 """
 
 from __future__ import annotations
@@ -43,9 +46,11 @@ SEGMENTS = 24
 WIDE, SIMILARITY = 5, 0.8
 #: Frequent shingles come last in the order. They are counted by so many hashes at once; so many are listed. Neither changes a pair.
 CHUNK, LISTED = 1 << 19, 1 << 16
-#: 64-bit words of a set's parities, of those of sets over ``LARGE`` hashes; texts' marks; sets of a slice where a shingle's sets all meet.
+#: 64-bit words of a set's parities, of those of sets over ``LARGE`` hashes; texts' marks; sets of a slice of a shingle's sets.
 WORDS, LARGE_WORDS, LARGE = 16, 128, 1600
 MARKS, SLICE = 1 << 26, 512
+#: Sets of a shingle that all meet at once, as these pairs are few for each set; where more are left, they are counted anew.
+FEW = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -237,15 +242,30 @@ def _number(hashes: np.ndarray) -> int:
 
 
 def _keys(docs: DataFrame, often: np.ndarray, rank: np.ndarray, similarity: float, text_col: str) -> DataFrame:
-    """``(own, key)``: a row for every hash of the prefix of each text's set."""
+    """``(own, n, key, most)``: a row for every hash of the prefix of each text's set, with the set's size and ``_most``."""
 
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(_number(s), prefix_of(s, often, rank, similarity).view(np.int64)) for s in map(shingle_set, frame["text"]) if len(s)]
-            yield pd.DataFrame(out, columns=["own", "keys"])
+            out = [(_number(s), len(s), prefix_of(s, often, rank, similarity).view(np.int64)) for s in map(shingle_set, frame["text"]) if len(s)]
+            yield pd.DataFrame(out, columns=["own", "n", "keys"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(compute, "own long, keys array<long>")
-    return found.select("own", F.explode("keys").alias("key"))
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(compute, "own long, n long, keys array<long>")
+    return found.select("own", "n", F.posexplode("keys").alias("at", "key")).select("own", "n", "key", _most(similarity).alias("most"))
+
+
+def _most(similarity: float) -> Column:
+    """Size of the largest set that may be similar to one of ``n`` hashes if the first that they share is that at ``at``.
+
+    They share ``n - at`` at most, and must share as many as (1 + similarity) / similarity times which both sizes are.
+    """
+    return F.floor(F.lit((1 + similarity) / similarity) * (F.col("n") - F.col("at")) - F.col("n") + F.lit(1e-6))
+
+
+def _able(rows: DataFrame, group: str) -> DataFrame:
+    """Of ``(n, key, most)`` with a ``group`` those rows whose key has several groups and a set that is not too large."""
+    holders = Window.partitionBy("key")
+    ends = [F.min(group).over(holders).alias("low"), F.max(group).over(holders).alias("high"), F.min("n").over(holders).alias("least")]
+    return rows.select("*", *ends).where("low <> high and most >= least").drop("low", "high", "least")
 
 
 def _marked(docs: DataFrame, marks: DataFrame, text_col: str = "text") -> DataFrame:
@@ -302,37 +322,58 @@ def alike(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text
     ``rows`` has ``node`` and what ``profiles`` tells of the texts of ``docs``.
 
     Similar sets share a shingle of their prefixes, and the similarity of pairs that meet so is exact, from the whole
-    texts. The sets of a shingle meet its least and its greatest number first. Then, where links leave more than one group
-    at a shingle, each two of its sets from different groups meet: a group is joined, not all its pairs given.
+    texts. The sets of a shingle meet the one of them that can have the largest partners for its size. Then ``_across``
+    compares those that links leave in different groups at a shingle: a group is joined, not all its pairs given.
     Several texts may carry one node; texts without words are like none.
     """
     often, rank = _frequent(rows)
     rows = rows.where("own is not null")
     told = [F.min("node").alias("node"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.min("mark").alias("mark")]
     owners = cut(rows.groupBy("own").agg(*told))
-    holders = Window.partitionBy("key")
-    keys = _keys(docs, often, rank, similarity, text_col)
-    ends = [F.min("own").over(holders).alias("first"), F.max("own").over(holders).alias("last"), F.count("*").over(holders).alias("held")]
-    shared = cut(keys.select("own", "key", *ends).where("first <> last"))
-    met = shared.select("own", F.explode(F.array("first", "last")).alias("other")).where("own <> other")
-    near = _similar(met.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct(), owners, docs, similarity, text_col)
+    widest = F.max(F.struct((F.col("most") / F.col("n")).alias("reach"), "own", "n", "most")).over(Window.partitionBy("key"))
+    shared = cut(_able(_keys(docs, often, rank, similarity, text_col), "own").withColumn("to", widest))
+    met = shared.where("own <> to.own and n <= to.most and to.n <= most").select(F.least("own", "to.own").alias("x"), F.greatest("own", "to.own").alias("y"))
+    near = _similar(met.distinct(), owners, docs, similarity, text_col)
     # Texts with equal sets are alike too: their nodes meet the least of them.
     same = rows.select("own", F.col("node").alias("a")).distinct().join(owners.select("own", F.col("node").alias("b")), "own")
     near = near.unionAll(same.select("a", "b")).where("a <> b")
 
-    # All pairs of up to three sets have met.
     parts = star_components(near if linked is None else near.unionAll(linked.select("a", "b")), "a", "b")
-    left = shared.where("held > 3").select("own", "key", "held").distinct().join(owners.select("own", F.col("node").alias("id")), "own")
-    left = left.join(parts, "id", "left").select("key", "own", "held", F.coalesce("component", "id").alias("part"))
-    several = left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    left = cut(left.join(several, "key", "left_semi").withColumn("slices", F.ceil(F.col("held") / SLICE)))
-    one = left.select("key", F.pmod("own", "slices").alias("slice"), F.col("own").alias("x"), F.col("part").alias("part_x"))
-    other = left.select("key", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.col("own").alias("y"), F.col("part").alias("part_y"))
-    met = one.join(other, ["key", "slice"]).where((F.col("x") < F.col("y")) & (F.col("part_x") != F.col("part_y")))
-    out = near.unionAll(_similar(met.select("x", "y").distinct(), owners, docs, similarity, text_col)).where("a <> b")
+    left = shared.where("own <> to.own").select("own", "n", "key", "most").join(owners.select("own", "mark", F.col("node").alias("id")), "own")
+    left = left.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    left = cut(_able(left, "part").select("own", "mark", "part", "n", "key", "most", F.count("*").over(Window.partitionBy("key")).alias("held")))
+    many = cut(left.where(F.col("held") > FEW).select("own", "mark", "part").distinct())
+    met = _meetings(left.where(F.col("held") <= FEW)).unionAll(_across(many, docs, similarity, text_col)).distinct()
+    out = near.unionAll(_similar(met, owners, docs, similarity, text_col)).where("a <> b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _across(left: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
+    """``(x, y)``: all pairs of the sets of ``left`` ``(own, mark, part)`` that are of different parts and may be similar.
+
+    A shingle that one part alone has is in no pair sought, so those come first in the order, then the others by how many
+    sets of ``left`` have them. Many sets have none of the others in their prefix, or too late for any partner's size.
+    """
+    held = _marked(docs, left.select("mark"), text_col).mapInPandas(_sets, "own long, hashes array<long>").repartition("own").dropDuplicates(["own"])
+    sets = held.join(left.select("own", "part"), "own").select("own", "part", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("key"))
+    holders, own = Window.partitionBy("key"), Window.partitionBy("own")
+    told = [F.count("*").over(holders).alias("times"), F.min("part").over(holders).alias("low"), F.max("part").over(holders).alias("high")]
+    known = sets.select("*", *told).where("low <> high")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "key")) - 1
+    keys = known.withColumn("at", at).withColumn("most", _most(similarity)).where(F.col("most") >= F.lit(similarity) * F.col("n") - F.lit(1e-6))
+    return _meetings(cut(_able(keys.select("own", "part", "n", "key", "most"), "part").withColumn("held", F.count("*").over(holders))))
+
+
+def _meetings(keys: DataFrame) -> DataFrame:
+    """``(x, y)``: of ``(own, part, n, key, most, held)`` each two sets of a key that are of different parts and fit each other's ``most``."""
+    keys = keys.withColumn("slices", F.ceil(F.col("held") / SLICE))
+    one, other = (keys.select("key", "slices", *[F.col(c).alias(f"{c}_{end}") for c in ("part", "n", "most")], F.col("own").alias(end)) for end in "xy")
+    one = one.withColumn("slice", F.pmod("x", "slices")).drop("slices")
+    other = other.withColumn("slice", F.explode(F.expr("sequence(0L, slices - 1)"))).drop("slices")
+    met = one.join(other, ["key", "slice"]).where("x < y and part_x <> part_y and n_x <= most_y and n_y <= most_x")
+    return met.select("x", "y")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
