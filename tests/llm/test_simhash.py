@@ -252,3 +252,31 @@ def test_alike_compares_few_pairs_of_a_large_group(spark, monkeypatch):
     assert len(set(label)) > 100 and components(found, len(texts)) == label
     print("pairs compared", compared, "of", len(texts) * (len(texts) - 1) // 2, "similar", len(expected))
     assert sum(compared) <= 10 * len(texts)
+
+
+def test_alike_counts_no_sets_anew_where_few_share_a_shingle(spark, monkeypatch):
+    # Twelve texts begin with each passage and end with different, more frequent ones: they meet and are not alike.
+    rng = random.Random(17)
+    new = lambda n: [f"x{rng.getrandbits(40)}" for _ in range(n)]
+    begins, ends = [new(60) for _ in range(30)], [new(80) for _ in range(12)]
+    texts = [a + b for a in begins for b in ends]
+    texts += [t[:-2] + new(2) for t in texts[::40]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string").repartition(1)
+    rows = op7.profiles(docs, "node").withColumnRenamed("doc_id", "node")
+    anew, met, across, similar = [], [], op7._across, op7._similar
+
+    def counted(left, *more):
+        anew.append(left.count())
+        return across(left, *more)
+
+    def compared(pairs, *more):
+        met.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(op7, "_across", counted)
+    monkeypatch.setattr(op7, "_similar", compared)
+    found = {(r.a, r.b) for r in op7.alike(rows, docs).collect()}
+    expected = similar_pairs([shingles(" ".join(t)) for t in texts])
+    assert found <= expected and components(found, len(texts)) == components(expected, len(texts))
+    print("sets counted anew", anew, "pairs compared", met, "similar", len(expected))
+    assert len(expected) >= 9 and anew == [0] and sum(met) <= 3 * len(texts)

@@ -20,9 +20,9 @@ differ in some ten bits, where a grid of bit counts keeps nearly everything. ``a
 prefixes of their shingle sets in one order of all shingles: sets that are similar share a shingle of
 their prefixes, so no similar pair is lost. How many shingles a set has before the shared one bounds how
 large a partner can be, so most sets of a shingle have none there. Those that may are held against one of
-them first. The sets that links then leave in different groups at some shingle are counted anew, by
-themselves if a shingle has more than a few: shingles of one group only come first in their order, and every
-two sets of different groups that still may be similar are compared. ``keep_one`` uses both kinds of links.
+them first. Then every two sets that links leave in different groups at some shingle meet, and parities rule out
+nearly all of them inside the join. Where a shingle has too many for that, its sets are first counted anew, by
+themselves: shingles of one group only come first in their order. ``keep_one`` uses both kinds of links.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ CHUNK, LISTED = 1 << 19, 1 << 16
 #: 64-bit words of a set's parities, of those of sets over ``LARGE`` hashes; texts' marks; sets of a slice of a shingle's sets.
 WORDS, LARGE_WORDS, LARGE = 16, 128, 1600
 MARKS, SLICE = 1 << 26, 512
-#: Sets of a shingle that all meet at once, as these pairs are few for each set; where more are left, they are counted anew.
-FEW = 8
+#: Sets of a shingle that all meet at once, which bounds what a set meets there; where more are left, they are counted anew.
+FEW = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -278,19 +278,26 @@ def _marked(docs: DataFrame, marks: DataFrame, text_col: str = "text") -> DataFr
     return texts.join(F.broadcast(bits), "bucket").where(there).select("text")
 
 
+def _folded(name: str) -> Column:
+    """A set's parities as ``WORDS`` words."""
+    words = [F.lit(0).cast("long")] * WORDS
+    for i in range(LARGE_WORDS):
+        words[i % WORDS] = words[i % WORDS].bitwiseXOR(F.col(name)[i])
+    return F.when(F.size(name) == WORDS, F.col(name)).otherwise(F.array(*words))
+
+
+def _allowed(both: Column, similarity: float) -> Column:
+    """In how many hashes two similar sets may differ that have ``both`` together."""
+    return F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6)
+
+
 def _differing(one: str, other: str) -> Column:
     """In how many bits two sets' parities differ."""
 
-    def folded(name: str) -> Column:
-        words = [F.lit(0).cast("long")] * WORDS
-        for i in range(LARGE_WORDS):
-            words[i % WORDS] = words[i % WORDS].bitwiseXOR(F.col(name)[i])
-        return F.when(F.size(name) == WORDS, F.col(name)).otherwise(F.array(*words))
-
     def apart(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda found, x: found + x)
 
-    return F.when(F.size(one) == F.size(other), apart(F.col(one), F.col(other))).otherwise(apart(folded(one), folded(other)))
+    return F.when(F.size(one) == F.size(other), apart(F.col(one), F.col(other))).otherwise(apart(_folded(one), _folded(other)))
 
 
 def _similar(pairs: DataFrame, owners: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
@@ -303,7 +310,7 @@ def _similar(pairs: DataFrame, owners: DataFrame, docs: DataFrame, similarity: f
         pairs = pairs.join(own, end)
     both = F.col("of_x.n") + F.col("of_y.n")
     size_fits = F.least("of_x.n", "of_y.n") >= F.lit(similarity) * F.greatest("of_x.n", "of_y.n")
-    parities_fit = _differing("of_x.parities", "of_y.parities") <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6)
+    parities_fit = _differing("of_x.parities", "of_y.parities") <= _allowed(both, similarity)
     pairs = pairs.where(size_fits).where(parities_fit)
     pairs = cut(pairs.select("x", "y", *[F.col(f"of_{end}.{c}").alias(f"{c}_{end}") for end in "xy" for c in ("node", "mark")]))
     marks = pairs.select(F.col("mark_x").alias("mark")).unionAll(pairs.select("mark_y"))
@@ -322,8 +329,9 @@ def alike(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text
     ``rows`` has ``node`` and what ``profiles`` tells of the texts of ``docs``.
 
     Similar sets share a shingle of their prefixes, and the similarity of pairs that meet so is exact, from the whole
-    texts. The sets of a shingle meet the one of them that can have the largest partners for its size. Then ``_across``
-    compares those that links leave in different groups at a shingle: a group is joined, not all its pairs given.
+    texts. The sets of a shingle meet the one of them that can have the largest partners for its size. Then those meet
+    that links leave in different groups at a shingle, through ``_across`` where they are many: a group is joined, not
+    all its pairs given.
     Several texts may carry one node; texts without words are like none.
     """
     often, rank = _frequent(rows)
@@ -343,12 +351,13 @@ def alike(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text
     left = left.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     left = cut(_able(left, "part").select("own", "mark", "part", "n", "key", "most", F.count("*").over(Window.partitionBy("key")).alias("held")))
     many = cut(left.where(F.col("held") > FEW).select("own", "mark", "part").distinct())
-    met = _meetings(left.where(F.col("held") <= FEW)).unionAll(_across(many, docs, similarity, text_col)).distinct()
+    few = left.where(F.col("held") <= FEW).drop("mark")
+    met = _meetings(few, owners, similarity).unionAll(_across(many, owners, docs, similarity, text_col)).distinct()
     out = near.unionAll(_similar(met, owners, docs, similarity, text_col)).where("a <> b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(left: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
+def _across(left: DataFrame, owners: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
     """``(x, y)``: all pairs of the sets of ``left`` ``(own, mark, part)`` that are of different parts and may be similar.
 
     A shingle that one part alone has is in no pair sought, so those come first in the order, then the others by how many
@@ -361,17 +370,20 @@ def _across(left: DataFrame, docs: DataFrame, similarity: float, text_col: str)
     known = sets.select("*", *told).where("low <> high")
     at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "key")) - 1
     keys = known.withColumn("at", at).withColumn("most", _most(similarity)).where(F.col("most") >= F.lit(similarity) * F.col("n") - F.lit(1e-6))
-    return _meetings(cut(_able(keys.select("own", "part", "n", "key", "most"), "part").withColumn("held", F.count("*").over(holders))))
+    keys = cut(_able(keys.select("own", "part", "n", "key", "most"), "part").withColumn("held", F.count("*").over(holders)))
+    return _meetings(keys, owners, similarity)
 
 
-def _meetings(keys: DataFrame) -> DataFrame:
-    """``(x, y)``: of ``(own, part, n, key, most, held)`` each two sets of a key that are of different parts and fit each other's ``most``."""
-    keys = keys.withColumn("slices", F.ceil(F.col("held") / SLICE))
-    one, other = (keys.select("key", "slices", *[F.col(c).alias(f"{c}_{end}") for c in ("part", "n", "most")], F.col("own").alias(end)) for end in "xy")
+def _meetings(keys: DataFrame, owners: DataFrame, similarity: float) -> DataFrame:
+    """``(x, y)``: of ``(own, part, n, key, most, held)`` each two sets of a key that are of different parts and fit each
+    other's ``most``, without those that the parities of ``owners`` rule out."""
+    keys = keys.withColumn("slices", F.ceil(F.col("held") / SLICE)).join(owners.select("own", _folded("parities").alias("parities")), "own")
+    one, other = (keys.select("key", "slices", *[F.col(c).alias(f"{c}_{end}") for c in ("part", "n", "most", "parities")], F.col("own").alias(end)) for end in "xy")
     one = one.withColumn("slice", F.pmod("x", "slices")).drop("slices")
     other = other.withColumn("slice", F.explode(F.expr("sequence(0L, slices - 1)"))).drop("slices")
-    met = one.join(other, ["key", "slice"]).where("x < y and part_x <> part_y and n_x <= most_y and n_y <= most_x")
-    return met.select("x", "y")
+    differing = sum((F.bit_count(F.col("parities_x")[i].bitwiseXOR(F.col("parities_y")[i])) for i in range(WORDS)), F.lit(0))
+    fit = F.expr("x < y and part_x <> part_y and n_x <= most_y and n_y <= most_x") & (differing <= _allowed(F.col("n_x") + F.col("n_y"), similarity))
+    return one.join(other, (one["key"] == other["key"]) & (one["slice"] == other["slice"]) & fit).select("x", "y")
 
 
 def near_groups(
