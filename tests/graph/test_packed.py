@@ -49,6 +49,19 @@ def test_written_logs_and_their_numbers(spark, tmp_path):
     assert packed.log_updates(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_written_weights_of_zero_stay(spark, tmp_path):
+    rows = [(0, 1, 2, 0.0), (1, 1, 3, 4.5), (2, 1, 2, -1.0), (3, 2, 3, 0.0)]
+    log = spark.createDataFrame(rows, LOG)
+    packed.write_log(log, f"{tmp_path}/log")
+    assert sorted(map(tuple, packed.log_updates(spark, f"{tmp_path}/log").collect())) == rows
+    content = binary.pack_log(log.coalesce(1), ["updates"])
+    assert sorted(map(tuple, binary.log_updates(content).collect())) == rows
+    # A log that does not say so has weights made.
+    (tmp_path / "old.graphlog").write_bytes(binary.encode_log({}, np.array([1, 2, 3]), np.array([]), pd.DataFrame(rows, columns=["seq", "src", "dst", "weight"]), 8))
+    made = sorted(map(tuple, packed.log_updates(spark, f"{tmp_path}/old.graphlog", 2.0).collect()))
+    assert [r[3] for r in made[1:3]] == [4.5, -1.0] and all(0 < made[i][3] <= 2 for i in (0, 3))
+
+
 def test_files_without_numbers_go_on(spark, tmp_path):
     for name, at in (("b", 30), ("a", 0)):
         frame = pd.DataFrame(log_of(60)[at : at + 30], columns=["seq", "src", "dst", "weight"])

@@ -22,6 +22,8 @@ MAGIC, BINARY = b"# GRAPHLOG", b"__BINARY_SECTION_FOLLOWS"
 # Keys of a log's header, where its parts begin and how its blocks are.
 FINAL_BEGIN, TEMPORARY_BEGIN = "internal.vertices.final.begin", "internal.vertices.temporary.begin"
 EDGES_BEGIN, NUM_BLOCKS, BLOCK_SIZE = "internal.edges.begin", "internal.edges.num_blocks", "internal.edges.block_size"
+# A header's key: whether weights of 0 are weights. Logs of others lack it, and there 0 means that a weight is to be made.
+GIVEN = "weights.given"
 _PIECE = 1 << 22
 #: Rows of a file that is written, at most; a cell holds a file.
 FILE_ROWS = 1 << 18
@@ -139,7 +141,7 @@ def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 97) -> D
 
     ``packed`` may be several files of one log: with a column ``first`` (see ``pack_log``) a file's
     numbers start there, otherwise each file is a log of its own and starts from 0. A block is a raw deflate stream of sources, destinations and weights. -1 deletes; a weight of 0
-    is made, over 0 and up to ``max_weight``.
+    is made, over 0 and up to ``max_weight``, unless the header says that weights are given.
     """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,12 +160,17 @@ def log_updates(packed: DataFrame, max_weight: float = 1.0, seed: int = 97) -> D
                     if odd or not unpack.eof:
                         raise ValueError("a block ends within a record")
                     ends, weights = np.frombuffer(block[: 16 * n], "<u8"), np.frombuffer(block[16 * n :], "<f8")
-                    yield pd.DataFrame({"seq": np.arange(seq, seq + n), "src": _longs(ends[:n]), "dst": _longs(ends[n:]), "weight": weights})
+                    yield pd.DataFrame({"seq": np.arange(seq, seq + n), "src": _longs(ends[:n]), "dst": _longs(ends[n:]), "weight": weights, "given": GIVEN in found})
                     seq += n
 
     own = packed.select("first", "content") if "first" in packed.columns else packed.select("content")
-    log = own.mapInPandas(decode, "seq long, src long, dst long, weight double")
-    return log.withColumn("weight", F.when(F.col("weight") == 0, real_weight(seed, max_weight)).otherwise(F.col("weight")))
+    return _made(own.mapInPandas(decode, "seq long, src long, dst long, weight double, given boolean"), max_weight, seed)
+
+
+def _made(log: DataFrame, max_weight: float, seed: int) -> DataFrame:
+    """A log with weights in place of each 0 that is not ``given``."""
+    made = F.when((F.col("weight") == 0) & ~F.col("given"), real_weight(seed, max_weight)).otherwise(F.col("weight"))
+    return log.withColumn("weight", made).drop("given")
 
 
 def _by_rows(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
@@ -231,7 +238,7 @@ def pack_log(log: DataFrame, keys: list[str], block: int = 4096, file_rows: int
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in _by_rows(frames, file_rows):
             ids = np.unique(own[["src", "dst"]].to_numpy(np.int64))
-            yield pd.DataFrame({"first": own["seq"].iloc[:1], "content": [encode_log({k: len(own) for k in keys}, ids, np.array([]), own, block)]})
+            yield pd.DataFrame({"first": own["seq"].iloc[:1], "content": [encode_log({k: len(own) for k in keys} | {GIVEN: 1}, ids, np.array([]), own, block)]})
 
     ranges = log.select("seq", "src", "dst", "weight").repartitionByRange("seq").sortWithinPartitions("seq")
     return ranges.mapInPandas(encode, "first long, content binary")

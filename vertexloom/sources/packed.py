@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from vertexloom.files import located
 from vertexloom.operators.algebra import real_weight
-from vertexloom.sources.binary import BINARY, EDGES_BEGIN, FILE_ROWS, FINAL_BEGIN, NUM_BLOCKS, TEMPORARY_BEGIN, _by_rows, _longs, encode_log, parse_log_header
+from vertexloom.sources.binary import BINARY, EDGES_BEGIN, FILE_ROWS, FINAL_BEGIN, GIVEN, NUM_BLOCKS, TEMPORARY_BEGIN, _by_rows, _longs, _made, encode_log, parse_log_header
 
 NAME = "packed_graph"
 #: Bytes that are read and inflated at a time.
@@ -39,7 +39,7 @@ SCHEMAS = {
     "edges": "src long, dst long, weight double",
     "properties": "file string, key string, value string",
     "vertices": "id long, temporary boolean",
-    "blocks": "file string, number long, offset long, length long, updates long, first long",
+    "blocks": "file string, number long, offset long, length long, updates long, first long, given boolean",
 }
 
 
@@ -101,7 +101,7 @@ def _blocks(f, file: str) -> Iterator[tuple]:
         end = f.tell() - len(unpack.unused_data)
         if n % 24:
             raise ValueError("a block ends within a record")
-        yield file, number, at, end - at, n // 24, first
+        yield file, number, at, end - at, n // 24, first, GIVEN in found
         at, first, number = end, first + n // 24, number + 1
 
 
@@ -174,7 +174,7 @@ class LogWriter(DataSourceArrowWriter):
             ids = np.unique(own[["src", "dst"]].to_numpy(np.int64))
             names.append(f"{first:020d}-{uuid.uuid4().hex}.graphlog")
             with system.open_output_stream(f"{root}/{names[-1]}") as f:
-                f.write(encode_log({"updates": len(own), FIRST: first}, ids, np.array([]), own, self.block))
+                f.write(encode_log({"updates": len(own), FIRST: first, GIVEN: 1}, ids, np.array([]), own, self.block))
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -241,7 +241,8 @@ def log_updates(spark: SparkSession, path: str, max_weight: float = 1.0, seed: i
     """``(seq, src, dst, weight)`` of logs, block by block in parallel.
 
     Numbers start from what a file's header says, else from 0; of several files without such headers they
-    go on in the order of their names. -1 deletes; a weight of 0 is made, over 0 and up to ``max_weight``.
+    go on in the order of their names. -1 deletes; a weight of 0 is made, over 0 and up to ``max_weight``,
+    unless the file's header says that weights are given.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,17 +255,16 @@ def log_updates(spark: SparkSession, path: str, max_weight: float = 1.0, seed: i
                 n = row["updates"]
                 ends, weights = np.frombuffer(block[: 16 * n], "<u8"), np.frombuffer(block[16 * n :], "<f8")
                 first = row["first"]
-                arrays = [np.arange(first, first + n), _longs(ends[:n]), _longs(ends[n:]), weights]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["seq", "src", "dst", "weight"])
+                arrays = [np.arange(first, first + n), _longs(ends[:n]), _longs(ends[n:]), weights, np.full(n, row["given"])]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["seq", "src", "dst", "weight", "given"])
 
     blocks = log_blocks(spark, path)
     sizes = blocks.groupBy("file").agg(F.sum("updates").alias("n"), F.min("first").alias("from"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     starts = sizes.select(F.col("file").alias("own"), F.when(F.max("from").over(Window.partitionBy()) == 0, F.coalesce(F.sum("n").over(before), F.lit(0))).otherwise(0).alias("offset_by"))
     placed = blocks.join(F.broadcast(starts), F.col("file") == F.col("own")).withColumn("first", F.col("first") + F.col("offset_by"))
-    dealt = placed.select("file", "offset", "length", "updates", "first").repartition(spark.sparkContext.defaultParallelism * 4, "file", "offset")
-    log = dealt.mapInArrow(decode, "seq long, src long, dst long, weight double")
-    return log.withColumn("weight", F.when(F.col("weight") == 0, real_weight(seed, max_weight)).otherwise(F.col("weight")))
+    dealt = placed.select("file", "offset", "length", "updates", "first", "given").repartition(spark.sparkContext.defaultParallelism * 4, "file", "offset")
+    return _made(dealt.mapInArrow(decode, "seq long, src long, dst long, weight double, given boolean"), max_weight, seed)
 
 
 def write_log(log: DataFrame, path: str, rows: int = FILE_ROWS, block: int = 4096) -> None:
