@@ -41,3 +41,9 @@ def test_a_list_is_sent_once_for_each_range():
     assert sorted(zip(chunks["part"], chunks["own"], chunks["arcs"])) == [(0, True, 500), (1, False, 500), (2, False, 500)]
     for xs in (a, b, np.array([5, -7, 2**62, -(2**62), 9]), np.array([3])):
         assert (closing._spread(closing._squeeze(xs)) == xs).all()
+
+
+def test_triangles_per_vertex(graph):
+    near = neighbours()
+    expected = {v: sum(len(near[v] & near[w]) for w in near[v]) // 2 for v in near}
+    assert {r["id"]: r["triangles"] for r in clustering.triangles_per_vertex(graph).collect()} == {v: n for v, n in expected.items() if n}
