@@ -47,3 +47,12 @@ def test_triangles_per_vertex(graph):
     near = neighbours()
     expected = {v: sum(len(near[v] & near[w]) for w in near[v]) // 2 for v in near}
     assert {r["id"]: r["triangles"] for r in clustering.triangles_per_vertex(graph).collect()} == {v: n for v, n in expected.items() if n}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_lcc(graph, directed):
+    graph = graph if not directed else Graph.from_edges(graph.edges, True)
+    near = neighbours()
+    share = {v: sum(len(near[v] & near[w]) for w in near[v]) / (1 + directed) / (len(near[v]) * (len(near[v]) - 1)) for v in near if len(near[v]) > 1}
+    found = {r["id"]: r["coefficient"] for r in clustering.lcc(graph).collect()}
+    assert found.keys() == near.keys() and all(found[v] == pytest.approx(share.get(v, 0)) for v in near)
