@@ -56,3 +56,9 @@ def test_lcc(graph, directed):
     share = {v: sum(len(near[v] & near[w]) for w in near[v]) / (1 + directed) / (len(near[v]) * (len(near[v]) - 1)) for v in near if len(near[v]) > 1}
     found = {r["id"]: r["coefficient"] for r in clustering.lcc(graph).collect()}
     assert found.keys() == near.keys() and all(found[v] == pytest.approx(share.get(v, 0)) for v in near)
+
+
+def test_common_neighbours(graph):
+    near = neighbours()
+    expected = {(a, b): len(near[a] & near[b]) for a, b in EDGES}
+    assert {(r["src"], r["dst"]): r["n"] for r in algebra.common_neighbours(graph).collect()} == {e: n for e, n in expected.items() if n}
