@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexloom.files import only_last, stored
 from vertexloom.operators.algebra import integer_weight, real_weight
-from vertexloom.operators.ordering import running
-from vertexloom.session import cut
 
 # Formats by extension.
 FORMATS = {
@@ -70,16 +69,17 @@ def read_dimacs9(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str, comment: str) -> DataFrame:
     """``(number, line)``: lines of a file, or of a folder's files by name, without comments, from 0 on.
 
-    Files are read in splits; a line's place is its file, its split's offset and its place in that.
+    Files are read in splits; a line's number is its place in its split, raised by the lines of the splits before.
+    So lines are written once and not sorted.
     """
     rows = spark.read.text(path).select(
-        F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    rows = rows.where(~F.startswith("line", F.lit(comment)))
-    return running(rows, ["file", "block", "row"], "number").select("number", "line")
+    rows = stored(rows.where(~F.startswith("line", F.lit(comment))).withColumn("row", F.monotonically_increasing_id()))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))  # a row per split
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("raised"))
+    return rows.join(F.broadcast(splits), ["file", "block"]).select((F.col("row") + F.col("raised")).alias("number"), "line")
 
 
 def read_metis(spark: SparkSession, path: str, max_weight: int = 1, seed: int = 97) -> DataFrame:
@@ -89,24 +89,27 @@ def read_metis(spark: SparkSession, path: str, max_weight: int = 1, seed: int =
     empty line is a vertex without neighbours. Vertex sizes and weights are skipped. Edge weights are
     1 without a format field, as written where it has them, else integers that are made.
     """
-    lines = cut(numbered_lines(spark, path, "%"))
-    first = lines.where("line <> ''").orderBy("number").first()
-    if first is None:
-        return spark.createDataFrame([], "src long, dst long, weight double")
-    head = first["line"].split()
-    vertices, fmt = int(head[0]), (head[2] if len(head) > 2 else "").zfill(3)
-    skip, weighted = int(fmt[0]) + (int(head[3]) if len(head) > 3 else 1) * int(fmt[1]), fmt[2] == "1"
-    body = lines.select((F.col("number") - first["number"]).alias("src"), "line").where("src > 0 and line <> ''")
-    if body.where(F.col("src") > vertices).limit(1).count():
-        raise ValueError("more adjacency lines than vertices")
-    step = 2 if weighted else 1
-    words = body.select("src", F.posexplode(F.slice(F.split("line", " "), skip + 1, 1 << 30)).alias("at", "word"), F.split("line", " ").alias("all"))
-    arcs = words.where(F.col("at") % step == 0).select(
-        "src", _long(F.col("word")).alias("dst"), (F.get("all", F.col("at") + skip + 1).cast("long") if weighted else F.lit(None).cast("long")).alias("w")
-    )
-    if weighted:
-        if arcs.where("w is null or w > 2147483647").limit(1).count():
+    with only_last():
+        lines = numbered_lines(spark, path, "%")
+        first = lines.where("line <> ''").orderBy("number").first()
+        if first is None:
+            return spark.createDataFrame([], "src long, dst long, weight double")
+        head = first["line"].split()
+        vertices, fmt = int(head[0]), (head[2] if len(head) > 2 else "").zfill(3)
+        skip, weighted = int(fmt[0]) + (int(head[3]) if len(head) > 3 else 1) * int(fmt[1]), fmt[2] == "1"
+        body = lines.select((F.col("number") - first["number"]).alias("src"), "line").where("src > 0 and line <> ''")
+        if body.where(F.col("src") > vertices).limit(1).count():
+            raise ValueError("more adjacency lines than vertices")
+        words, last = F.col("words"), F.size("words") - 1
+        # The places of the neighbours among the words; a row is made for each, without the line. Outer, as else Spark
+        # filters by the array's size and cuts the line anew for each of its words.
+        places = F.when(last >= skip, F.sequence(F.lit(skip), last, F.lit(2 if weighted else 1)))
+        weight = (lambda i: F.get(words, i + 1)) if weighted else (lambda i: F.lit(None).cast("string"))
+        found = body.select("src", F.split("line", " ").alias("words")).select("src", F.transform(places, lambda i: F.struct(F.get(words, i).alias("dst"), weight(i).alias("w"))).alias("found"))
+        arcs = stored(found.select("src", F.inline_outer("found")).where("dst is not null").select("src", _long(F.col("dst")).alias("dst"), F.col("w").cast("long").alias("w")))
+        if weighted and arcs.where("w is null or w > 2147483647").limit(1).count():
             raise ValueError("a weight is missing or too large")
+    if weighted:
         return arcs.select("src", "dst", F.col("w").cast("double").alias("weight"))
     return arcs.select("src", "dst").withColumn("weight", F.lit(1.0) if len(head) <= 2 else integer_weight(seed, max_weight))
 
