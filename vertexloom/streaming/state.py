@@ -1,9 +1,11 @@
-"""Updates as a stream with keyed state: each edge's state is held by Spark, and a batch's work follows the batch.
+"""Updates as a stream with keyed state: each edge's state is held by Spark, and a batch's work follows what it touches.
 
-A graph's edges are the keys. An edge's state is its weight while it is there, and with ``wait`` the
-operations that could not be done yet; an absent edge without such has no state at all. Every operation
-that is decided comes out as a row, so the results are a table of outcomes: the graph at any time is the
-last accepted operation of each edge, by ``at`` and ``turn``. Nothing reads or writes the whole graph.
+A graph's edges are dealt over buckets, which are the keys: an edge's own key would cost some milliseconds a
+batch, a bucket's costs that once for all of its edges. A bucket's state are the weights of its edges that are there, as
+two arrays, and with ``wait`` the operations that could not be done yet; an absent edge without such has no
+state at all. Every operation that is decided comes out as a row, so the results are a table of outcomes: the
+graph at any time is the last accepted operation of each edge, by ``at`` and ``turn``. A batch reads and
+writes the buckets that it has updates for, so one with fewer updates than buckets touches a part of the graph.
 
 ``wait`` is a retry: an insertion of an edge that is there, or a deletion of one that is not, is held until
 another operation lets it happen, and is given up when its timer fires, which is in a batch after that
@@ -15,7 +17,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -25,12 +29,17 @@ from vertexloom.streaming.progress import observed
 from vertexloom.streaming.replay import LOG_SCHEMA
 
 OUTCOMES = "seq long, src long, dst long, weight double, accepted boolean, at long, turn int"
+TOLD = [column.split()[0] for column in OUTCOMES.split(", ")]
 #: Timers and several state variables of a key need this kind of state store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class EdgeState(StatefulProcessor):
-    """Decides an edge's operations in the order of ``seq``.
+#: Buckets of edges, which are the keys of the state. It has to stay the same for a checkpoint.
+BUCKETS = 2048
+
+
+class EdgeStates(StatefulProcessor):
+    """Decides the operations of a bucket's edges, those of one edge in the order of ``seq``.
 
     ``at`` is the ``seq`` of the operation whose arrival decided a row, ``turn`` the row's place among those
     that it decided. What a timer gives up has the ``seq`` of its own.
@@ -41,59 +50,82 @@ class EdgeState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.edge = handle.getValueState("edge", "weight double")
+        self.edges = handle.getValueState("edges", "ends binary, weights binary")
         if self.wait:
-            self.waiting = handle.getListState("waiting", "seq long, weight double, until long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.edge.get()
-        before = weight = held[0] if held is not None else None
-        queue = [tuple(w) for w in self.waiting.get()] if self.wait else []
-        left = list(queue)
+            self.waiting = handle.getListState("waiting", "seq long, src long, dst long, weight double, until long")
+
+    def _there(self) -> dict[tuple[int, int], float]:
+        held = self.edges.get()
+        if held is None:
+            return {}
+        ends = np.frombuffer(held[0], "<i8").reshape(2, -1).tolist()
+        return dict(zip(zip(*ends), np.frombuffer(held[1], "<f8").tolist()))
+
+    def _left(self) -> dict[tuple[int, int], list[tuple]]:
+        """What waits, by edge, in the order of its arrival."""
+        left = {}
+        for seq, src, dst, weight, until in self.waiting.get() if self.wait else ():
+            left.setdefault((src, dst), []).append((seq, weight, until))
+        return left
+
+    def _put_left(self, left: dict[tuple[int, int], list[tuple]]) -> None:
+        rows = [(seq, *edge, weight, until) for edge, queue in left.items() for seq, weight, until in queue]
+        if rows:
+            self.waiting.put(rows)
+        else:
+            self.waiting.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        there, left = self._there(), self._left()
+        timers = {until for queue in left.values() for *_, until in queue}
         now = timerValues.getCurrentProcessingTimeInMs() if self.wait else 0
-        for seq, w in sorted((r["seq"], r["weight"]) for r in rows):
-            put = w >= 0
-            can = (weight is None or self.overwrite) if put else weight is not None
+        new = pd.concat(list(rows)).sort_values(["seq", "weight"])
+        told, changed, moved = [], False, False
+        for seq, src, dst, w in zip(*(new[c].tolist() for c in ("seq", "src", "dst", "weight"))):
+            edge, put = (src, dst), w >= 0
+            here = edge in there
+            can = (not here or self.overwrite) if put else here
             if not can and self.wait:
-                left.append((seq, w, now + self.wait))
+                left.setdefault(edge, []).append((seq, w, now + self.wait))
+                moved = True
                 continue
-            yield self._told(key, seq, w, can, seq, 0)
-            if can:
-                weight = w if put else None
-            # What waits is of one kind, and the first of it now has its turn.
-            if can and left and (left[0][1] >= 0) == (weight is None):
-                first, w, _ = left.pop(0)
-                weight = w if w >= 0 else None
-                yield self._told(key, first, w, True, seq, 1)
-        if weight is None:
-            if before is not None:
-                self.edge.clear()
-        elif weight != before:
-            self.edge.update((weight,))
-        if left != queue:
-            if left:
-                self.waiting.put(left)
-                for until in {t for *_, t in left} - {t for *_, t in queue}:
-                    self.handle.registerTimer(until)
+            told.append((seq, src, dst, w, can, seq, 0))
+            if not can:
+                continue
+            changed = True
+            if put:
+                there[edge] = w
             else:
-                self.waiting.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        queue = [tuple(w) for w in self.waiting.get()]
-        kept = [w for w in queue if w[2] > now]
-        if kept != queue:
-            if kept:
-                self.waiting.put(kept)
+                del there[edge]
+            # What waits is of one kind, and the first of it now has its turn.
+            queue = left.get(edge)
+            if queue and (queue[0][1] >= 0) == (edge not in there):
+                first, w, _ = queue.pop(0)
+                moved = True
+                if w >= 0:
+                    there[edge] = w
+                else:
+                    del there[edge]
+                told.append((first, src, dst, w, True, seq, 1))
+        if changed:
+            if there:
+                ends, weights = np.array(list(there), "<i8").T, np.fromiter(there.values(), "<f8")
+                self.edges.update((np.ascontiguousarray(ends).tobytes(), weights.tobytes()))
             else:
-                self.waiting.clear()
-        for seq, w, until in queue:
-            if until <= now:
-                yield self._told(key, seq, w, False, seq, 0)
-
-    @staticmethod
-    def _told(key, seq: int, weight: float, accepted: bool, at: int, turn: int) -> Row:
-        return Row(seq=seq, src=key[0], dst=key[1], weight=weight, accepted=accepted, at=at, turn=turn)
+                self.edges.clear()
+        if moved:
+            self._put_left(left)
+            for until in {until for queue in left.values() for *_, until in queue} - timers:
+                self.handle.registerTimer(until)
+        if told:
+            yield pd.DataFrame(told, columns=TOLD)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, left = expiredTimerInfo.getExpiryTimeInMs(), self._left()
+        over = [(seq, *edge, weight, False, seq, 0) for edge, queue in left.items() for seq, weight, until in queue if until <= now]
+        if over:
+            self._put_left({edge: [w for w in queue if w[2] > now] for edge, queue in left.items()})
+            yield pd.DataFrame(over, columns=TOLD)
 
     def close(self) -> None:
         pass
@@ -142,7 +174,9 @@ def outcome_stream(
         spark.conf.set(key, value)  # a query keeps the settings that it starts with
     try:
         updates = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files).parquet(folder)
-        decided = observed(updates).groupBy("src", "dst").transformWithState(EdgeState(on_duplicate, wait), OUTCOMES, "append", "processingTime" if wait else "none")
+        bucket = F.pmod(F.xxhash64("src", "dst"), F.lit(BUCKETS)).alias("bucket")
+        keyed = observed(updates).select("*", bucket).groupBy("bucket")
+        decided = keyed.transformWithStateInPandas(EdgeStates(on_duplicate, wait), OUTCOMES, "append", "processingTime" if wait else "none")
         writer = decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
         writer = writer.queryName(name) if name else writer
         return writer.trigger(**(trigger or {"availableNow": True})).start()
